@@ -39,29 +39,56 @@ def words(clean_col) -> Column:
     return F.when(c == '', F.array().cast('array<string>')).otherwise(F.split(c, ' '))
 
 
+def _drop_tokens(text: Column, pattern: str) -> Column:
+    """Remove whole space-delimited tokens matching ``pattern`` (one regex pass)."""
+    return F.regexp_replace(text, f'(?:^| )(?:{pattern})(?= |$)', ' ')
+
+
+def _stop_pattern(stopwords: Sequence[str]) -> str:
+    import re
+    # longest first so an alternative never shadows a longer one
+    return '|'.join(re.escape(w) for w in sorted(set(stopwords), key=lambda w: (-len(w), w)))
+
+
+def token_text(clean_col, min_length: int = 2, stopwords: Sequence[str] | None = lx.STOPWORDS) -> Column:
+    """Cleaned text with short words and stopwords removed, single-spaced.
+
+    Pure regex passes (compiled once per task), so no per-token lambda runs.
+    """
+    t = _c(clean_col)
+    if stopwords:
+        t = _drop_tokens(t, _stop_pattern(stopwords))
+    if min_length > 1:
+        t = _drop_tokens(t, f'[^ ]{{1,{min_length - 1}}}')
+    return F.trim(F.regexp_replace(t, ' {2,}', ' '))
+
+
 def tokenize(clean_col, min_length: int = 2, stopwords: Sequence[str] | None = lx.STOPWORDS) -> Column:
     """C14: words of length >= min_length, stopwords removed (order kept)."""
-    ws = words(clean_col)
-    if stopwords:
-        stop = _str_array(stopwords)
-        return F.filter(ws, lambda w: (F.length(w) >= min_length) & ~F.array_contains(stop, w))
-    return F.filter(ws, lambda w: F.length(w) >= min_length)
+    return words(token_text(clean_col, min_length, stopwords))
 
 
-def ngrams(clean_col, n: int = 2, min_length: int = 2) -> Column:
-    """Consecutive n-grams over tokens that keep stopwords (length >= min).
+def _shifted_zip(toks: Column, n: int) -> Column:
+    shifted = [F.slice(toks, i + 1, F.greatest(F.size(toks) - i, F.lit(0))) for i in range(n)]
+    return F.arrays_zip(*shifted)
 
-    Each n-gram is an array<string>; ``ngram_keys`` gives space-joined strings.
-    """
-    toks = tokenize(clean_col, min_length=min_length, stopwords=None)
-    return F.when(
-        F.size(toks) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(toks) - n + 1), lambda i: F.slice(toks, i, n)),
-    ).otherwise(F.array().cast('array<array<string>>'))
+
+def ngram_keys_of(toks, n: int = 2) -> Column:
+    """Space-joined n-grams of a token array column (built from ``n`` shifted
+    slices zipped together; the lambda only touches one zipped element)."""
+    toks = _c(toks)
+    keys = F.transform(_shifted_zip(toks, n), lambda z: F.concat_ws(' ', *[z[str(i)] for i in range(n)]))
+    return F.slice(keys, 1, F.greatest(F.size(toks) - n + 1, F.lit(0)))
 
 
 def ngram_keys(clean_col, n: int = 2, min_length: int = 2) -> Column:
-    return F.transform(ngrams(clean_col, n, min_length), lambda g: F.array_join(g, ' '))
+    """C15 as keys: consecutive n-grams over tokens that keep stopwords (length >= min)."""
+    return ngram_keys_of(tokenize(clean_col, min_length=min_length, stopwords=None), n)
+
+
+def ngrams(clean_col, n: int = 2, min_length: int = 2) -> Column:
+    """Consecutive n-grams (array<array<string>>)."""
+    return F.transform(ngram_keys(clean_col, n, min_length), lambda k: F.split(k, ' '))
 
 
 def theme_labels(clean_col, themes: Mapping[str, Sequence[str]]) -> Column:
@@ -79,7 +106,8 @@ def theme_labels(clean_col, themes: Mapping[str, Sequence[str]]) -> Column:
 def sentiment_score(clean_col, positive: Sequence[str] = lx.POSITIVE_WORDS,
                     negative: Sequence[str] = lx.NEGATIVE_WORDS) -> Column:
     """C17 + C32 + U5: (p - n) / (p + n) over distinct tokens (stopwords kept), 0 if none."""
-    toks = F.array_distinct(tokenize(clean_col, stopwords=None))
+    toks = tokenize(clean_col, stopwords=None)
+    # array_intersect returns distinct elements: |distinct tokens ∩ lexicon|
     p = F.size(F.array_intersect(toks, _str_array(positive)))
     n = F.size(F.array_intersect(toks, _str_array(negative)))
     return F.when(p + n > 0, (p - n).cast('double') / (p + n)).otherwise(F.lit(0.0))
