@@ -98,9 +98,13 @@ def _salted(probe: DataFrame, build: DataFrame, salt: int, key_cols: list[str]):
 def radius_join(left: DataFrame, right: DataFrame, radius_km: float,
                 left_lat: str, left_lon: str, right_lat: str, right_lon: str,
                 how: str = 'inner', distance: str = 'great_circle',
-                dist_col: str = 'distance_km', salt: int = 1) -> DataFrame:
+                dist_col: str = 'distance_km', salt: int = 1,
+                keys: list[tuple[str, str]] = ()) -> DataFrame:
     """Pairs (inner) or left rows (left_semi / left_anti) within ``radius_km``.
 
+    ``keys`` adds equality conditions (left column, right column), e.g. "same
+    trust", so the join only pairs rows of one group that are also near.
+
     ``left`` is the large side (one cell per row); ``right`` is exploded over
     its cover cells. Column names of the two sides must not overlap.
     Rows with a null coordinate never match.
@@ -112,6 +116,8 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float,
                      right_lat, right_lon, radius_km, earth, '_rb', '_rc')
     lp, rb, salt_cols = _salted(lp, rb, salt, list(left.columns))
     cond = (F.col('_lb') == F.col('_rb')) & (F.col('_lc') == F.col('_rc'))
+    for lk, rk in keys:
+        cond = cond & (F.col(lk) == F.col(rk))
     if salt_cols:
         rb = rb.withColumnRenamed('_salt', '_rsalt')
         cond = cond & (F.col('_salt') == F.col('_rsalt'))
@@ -130,8 +136,13 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float,
 def nearest_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_order: list[str],
                  left_lat: str, left_lon: str, right_lat: str, right_lon: str,
                  distance: str = 'great_circle', start_radius_km: float = 10.0,
-                 dist_col: str = 'distance_km', rank_col: str = 'rank', salt: int = 1) -> DataFrame:
-    """The ``k`` nearest right rows of every left row.
+                 dist_col: str = 'distance_km', rank_col: str = 'rank', salt: int = 1,
+                 keys: list[tuple[str, str]] = ()) -> DataFrame:
+    """The ``k`` nearest right rows of every left row.
+
+    With ``keys`` only right rows with equal key columns are candidates (the
+    k nearest within the same group); a left row then needs
+    ``min(k, |right rows of its group|)`` candidates to be resolved.
 
     Exact ring search: candidates come from :func:`radius_join` at radius r; a
     left row is resolved once it has ``min(k, |right|)`` candidates within r
@@ -150,20 +161,29 @@ def nearest_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_
     if n_right == 0:
         return spark.createDataFrame([], _empty_schema(left, right, left_id, dist_col, rank_col)).select(*out_cols)
     need = min(k, n_right)
-    pending = cut_lineage(left.select(left_id, left_lat, left_lon)
-                          .filter(F.col(left_lat).isNotNull() & F.col(left_lon).isNotNull()))
+    lkeys = [lk for lk, _ in keys]
+    pending = (left.select(left_id, left_lat, left_lon, *lkeys)
+                   .filter(F.col(left_lat).isNotNull() & F.col(left_lon).isNotNull()))
+    if keys:
+        # per-group requirement: min(k, rows of the group); groups without rows drop out
+        per_group = right.groupBy(*[F.col(rk).alias(lk) for lk, rk in keys]).agg(
+            F.least(F.lit(k), F.count(F.lit(1))).alias('_need'))
+        pending = pending.join(per_group, lkeys, 'inner')
+    else:
+        pending = pending.withColumn('_need', F.lit(need))
+    pending = cut_lineage(pending)
     results = []
     r = float(start_radius_km)
     max_r = math.pi * earth
     while True:
         pairs = radius_join(pending, right, min(r, max_r), left_lat, left_lon, right_lat, right_lon,
-                            how='inner', distance=distance, dist_col=dist_col, salt=salt)
+                            how='inner', distance=distance, dist_col=dist_col, salt=salt, keys=list(keys))
         if k == 1:
             best = (pairs.groupBy(left_id)
-                    .agg(F.count(F.lit(1)).alias('_n'),
+                    .agg(F.count(F.lit(1)).alias('_n'), F.first('_need').alias('_need'),
                          F.min(F.struct(F.col(dist_col), *[F.col(c) for c in right_order],
                                         *[F.col(c).alias('_r_' + c) for c in right.columns])).alias('_b'))
-                    .filter(F.col('_n') >= need)
+                    .filter(F.col('_n') >= F.col('_need'))
                     .select(left_id, F.col('_b.' + dist_col).alias(dist_col),
                             *[F.col('_b._r_' + c).alias(c) for c in right.columns])
                     .withColumn(rank_col, F.lit(1)))
@@ -171,7 +191,7 @@ def nearest_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_
             w = Window.partitionBy(left_id)
             ordered = w.orderBy(F.col(dist_col), *[F.col(c) for c in right_order])
             best = (pairs.withColumn('_n', F.count(F.lit(1)).over(w))
-                    .filter(F.col('_n') >= need)
+                    .filter(F.col('_n') >= F.col('_need'))
                     .withColumn(rank_col, F.row_number().over(ordered))
                     .filter(F.col(rank_col) <= k)
                     .drop('_n'))

@@ -1 +1,174 @@
-"""Registered queries (filled in below)."""
+"""Geographic queries.
+
+Points are the visited sites with coordinates (bindings.visited_sites).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sitescope.operators import geo as G
+from sitescope.operators import leads as L
+from sitescope.operators.spatial import nearest_join
+from sitescope.plans import bindings as B
+from sitescope.plans import sqlparts as S
+from sitescope.plans.q_leads import CFG, QUERY_RADIUS_KM
+from sitescope.plans.registry import register
+
+POINTS_SQL = f"""{S.REGISTRY}, {S.VISITED},
+pts AS (SELECT school_name, latitude, longitude FROM visg WHERE latitude IS NOT NULL AND longitude IS NOT NULL)"""
+
+
+def points(spark, d):
+    v = B.visited_sites(spark, d)
+    return v.filter(F.col('latitude').isNotNull() & F.col('longitude').isNotNull()).select(
+        'school_name', 'latitude', 'longitude', 'visit_count')
+
+
+@register('A29_extent_metrics', f"""
+WITH {POINTS_SQL}
+SELECT count(*) AS total_points, min(latitude) AS lat_min, max(latitude) AS lat_max,
+       max(latitude) - min(latitude) AS lat_span, min(longitude) AS lon_min, max(longitude) AS lon_max,
+       max(longitude) - min(longitude) AS lon_span, avg(latitude) AS centroid_lat, avg(longitude) AS centroid_lon
+FROM pts""")
+def extent_metrics(spark, d):
+    """Extent of the visited sites."""
+    return G.extent_metrics(points(spark, d))
+
+
+@register('A32_map_centre', f"""
+WITH {POINTS_SQL},
+allp AS (SELECT latitude AS lat, longitude AS lon FROM pts UNION ALL SELECT gias_lat, gias_lon FROM reg)
+SELECT coalesce(avg(lat), 52.5) AS center_lat, coalesce(avg(lon), -1.5) AS center_lon FROM allp
+WHERE lat IS NOT NULL AND lon IS NOT NULL""")
+def map_centre(spark, d):
+    """Map centre over visited sites and the registry."""
+    return G.map_centre([(points(spark, d), 'latitude', 'longitude'),
+                         (B.registry(spark, d), 'gias_lat', 'gias_lon')])
+
+
+@register('V3_density_grid', f"""
+WITH {POINTS_SQL}
+SELECT CAST(floor(latitude / 0.1) AS BIGINT) AS lat_bin, CAST(floor(longitude / 0.1) AS BIGINT) AS lon_bin,
+       count(*) AS points, (floor(latitude / 0.1) + 0.5) * 0.1 AS cell_lat, (floor(longitude / 0.1) + 0.5) * 0.1 AS cell_lon
+FROM pts GROUP BY 1, 2, 4, 5""")
+def density_grid(spark, d):
+    """V3: heat-map bins of the visited sites (0.1 degree cells)."""
+    return G.density_grid(points(spark, d), 0.1)
+
+
+GAPS_SQL = f"""
+WITH {POINTS_SQL},
+nn AS (SELECT a.school_name, min({S.hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}) AS nearest_km
+       FROM pts a JOIN pts b ON a.school_name <> b.school_name GROUP BY a.school_name)"""
+
+
+@register('J11_nearest_site', GAPS_SQL + """
+SELECT school_name, nearest_km, nearest_km > 50.0 AS isolated FROM nn""")
+def nearest_site(spark, d):
+    """Distance from each visited site to its nearest other site."""
+    per_point, _ = G.coverage_gaps(points(spark, d), 'school_name', 50.0)
+    return per_point
+
+
+@register('A31_coverage_gaps', GAPS_SQL + """
+SELECT avg(nearest_km) AS avg_nearest_distance_km, max(nearest_km) AS max_nearest_distance_km,
+       count(*) FILTER (WHERE nearest_km > 50.0) AS schools_beyond_target FROM nn""")
+def coverage_gaps(spark, d):
+    """Coverage-gap summary at a 50 km target radius."""
+    _, summary = G.coverage_gaps(points(spark, d), 'school_name', 50.0)
+    return summary
+
+
+@register('A30_hull_area')
+def hull_area(spark, d):
+    """Convex-hull coverage area of the visited sites (rows-only check)."""
+    return G.hull_area(points(spark, d))
+
+
+@register('M1_kmeans')
+def kmeans(spark, d):
+    """M1: k-means (k=5, 10 seeds) over the visited sites (rows-only check)."""
+    assigned, _ = G.kmeans_clusters(points(spark, d), 5)
+    return assigned.select('school_name', 'latitude', 'longitude', 'cluster')
+
+
+@register('A27_cluster_sizes')
+def cluster_sizes(spark, d):
+    """K-means cluster sizes."""
+    assigned, _ = G.kmeans_clusters(points(spark, d), 5)
+    return G.cluster_sizes(assigned)
+
+
+@register('A28_cluster_centroids')
+def cluster_centroids(spark, d):
+    """Cluster centroids (mean latitude / longitude)."""
+    assigned, _ = G.kmeans_clusters(points(spark, d), 5)
+    return G.cluster_centroids(assigned)
+
+
+@register('J12_nearest_centroid')
+def nearest_centroid(spark, d):
+    """Nearest k-means centroid of each normal lead."""
+    assigned, _ = G.kmeans_clusters(points(spark, d), 5)
+    cent = G.cluster_centroids(assigned)
+    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), CFG)
+    return G.nearest_centroid(leads, 'gias_urn', cent, 'gias_lat', 'gias_lon')
+
+
+@register('M2_dbscan')
+def dbscan(spark, d):
+    """M2: DBSCAN (eps 5 km, min_samples 3) over all registry sites (rows-only check)."""
+    reg = B.registry(spark, d).select('gias_urn', 'gias_lat', 'gias_lon')
+    return G.dbscan(reg, 'gias_urn', eps_km=5.0, min_samples=3, lat='gias_lat', lon='gias_lon')
+
+
+def _normal_leads_sql() -> str:
+    return S.leads_normal(QUERY_RADIUS_KM)
+
+
+@register('J10_champion_edges', f"""
+WITH leads AS ({_normal_leads_sql()}), {S.REGISTRY}, {S.VISITED},
+champ AS (SELECT * FROM visg WHERE visit_count >= 2 AND latitude IS NOT NULL AND longitude IS NOT NULL),
+p AS (SELECT l.gias_urn, c.school_name AS champion, {S.gc('l.gias_lat', 'l.gias_lon', 'c.latitude', 'c.longitude')} AS distance_km,
+             c.latitude AS clat, c.longitude AS clon
+      FROM leads l JOIN champ c ON true WHERE l.gias_lat IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY gias_urn ORDER BY distance_km, champion, clat, clon) AS rank FROM p)
+SELECT gias_urn, champion, distance_km, rank FROM r WHERE rank <= 2""")
+def champion_edges(spark, d):
+    """The two nearest champions of each top normal lead (map connections)."""
+    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), CFG)
+    champ = (L.champions_of(B.visited_sites(spark, d), CFG.champion_min_visits)
+             .select(F.col('school_name').alias('champion'), F.col('latitude').alias('_clat'),
+                     F.col('longitude').alias('_clon')))
+    e = nearest_join(leads.select('gias_urn', 'gias_lat', 'gias_lon'), champ, 2, 'gias_urn',
+                     ['champion', '_clat', '_clon'], 'gias_lat', 'gias_lon', '_clat', '_clon',
+                     distance='great_circle', start_radius_km=10.0)
+    return e.select('gias_urn', 'champion', 'distance_km', 'rank')
+
+
+@register('J13_trust_edges', f"""
+WITH leads AS ({_normal_leads_sql()}), {S.REGISTRY}, {S.VISITED},
+site AS (SELECT v.school_name, v.latitude, v.longitude, r.trust_name FROM visg v JOIN reg r ON r.gias_name = v.school_name
+         WHERE v.latitude IS NOT NULL AND v.longitude IS NOT NULL),
+sd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY trust_name, latitude, longitude ORDER BY school_name) AS k
+                      FROM site) WHERE k = 1),
+p AS (SELECT l.gias_urn, s.school_name AS site, {S.gc('l.gias_lat', 'l.gias_lon', 's.latitude', 's.longitude')} AS distance_km,
+             s.latitude AS slat, s.longitude AS slon
+      FROM leads l JOIN sd s ON s.trust_name = l.trust_name WHERE l.gias_lat IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY gias_urn ORDER BY distance_km, site, slat, slon) AS rank FROM p)
+SELECT gias_urn, site, distance_km, rank FROM r WHERE rank <= 5""")
+def trust_edges(spark, d):
+    """Up to 5 visited sites of the same trust per top normal lead, nearest first,
+    one site per distinct coordinate. A same-trust k-nearest grid search, so a
+    large trust never emits all its lead x site pairs."""
+    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), CFG)
+    reg = B.registry(spark, d).select(F.col('gias_name').alias('school_name'), F.col('trust_name').alias('_st'))
+    sites = (B.visited_sites(spark, d).join(reg, 'school_name', 'inner')
+             .filter(F.col('latitude').isNotNull() & F.col('longitude').isNotNull()))
+    sites = (sites.groupBy('_st', 'latitude', 'longitude').agg(F.min('school_name').alias('site'))
+                  .select('site', F.col('latitude').alias('_slat'), F.col('longitude').alias('_slon'), '_st'))
+    e = nearest_join(leads.select('gias_urn', 'gias_lat', 'gias_lon', 'trust_name'), sites, 5, 'gias_urn',
+                     ['site', '_slat', '_slon'], 'gias_lat', 'gias_lon', '_slat', '_slon',
+                     distance='great_circle', start_radius_km=10.0, keys=[('trust_name', '_st')])
+    return e.select('gias_urn', 'site', 'distance_km', 'rank')
