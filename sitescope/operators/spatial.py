@@ -91,7 +91,7 @@ def _salted(probe: DataFrame, build: DataFrame, salt: int, key_cols: list[str]):
     if salt <= 1:
         return probe, build, []
     probe = probe.withColumn('_salt', F.pmod(F.xxhash64(*[F.col(c) for c in key_cols]), F.lit(salt)))
-    build = build.withColumn('_salt', F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast('long'))
+    build = build.withColumn('_salt', F.explode(F.sequence(F.lit(0).cast('long'), F.lit(salt - 1).cast('long'))))
     return probe, build, ['_salt']
 
 
