@@ -128,7 +128,7 @@ def hull_area(points: DataFrame, lat: str = 'latitude', lon: str = 'longitude',
 # --------------------------------------------------------------------------- coverage gaps
 
 def coverage_gaps(points: DataFrame, point_id: str, target_radius_km: float = 50.0,
-                  lat: str = 'latitude', lon: str = 'longitude', start_radius_km: float = 10.0):
+                  lat: str = 'latitude', lon: str = 'longitude', start_radius_km: float | None = None):
     """Nearest-other-point distances (haversine, R = 6371) and the summary.
 
     Returns (per_point, summary): per_point has point_id, nearest_km and
@@ -195,12 +195,48 @@ def nearest_centroid(leads: DataFrame, lead_id: str, centroids: DataFrame, lat:
     c = centroids.select(F.col(cluster_col).alias('nearest_cluster'),
                          F.col('centroid_lat').alias('_cla'), F.col('centroid_lon').alias('_clo'))
     return nearest_join(leads.select(lead_id, lat, lon), c, 1, lead_id, ['nearest_cluster'], lat, lon,
-                        '_cla', '_clo', distance='haversine', start_radius_km=25.0,
+                        '_cla', '_clo', distance='haversine', start_radius_km=None,
                         dist_col='centroid_km').drop('_cla', '_clo', 'rank')
 
 
 # --------------------------------------------------------------------------- DBSCAN (M2)
 
+def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Component label (smallest node id) per node: ``_v`` -> ``_p``.
+
+    Shiloach-Vishkin style on DataFrames: every round hooks each tree root onto
+    the smallest label seen across its edges (parents only ever decrease, so no
+    cycles), then shortcuts parent pointers until every tree is a star. Each
+    round is checkpointed; rounds grow with log(n), not with the diameter.
+    ``nodes``: (_v); ``edges``: (_a, _b), both directions not required.
+    """
+    und = edges.select('_a', '_b').unionByName(edges.select(F.col('_b').alias('_a'), F.col('_a').alias('_b')))
+    und = cut_lineage(und.filter(F.col('_a') != F.col('_b')).distinct())
+    par = cut_lineage(nodes.select('_v').distinct().withColumn('_p', F.col('_v')))
+    for _ in range(max_rounds):
+        la = par.select(F.col('_v').alias('_a'), F.col('_p').alias('_pa'))
+        lb = par.select(F.col('_v').alias('_b'), F.col('_p').alias('_pb'))
+        hooks = (und.join(la, '_a').join(lb, '_b').filter(F.col('_pa') < F.col('_pb'))
+                    .groupBy(F.col('_pb').alias('_v')).agg(F.min('_pa').alias('_h')))
+        hooked = (par.join(hooks, '_v', 'left')
+                     .select('_v', F.least('_p', F.coalesce('_h', '_p')).alias('_p'),
+                             F.col('_h').isNotNull().alias('_moved')))
+        hooked = cut_lineage(hooked)
+        moved = hooked.filter('_moved').limit(1).count()
+        par = hooked.drop('_moved')
+        while True:   # shortcut to stars
+            up = par.select(F.col('_v').alias('_p'), F.col('_p').alias('_gp'))
+            nxt = cut_lineage(par.join(up, '_p', 'left')
+                                 .select('_v', F.coalesce('_gp', '_p').alias('_p'), F.col('_p').alias('_old')))
+            changed = nxt.filter(F.col('_p') != F.col('_old')).limit(1).count()
+            par = nxt.drop('_old')
+            if changed == 0:
+                break
+        if moved == 0:
+            break
+    return par
+
+
 def dbscan(points: DataFrame, point_id: str, eps_km: float = 0.5, min_samples: int = 3,
            lat: str = 'latitude', lon: str = 'longitude', max_rounds: int = 64) -> DataFrame:
     """M2: DBSCAN with haversine distance (R = 6371), eps in km; noise = -1.
@@ -209,8 +245,8 @@ def dbscan(points: DataFrame, point_id: str, eps_km: float = 0.5, min_samples: i
        location never turns into n² pairs);
     2. eps-neighbour pairs of locations via the grid radius join;
     3. core = weighted neighbour count (self included) >= min_samples;
-    4. connected components of core locations by min-label propagation with
-       pointer jumping, checkpointed every round;
+    4. connected components of core locations (hooking + shortcutting,
+       checkpointed every round, O(log n) rounds);
     5. border points take the smallest label among their core neighbours.
     Cluster id = smallest point id in the component (stable, not dense).
     """
@@ -227,20 +263,10 @@ def dbscan(points: DataFrame, point_id: str, eps_km: float = 0.5, min_samples: i
                   .join(core.select(F.col('_loc').alias('_nb')), '_nb', 'left_semi')
                   .filter(F.col('_loc') != F.col('_nb')).select('_loc', '_nb'))
     edges = cut_lineage(edges)
-    labels = cut_lineage(core.withColumn('_lab', F.col('_loc')))
-    for _ in range(max_rounds):
-        nb_min = (edges.join(labels.select(F.col('_loc').alias('_nb'), F.col('_lab').alias('_nl')), '_nb')
-                       .groupBy('_loc').agg(F.min('_nl').alias('_m')))
-        step = (labels.join(nb_min, '_loc', 'left')
-                      .select('_loc', F.least(F.col('_lab'), F.coalesce(F.col('_m'), F.col('_lab'))).alias('_lab')))
-        jump = (step.join(step.select(F.col('_loc').alias('_lab'), F.col('_lab').alias('_l2')), '_lab', 'left')
-                    .select('_loc', F.least(F.col('_lab'), F.coalesce(F.col('_l2'), F.col('_lab'))).alias('_lab')))
-        jump = cut_lineage(jump)
-        changed = (jump.join(labels.withColumnRenamed('_lab', '_old'), '_loc')
-                       .filter(F.col('_lab') != F.col('_old')).limit(1).count())
-        labels = jump
-        if changed == 0:
-            break
+    labels = connected_components(core.select(F.col('_loc').alias('_v')),
+                                  edges.select(F.col('_loc').alias('_a'), F.col('_nb').alias('_b')),
+                                  max_rounds=max_rounds)
+    labels = labels.select(F.col('_v').alias('_loc'), F.col('_p').alias('_lab'))
     border = (pairs.join(core, '_loc', 'left_anti')
                    .join(labels.select(F.col('_loc').alias('_nb'), F.col('_lab').alias('_nl')), '_nb')
                    .groupBy('_loc').agg(F.min('_nl').alias('_lab')))

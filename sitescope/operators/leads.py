@@ -37,7 +37,7 @@ class LeadConfig:
     fuzzy_threshold: float = 80.0
     fuzzy_scorer: str = 'token_sort'
     top_n: int | None = 100
-    nearest_start_km: float = 10.0
+    nearest_start_km: float | None = None   # None: adaptive from champion density
     salt: int = 1
 
 

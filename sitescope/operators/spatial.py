@@ -133,17 +133,32 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float,
     return pairs.filter(F.col(dist_col) <= F.lit(radius_km)).drop(*drop)
 
 
+def _start_radius(right: DataFrame, lat: str, lon: str, k: int, given: float | None):
+    """Row count of the right side and an initial search radius.
+
+    Without a given radius, pick ``1.5 * sqrt(k * area / n)`` from the bounding
+    box of the right side (one aggregate, no data to the driver): under uniform
+    density over 99 % of left rows inside that box resolve in the first round.
+    """
+    st = right.agg(F.count(F.lit(1)).alias('n'), F.min(lat).alias('a'), F.max(lat).alias('b'),
+                   F.min(lon).alias('c'), F.max(lon).alias('d')).first()
+    n = int(st['n'])
+    if given is not None or n == 0:
+        return n, float(given if given is not None else 10.0)
+    mid = math.radians((st['a'] + st['b']) / 2.0)
+    h_km = max((st['b'] - st['a']) * 111.2, 1.0)
+    w_km = max((st['d'] - st['c']) * 111.2 * max(math.cos(mid), 0.01), 1.0)
+    r0 = 1.5 * math.sqrt(k * h_km * w_km / n)
+    return n, min(max(r0, 0.05), 2000.0)
+
+
 def nearest_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_order: list[str],
                  left_lat: str, left_lon: str, right_lat: str, right_lon: str,
-                 distance: str = 'great_circle', start_radius_km: float = 10.0,
+                 distance: str = 'great_circle', start_radius_km: float | None = None,
                  dist_col: str = 'distance_km', rank_col: str = 'rank', salt: int = 1,
                  keys: list[tuple[str, str]] = ()) -> DataFrame:
     """The ``k`` nearest right rows of every left row.
 
-    With ``keys`` only right rows with equal key columns are candidates (the
-    k nearest within the same group); a left row then needs
-    ``min(k, |right rows of its group|)`` candidates to be resolved.
-
     Exact ring search: candidates come from :func:`radius_join` at radius r; a
     left row is resolved once it has ``min(k, |right|)`` candidates within r
     (then its top k are final, ties included, because the grid is lossless).
@@ -151,16 +166,22 @@ def nearest_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_
     i.e. the first right row in that order wins. Left rows without coordinates
     are not returned (callers left-join the result back).
 
+    With ``keys`` only right rows with equal key columns are candidates (the
+    k nearest within the same group); a left row then needs
+    ``min(k, |right rows of its group|)`` candidates to be resolved.
+
+    Each round is one checkpointed job (candidates of the pending rows with a
+    resolved flag); the next round reads the unresolved rows from it.
+
     Output: ``left_id``, every right column, ``dist_col``, ``rank_col`` (1..k).
     """
     fn, earth = distance_fn(distance)
     right = right.filter(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull())
-    n_right = right.count()
+    n_right, r = _start_radius(right, right_lat, right_lon, k, start_radius_km)
     out_cols = [left_id] + right.columns + [dist_col, rank_col]
     spark = left.sparkSession
     if n_right == 0:
         return spark.createDataFrame([], _empty_schema(left, right, left_id, dist_col, rank_col)).select(*out_cols)
-    need = min(k, n_right)
     lkeys = [lk for lk, _ in keys]
     pending = (left.select(left_id, left_lat, left_lon, *lkeys)
                    .filter(F.col(left_lat).isNotNull() & F.col(left_lon).isNotNull()))
@@ -170,35 +191,37 @@ def nearest_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_
             F.least(F.lit(k), F.count(F.lit(1))).alias('_need'))
         pending = pending.join(per_group, lkeys, 'inner')
     else:
-        pending = pending.withColumn('_need', F.lit(need))
-    pending = cut_lineage(pending)
+        pending = pending.withColumn('_need', F.lit(min(k, n_right)))
     results = []
-    r = float(start_radius_km)
     max_r = math.pi * earth
     while True:
-        pairs = radius_join(pending, right, min(r, max_r), left_lat, left_lon, right_lat, right_lon,
+        rr = min(r, max_r)
+        pairs = radius_join(pending, right, rr, left_lat, left_lon, right_lat, right_lon,
                             how='inner', distance=distance, dist_col=dist_col, salt=salt, keys=list(keys))
         if k == 1:
-            best = (pairs.groupBy(left_id)
-                    .agg(F.count(F.lit(1)).alias('_n'), F.first('_need').alias('_need'),
-                         F.min(F.struct(F.col(dist_col), *[F.col(c) for c in right_order],
-                                        *[F.col(c).alias('_r_' + c) for c in right.columns])).alias('_b'))
-                    .filter(F.col('_n') >= F.col('_need'))
-                    .select(left_id, F.col('_b.' + dist_col).alias(dist_col),
-                            *[F.col('_b._r_' + c).alias(c) for c in right.columns])
-                    .withColumn(rank_col, F.lit(1)))
+            agg = (pairs.groupBy(left_id)
+                   .agg(F.count(F.lit(1)).alias('_n'),
+                        F.min(F.struct(F.col(dist_col), *[F.col(c) for c in right_order],
+                                       *[F.col(c).alias('_r_' + c) for c in right.columns])).alias('_b'))
+                   .select(left_id, '_n', F.col('_b.' + dist_col).alias(dist_col),
+                           *[F.col('_b._r_' + c).alias(c) for c in right.columns])
+                   .withColumn(rank_col, F.lit(1)))
         else:
             w = Window.partitionBy(left_id)
             ordered = w.orderBy(F.col(dist_col), *[F.col(c) for c in right_order])
-            best = (pairs.withColumn('_n', F.count(F.lit(1)).over(w))
-                    .filter(F.col('_n') >= F.col('_need'))
-                    .withColumn(rank_col, F.row_number().over(ordered))
-                    .filter(F.col(rank_col) <= k)
-                    .drop('_n'))
-        best = cut_lineage(best.select(*out_cols))
-        results.append(best)
-        pending = cut_lineage(pending.join(best.select(left_id).distinct(), left_id, 'left_anti'))
-        if r >= max_r or pending.isEmpty():
+            agg = (pairs.withColumn('_n', F.count(F.lit(1)).over(w))
+                   .withColumn(rank_col, F.row_number().over(ordered))
+                   .filter(F.col(rank_col) <= k)
+                   .select(left_id, '_n', *right.columns, dist_col, rank_col))
+        # every pending row once: its candidates (if any) and whether it is resolved
+        state = pending.join(agg, left_id, 'left')
+        state = state.withColumn('_done', F.coalesce(F.col('_n') >= F.col('_need'), F.lit(False)))
+        state = cut_lineage(state)
+        results.append(state.filter('_done').select(*out_cols))
+        if rr >= max_r:
+            break
+        pending = state.filter(~F.col('_done')).select(left_id, left_lat, left_lon, *lkeys, '_need').distinct()
+        if pending.isEmpty():
             break
         r *= 2.0
     out = results[0]
@@ -215,7 +238,7 @@ def _empty_schema(left, right, left_id, dist_col, rank_col):
 
 
 def nearest_other(points: DataFrame, point_id: str, lat: str, lon: str,
-                  distance: str = 'haversine', start_radius_km: float = 10.0,
+                  distance: str = 'haversine', start_radius_km: float | None = None,
                   dist_col: str = 'nearest_km', salt: int = 1) -> DataFrame:
     """Distance from every point to its nearest *other* point.
 
@@ -225,21 +248,24 @@ def nearest_other(points: DataFrame, point_id: str, lat: str, lon: str,
     fn, earth = distance_fn(distance)
     pts = points.select(point_id, lat, lon).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     other = pts.select(F.col(point_id).alias('_oid'), F.col(lat).alias('_olat'), F.col(lon).alias('_olon'))
-    n_pts = pts.count()
+    n_pts, r = _start_radius(pts, lat, lon, 2, start_radius_km)
     if n_pts < 2:
         return pts.select(point_id, F.lit(None).cast('double').alias(dist_col))
-    pending = cut_lineage(pts)
+    pending = pts
     results = []
-    r = float(start_radius_km)
     max_r = math.pi * earth
     while True:
-        pairs = radius_join(pending, other, min(r, max_r), lat, lon, '_olat', '_olon', how='inner',
+        rr = min(r, max_r)
+        pairs = radius_join(pending, other, rr, lat, lon, '_olat', '_olon', how='inner',
                             distance=distance, dist_col='_d', salt=salt)
-        pairs = pairs.filter(F.col(point_id) != F.col('_oid'))
-        best = cut_lineage(pairs.groupBy(point_id).agg(F.min('_d').alias(dist_col)))
-        results.append(best)
-        pending = cut_lineage(pending.join(best.select(point_id), point_id, 'left_anti'))
-        if r >= max_r or pending.isEmpty():
+        best = (pairs.filter(F.col(point_id) != F.col('_oid'))
+                     .groupBy(point_id).agg(F.min('_d').alias(dist_col)))
+        state = cut_lineage(pending.join(best, point_id, 'left'))
+        results.append(state.filter(F.col(dist_col).isNotNull()).select(point_id, dist_col))
+        if rr >= max_r:
+            break
+        pending = state.filter(F.col(dist_col).isNull()).select(point_id, lat, lon)
+        if pending.isEmpty():
             break
         r *= 2.0
     out = results[0]

@@ -118,9 +118,9 @@ def nearest_centroid(spark, d):
 
 @register('M2_dbscan')
 def dbscan(spark, d):
-    """M2: DBSCAN (eps 5 km, min_samples 3) over all registry sites (rows-only check)."""
+    """M2: DBSCAN (eps 2 km, min_samples 3) over all registry sites (rows-only check)."""
     reg = B.registry(spark, d).select('gias_urn', 'gias_lat', 'gias_lon')
-    return G.dbscan(reg, 'gias_urn', eps_km=5.0, min_samples=3, lat='gias_lat', lon='gias_lon')
+    return G.dbscan(reg, 'gias_urn', eps_km=2.0, min_samples=3, lat='gias_lat', lon='gias_lon')
 
 
 def _normal_leads_sql() -> str:
@@ -143,7 +143,7 @@ def champion_edges(spark, d):
                      F.col('longitude').alias('_clon')))
     e = nearest_join(leads.select('gias_urn', 'gias_lat', 'gias_lon'), champ, 2, 'gias_urn',
                      ['champion', '_clat', '_clon'], 'gias_lat', 'gias_lon', '_clat', '_clon',
-                     distance='great_circle', start_radius_km=10.0)
+                     distance='great_circle', start_radius_km=None)
     return e.select('gias_urn', 'champion', 'distance_km', 'rank')
 
 
@@ -170,5 +170,5 @@ def trust_edges(spark, d):
                   .select('site', F.col('latitude').alias('_slat'), F.col('longitude').alias('_slon'), '_st'))
     e = nearest_join(leads.select('gias_urn', 'gias_lat', 'gias_lon', 'trust_name'), sites, 5, 'gias_urn',
                      ['site', '_slat', '_slon'], 'gias_lat', 'gias_lon', '_slat', '_slon',
-                     distance='great_circle', start_radius_km=10.0, keys=[('trust_name', '_st')])
+                     distance='great_circle', start_radius_km=None, keys=[('trust_name', '_st')])
     return e.select('gias_urn', 'site', 'distance_km', 'rank')

@@ -25,3 +25,15 @@ def normal_leads(spark, d):
 def deprived_leads(spark, d):
     """Top-100 deprived-area leads (FSM >= 30) with their nearest champion."""
     return L.deprived_area_leads(B.registry(spark, d), B.visited_sites(spark, d), CFG)
+
+
+BENCH_CFG = L.LeadConfig(hotspot_radius_km=5.0)
+
+
+def bench_queries():
+    """Extra bench-only variants: the application's own runner radius (5 km)."""
+    from sitescope.plans.registry import finish
+
+    def normal_5km(spark, d):
+        return finish(L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), BENCH_CFG))
+    return {'L6_normal_leads_5km': normal_5km}
