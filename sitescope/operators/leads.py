@@ -144,6 +144,7 @@ def top_by(df: DataFrame, score: str, n: int | None, tie: str = 'gias_urn') -> D
 def normal_leads(registry: DataFrame, visited: DataFrame, cfg: LeadConfig = LeadConfig(),
                  tracks: tuple[str, ...] = ('trust', 'hotspot'), score: bool = True) -> DataFrame:
     """L6 track 1 (and L7 when ``score=False``): trust U hotspot -> W1 -> J9 -> L4 -> O1."""
+    visited = cut_lineage(visited.select('school_name', 'visit_count', 'latitude', 'longitude'))
     champions = champions_of(visited, cfg.champion_min_visits)
     cand = unvisited(registry, visited)
     parts = []
@@ -171,6 +172,7 @@ def deprived_area_leads(registry: DataFrame, visited: DataFrame, cfg: LeadConfig
     The impact score does not depend on the champion distance, so the top n
     are chosen first and only those are connected to their nearest champion.
     """
+    visited = cut_lineage(visited.select('school_name', 'visit_count', 'latitude', 'longitude'))
     champions = champions_of(visited, cfg.champion_min_visits)
     leads = score_deprived(deprived_leads(unvisited(registry, visited), cfg))
     top = top_by(leads, 'impact_score', cfg.top_n)

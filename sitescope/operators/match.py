@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from sitescope.functions import lexicons as lx
 from sitescope.functions.clean import norm_name, strip
 from sitescope.functions.fuzzy import SCORERS, token_sort_key
+from sitescope.session import cut_lineage
 
 
 def dedupe_last(df: DataFrame, key: str, order_col: str) -> DataFrame:
@@ -114,6 +115,9 @@ def match_to_registry(names: DataFrame, name_col: str, registry: DataFrame,
                 .agg(F.min(F.struct('_ro', *[F.col(c) for c in reg_cols])).alias('_f'))
                 .select('_nk', *[F.col('_f.' + c).alias(c) for c in reg_cols]))
     exact = src.join(first, norm_name(F.col('_name')) == F.col('_nk'), 'left').drop('_nk')
+    if fuzzy:
+        # materialised once: it feeds the exact output, the remainder check and the final join
+        exact = cut_lineage(exact)
     if usable is not None:
         matched_exact = exact.filter(usable)
     else:
@@ -124,6 +128,9 @@ def match_to_registry(names: DataFrame, name_col: str, registry: DataFrame,
         out = exact_out
     else:
         remainder = src.join(matched_exact.select('_name'), '_name', 'left_anti')
+        if remainder.isEmpty():
+            # nothing left for the fuzzy leg: skip its candidate join and UDF stage
+            return src.join(exact_out, '_name', 'left').withColumnRenamed('_name', name_col)
         fz = fuzzy_best_match(remainder, '_name', '_name', registry, reg_name, reg_order,
                               list(reg_cols), threshold, scorer)
         if usable is not None:

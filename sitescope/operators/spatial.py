@@ -136,7 +136,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float,
 def _start_radius(right: DataFrame, lat: str, lon: str, k: int, given: float | None):
     """Row count of the right side and an initial search radius.
 
-    Without a given radius, pick ``1.5 * sqrt(k * area / n)`` from the bounding
+    Without a given radius, pick ``3 * sqrt(k * area / n)`` from the bounding
     box of the right side (one aggregate, no data to the driver): under uniform
     density over 99 % of left rows inside that box resolve in the first round.
     """
@@ -148,7 +148,7 @@ def _start_radius(right: DataFrame, lat: str, lon: str, k: int, given: float | N
     mid = math.radians((st['a'] + st['b']) / 2.0)
     h_km = max((st['b'] - st['a']) * 111.2, 1.0)
     w_km = max((st['d'] - st['c']) * 111.2 * max(math.cos(mid), 0.01), 1.0)
-    r0 = 1.5 * math.sqrt(k * h_km * w_km / n)
+    r0 = 3.0 * math.sqrt(k * h_km * w_km / n)
     return n, min(max(r0, 0.05), 2000.0)
 
 
@@ -193,6 +193,7 @@ def nearest_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_
     else:
         pending = pending.withColumn('_need', F.lit(min(k, n_right)))
     results = []
+    rounds = 0
     max_r = math.pi * earth
     while True:
         rr = min(r, max_r)
@@ -216,6 +217,7 @@ def nearest_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_
         # every pending row once: its candidates (if any) and whether it is resolved
         state = pending.join(agg, left_id, 'left')
         state = state.withColumn('_done', F.coalesce(F.col('_n') >= F.col('_need'), F.lit(False)))
+        rounds += 1
         state = cut_lineage(state)
         results.append(state.filter('_done').select(*out_cols))
         if rr >= max_r:
@@ -253,6 +255,7 @@ def nearest_other(points: DataFrame, point_id: str, lat: str, lon: str,
         return pts.select(point_id, F.lit(None).cast('double').alias(dist_col))
     pending = pts
     results = []
+    rounds = 0
     max_r = math.pi * earth
     while True:
         rr = min(r, max_r)
@@ -260,7 +263,9 @@ def nearest_other(points: DataFrame, point_id: str, lat: str, lon: str,
                             distance=distance, dist_col='_d', salt=salt)
         best = (pairs.filter(F.col(point_id) != F.col('_oid'))
                      .groupBy(point_id).agg(F.min('_d').alias(dist_col)))
-        state = cut_lineage(pending.join(best, point_id, 'left'))
+        rounds += 1
+        state = pending.join(best, point_id, 'left')
+        state = cut_lineage(state)
         results.append(state.filter(F.col(dist_col).isNotNull()).select(point_id, dist_col))
         if rr >= max_r:
             break

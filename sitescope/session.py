@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +58,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a Parquet table under the shared checkpoint folder.
+
+    One job writes it (a reliable RDD checkpoint would compute the plan twice),
+    the re-read has file statistics for AQE's join planning, and the files
+    live in ``spark.checkpoint.dir`` so they survive executor loss. Never a
+    local checkpoint.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip('/')
+    path = f'{base}/sitescope-tables/{uuid.uuid4().hex}'
+    df.write.mode('overwrite').parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -73,3 +83,4 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
+
