@@ -275,3 +275,33 @@ def dbscan(points: DataFrame, point_id: str, eps_km: float = 0.5, min_samples: i
               .join(loc_label, '_loc', 'left')
               .select(point_id, lat, lon, F.coalesce(F.col('_lab'), F.lit(-1)).cast('long').alias('cluster')))
     return out
+
+
+def connection_edges(leads: DataFrame, lead_id: str, sites: DataFrame, centroids: DataFrame,
+                     cap: int = 5, lat: str = 'gias_lat', lon: str = 'gias_lon') -> DataFrame:
+    """J13 + J14 + W5: up to ``cap`` map connections per lead, trust edges first.
+
+    ``leads``: lead_id, lat, lon, trust_name. ``sites``: site, latitude,
+    longitude, trust (``_st``), cluster. Trust edges are the nearest sites of
+    the same trust (one per coordinate); cluster edges are the nearest members
+    of the lead's nearest cluster that are not already trust edges; the cap
+    applies to both together (exactly ``cap``, never one more). Both legs are
+    keyed k-nearest grid searches, so no group ever emits all its pairs.
+    """
+    s = (sites.groupBy('_st', 'cluster', 'latitude', 'longitude').agg(F.min('site').alias('site'))
+              .select('site', F.col('latitude').alias('_slat'), F.col('longitude').alias('_slon'), '_st',
+                      F.col('cluster').alias('_sc')))
+    trust = nearest_join(leads.select(lead_id, lat, lon, 'trust_name'), s.drop('_sc'), cap, lead_id,
+                         ['site', '_slat', '_slon'], lat, lon, '_slat', '_slon', keys=[('trust_name', '_st')])
+    near_c = nearest_centroid(leads, lead_id, centroids, lat, lon)
+    with_c = leads.select(lead_id, lat, lon).join(near_c.select(lead_id, 'nearest_cluster'), lead_id)
+    clus = nearest_join(with_c, s.drop('_st'), cap, lead_id, ['site', '_slat', '_slon'], lat, lon,
+                        '_slat', '_slon', keys=[('nearest_cluster', '_sc')])
+    clus = clus.join(trust.select(lead_id, '_slat', '_slon'), [lead_id, '_slat', '_slon'], 'left_anti')
+    both = (trust.select(lead_id, 'site', 'distance_km', F.lit('trust').alias('edge_type'), F.lit(0).alias('_p'))
+            .unionByName(clus.select(lead_id, 'site', 'distance_km', F.lit('cluster').alias('edge_type'),
+                                     F.lit(1).alias('_p'))))
+    from pyspark.sql.window import Window
+    w = Window.partitionBy(lead_id).orderBy('_p', 'distance_km', 'site')
+    return (both.withColumn('edge_rank', F.row_number().over(w)).filter(F.col('edge_rank') <= cap)
+                .drop('_p'))

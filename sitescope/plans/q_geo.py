@@ -172,3 +172,16 @@ def trust_edges(spark, d):
                      ['site', '_slat', '_slon'], 'gias_lat', 'gias_lon', '_slat', '_slon',
                      distance='great_circle', start_radius_km=None, keys=[('trust_name', '_st')])
     return e.select('gias_urn', 'site', 'distance_km', 'rank')
+
+
+@register('J14_connection_edges')
+def connection_edges(spark, d):
+    """J13 + J14 + W5: trust then nearest-cluster connections per top lead, 5 in all (rows-only)."""
+    assigned, _ = G.kmeans_clusters(points(spark, d), 5)
+    cent = G.cluster_centroids(assigned)
+    reg = B.registry(spark, d).select(F.col('gias_name').alias('school_name'), F.col('trust_name').alias('_st'))
+    sites = assigned.join(reg, 'school_name', 'inner').select(
+        F.col('school_name').alias('site'), 'latitude', 'longitude', '_st', 'cluster')
+    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), CFG)
+    return G.connection_edges(leads.select('gias_urn', 'gias_lat', 'gias_lon', 'trust_name'), 'gias_urn',
+                              sites, cent, cap=5)
