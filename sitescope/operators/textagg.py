@@ -40,12 +40,22 @@ def _exploded_tokens(df: DataFrame, text_col: str, order_col: str, min_length: i
                    .filter(F.length('word') >= min_length))
 
 
+def _count_first(items: DataFrame, key: str) -> DataFrame:
+    """Count per item and its first occurrence (row order, then position).
+
+    Two levels: a hash aggregate per (item, row) with numeric buffers does the
+    bulk of the reduction map-side; only the much smaller per-row partials are
+    folded into the (sort-based) struct minimum.
+    """
+    per_row = items.groupBy(key, '_ord').agg(F.count(F.lit(1)).alias('_n'), F.min('_pos').alias('_pos'))
+    return per_row.groupBy(key).agg(F.sum('_n').alias('count'), F.min(F.struct('_ord', '_pos')).alias('_first'))
+
+
 def keyword_counts(df: DataFrame, text_col: str, order_col: str, top_k: int | None = 25,
                    min_length: int = 2, stopwords: Sequence[str] | None = lx.STOPWORDS) -> DataFrame:
     """Keyword frequency (stopwords out), top k; ties by first occurrence."""
     toks = _exploded_tokens(df, text_col, order_col, min_length)
-    counts = toks.groupBy('word').agg(F.count(F.lit(1)).alias('count'),
-                                      F.min(F.struct('_ord', '_pos')).alias('_first'))
+    counts = _count_first(toks, 'word')
     if stopwords:
         stop = _words_table(df.sparkSession, stopwords)
         counts = counts.join(F.broadcast(stop), 'word', 'left_anti')
@@ -63,8 +73,7 @@ def ngram_counts(df: DataFrame, text_col: str, order_col: str, n: int = 2, top_k
                       T.tokenize(T.clean_text(text_col), min_length, stopwords=None).alias('_tk')))
     grams = (toks.select('_ord', F.posexplode_outer(T.ngram_keys_of('_tk', n)).alias('_pos', 'ngram'))
                  .filter(F.col('ngram').isNotNull()))
-    counts = grams.groupBy('ngram').agg(F.count(F.lit(1)).alias('count'),
-                                        F.min(F.struct('_ord', '_pos')).alias('_first'))
+    counts = _count_first(grams, 'ngram')
     out = counts.orderBy(F.col('count').desc(), F.col('_first'))
     if top_k:
         out = out.limit(top_k)
