@@ -1,0 +1,9 @@
+"""Streaming.
+
+The analysed application is batch-only: it has no streams, event-time windows,
+watermarks, state or late-data handling (its only time structure is a month
+bucket over static tables). No streaming operator is therefore built; every
+operator in this library is a pure DataFrame -> DataFrame function and runs
+unchanged inside ``foreachBatch`` of a Structured Streaming query if a caller
+wants incremental landing.
+"""
