@@ -92,10 +92,14 @@ def to_number(c) -> Column:
 def to_timestamp_any(c, formats: Sequence[str] = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
                                                    "yyyy-MM-dd", "dd/MM/yyyy HH:mm", "dd/MM/yyyy",
                                                    "MM/dd/yyyy")) -> Column:
-    """First format that parses; unparsable -> null. Timestamps pass through."""
+    """First format that parses; unparsable -> null.
+
+    The result is a naive (time-zone-free) timestamp, like the source data, so
+    it does not depend on the session time zone.
+    """
     col = _c(c)
     txt = strip(col.cast('string'))
-    return F.coalesce(*[F.try_to_timestamp(txt, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_timestamp(txt, F.lit(f)) for f in formats]).cast('timestamp_ntz')
 
 
 def month_bucket(c) -> Column:

@@ -140,9 +140,8 @@ def sum_by(df: DataFrame, key: str, value: str = 'count', ascending: bool = Fals
 
 def latest_non_null(value: str, date_col: str, order_col: str) -> Column:
     """Latest non-null value by date; rows without a date sort last (so they win)."""
-    key = F.struct(F.col(date_col).isNull(),
-                   F.coalesce(F.col(date_col), F.lit('1970-01-01 00:00:00').cast('timestamp')),
-                   F.col(order_col))
+    # undated rows rank highest (true > false); among them the order column decides
+    key = F.struct(F.col(date_col).isNull(), F.col(date_col), F.col(order_col))
     return F.max_by(F.when(F.col(value).isNotNull(), F.col(value)),
                     F.when(F.col(value).isNotNull(), key))
 
@@ -234,12 +233,12 @@ def load_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
         date_cols = [c for c in df.columns if 'date' in c.lower()]
         if date_cols:
             d = C.to_timestamp_any(F.col(f'`{date_cols[0]}`')) if dict(df.dtypes)[date_cols[0]] == 'string' \
-                else F.col(f'`{date_cols[0]}`').cast('timestamp')
+                else F.col(f'`{date_cols[0]}`').cast('timestamp_ntz')
             agg = df.agg(F.count(F.lit(1)).alias('rows'), F.min(d).alias('date_start'), F.max(d).alias('date_end'))
         else:
             agg = df.agg(F.count(F.lit(1)).alias('rows'),
-                         F.lit(None).cast('timestamp').alias('date_start'),
-                         F.lit(None).cast('timestamp').alias('date_end'))
+                         F.lit(None).cast('timestamp_ntz').alias('date_start'),
+                         F.lit(None).cast('timestamp_ntz').alias('date_end'))
         parts.append(agg.select(F.lit(name).alias('table_name'), 'rows',
                                 F.lit(len(df.columns)).alias('columns'), 'date_start', 'date_end'))
     out = parts[0]

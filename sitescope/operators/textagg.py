@@ -177,7 +177,7 @@ def emerging_topics(news: DataFrame, as_of: str, lookback_months: int = 6, date_
     """
     cutoff = F.add_months(F.lit(as_of).cast('date'), -lookback_months)
     cleaned = spread(news.filter(F.col(date_col).isNotNull())).select(
-        (F.col(date_col) >= cutoff.cast('timestamp')).alias('recent'),
+        (F.col(date_col) >= cutoff.cast('timestamp_ntz')).alias('recent'),
         T.clean_text(T.article_text(title, content)).alias('_c'))
     tagged = cleaned.select('recent', T.theme_labels('_c', topics).alias('_t'))
     totals = tagged.agg(F.count_if('recent').alias('_nr'), F.count_if(~F.col('recent')).alias('_ne'))

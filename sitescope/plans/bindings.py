@@ -142,7 +142,7 @@ def survey_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session facts: month, session_type, count, data_source."""
     o = table(spark, sf_dir, 'orders')
-    return o.select(F.trunc('o_orderdate', 'month').cast('timestamp').alias('month'),
+    return o.select(F.trunc('o_orderdate', 'month').cast('timestamp_ntz').alias('month'),
                     F.col('o_orderpriority').alias('session_type'),
                     F.lit(1.0).alias('count'),
                     F.col('o_orderstatus').alias('data_source'))
@@ -160,7 +160,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, title, content, source; date spread over 2023-01 .. from doc_id."""
     d = documents(spark, sf_dir)
     date = F.date_add(F.lit('2023-01-01').cast('date'), F.pmod(F.col('doc_id') * 37, F.lit(730)).cast('int'))
-    return d.select(F.col('doc_id'), date.cast('timestamp').alias('date'), F.col('source').alias('title'),
+    return d.select(F.col('doc_id'), date.cast('timestamp_ntz').alias('date'), F.col('source').alias('title'),
                     F.col('text').alias('content'), F.col('lang').alias('source'))
 
 

@@ -48,7 +48,7 @@ def sessions_from_wide(raw: DataFrame, date_row: int = 1, first_data_row: int =
 def union_sessions(parts: Sequence[DataFrame], spark=None) -> DataFrame:
     """Union all of session tables; no input -> an empty typed table."""
     if not parts:
-        return spark.createDataFrame([], 'month timestamp, session_type string, count double, data_source string')
+        return spark.createDataFrame([], 'month timestamp_ntz, session_type string, count double, data_source string')
     out = parts[0].select(*SESSION_COLUMNS)
     for p in parts[1:]:
         out = out.unionByName(p.select(*SESSION_COLUMNS))
