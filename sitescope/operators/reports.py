@@ -145,3 +145,48 @@ def lead_markers(leads: DataFrame) -> DataFrame:
     return (leads.filter(F.col('gias_lat').isNotNull() & F.col('gias_lon').isNotNull())
                  .select('gias_urn', 'gias_name', 'gias_lat', 'gias_lon', F.col('lead_category').alias('layer'),
                          popup.alias('popup')))
+
+
+def _long(df: DataFrame, section: str, key_col: str | None, metrics: list[str]) -> DataFrame:
+    """Unpivot metric columns of ``df`` to (section, key, metric, label, value)."""
+    key = F.col(key_col).cast('string') if key_col else F.lit(None).cast('string')
+    pairs = ', '.join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metrics)
+    return (df.select(key.alias('key'), *metrics)
+              .selectExpr('key', f'stack({len(metrics)}, {pairs}) AS (metric, value)')
+              .select(F.lit(section).alias('section'), 'key', 'metric',
+                      C.label_title(F.col('metric')).alias('label'), 'value'))
+
+
+def effectiveness_report(survey: DataFrame) -> DataFrame:
+    """A1-A6 as one long metric table (section, key, metric, label, value)."""
+    kpi = M.survey_kpis(survey)
+    parts = [
+        _long(kpi, 'overall_metrics', None, ['total_responses', 'avg_effectiveness_score', 'satisfaction_rate',
+                                             'recommendation_rate', 'unique_schools']),
+        _long(M.score_by(survey, 'age_group'), 'by_age_group', 'age_group', ['mean', 'count', 'std']),
+        _long(M.score_by(survey, 'gender'), 'by_gender', 'gender', ['mean', 'count', 'std']),
+        _long(M.score_by_month(survey), 'temporal_trends', 'month', ['mean', 'count']),
+        _long(M.score_by(survey, 'external_speaker_engaging', with_std=False), 'external_speaker',
+              'external_speaker_engaging', ['mean', 'count']),
+        _long(M.learning_outcomes(survey), 'learning_outcomes', None,
+              ['identifying_dangers', 'understanding_grooming', 'online_vs_real_friends']),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def session_report(sessions: DataFrame) -> DataFrame:
+    """A8-A11 as one long metric table (section, key, metric, label, value)."""
+    parts = [
+        _long(M.session_totals(sessions), 'totals', None,
+              ['total_sessions', 'unique_session_types', 'months_active', 'data_sources']),
+        _long(M.sum_by(sessions, 'session_type'), 'by_type', 'session_type', ['total']),
+        _long(M.sum_by(sessions, 'data_source'), 'by_source', 'data_source', ['total']),
+        _long(M.sum_by(sessions, 'month', order_by_key=True), 'monthly', 'month', ['total']),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -267,3 +267,60 @@ UNION ALL SELECT 'customer', count(*), 5, NULL, NULL FROM customer""")
 def load_summary(spark, d):
     names = ['orders', 'lineitem', 'customer']
     return M.load_summary({n: B.table(spark, d, n) for n in names})
+
+
+def _lab(m: str) -> str:
+    return ' '.join(w[:1].upper() + w[1:] for w in m.split('_'))
+
+
+def _long_sql(section: str, src: str, key: str | None, metrics: list[str]) -> str:
+    k = f'CAST({key} AS VARCHAR)' if key else 'CAST(NULL AS VARCHAR)'
+    return ' UNION ALL '.join(
+        f"SELECT '{section}' AS section, {k} AS key, '{m}' AS metric, '{_lab(m)}' AS label, CAST({m} AS DOUBLE) AS value "
+        f"FROM ({src})" for m in metrics)
+
+
+@register('L10_effectiveness_report', f"""
+WITH {SURVEY_SQL},
+kpi AS (SELECT count(*) AS total_responses, avg(effectiveness_score) AS avg_effectiveness_score,
+               count(*) FILTER (WHERE effectiveness_rating IN ('Excellent', 'Good')) * 100.0 / count(*) AS satisfaction_rate,
+               CASE WHEN count(would_recommend) > 0
+                    THEN count(*) FILTER (WHERE would_recommend = 'Yes') * 100.0 / count(would_recommend) END
+                 AS recommendation_rate, count(DISTINCT school_name) AS unique_schools FROM svs),
+age AS (SELECT age_group, round_even(avg(effectiveness_score), 2) AS mean, count(effectiveness_score) AS count,
+               round_even(stddev_samp(effectiveness_score), 2) AS std FROM svs WHERE age_group IS NOT NULL GROUP BY 1),
+gen AS (SELECT gender, round_even(avg(effectiveness_score), 2) AS mean, count(effectiveness_score) AS count,
+               round_even(stddev_samp(effectiveness_score), 2) AS std FROM svs WHERE gender IS NOT NULL GROUP BY 1),
+mon AS (SELECT CAST(date_trunc('month', submission_date) AS DATE) AS month, round_even(avg(effectiveness_score), 2) AS mean,
+               count(effectiveness_score) AS count FROM svs WHERE submission_date IS NOT NULL GROUP BY 1),
+spk AS (SELECT external_speaker_engaging, round_even(avg(effectiveness_score), 2) AS mean,
+               count(effectiveness_score) AS count FROM svs WHERE external_speaker_engaging IS NOT NULL GROUP BY 1),
+lo AS (SELECT avg(confident_identifying_dangers) AS identifying_dangers, avg(understanding_grooming) AS understanding_grooming,
+              avg(understanding_online_vs_real) AS online_vs_real_friends FROM svs)
+{_long_sql('overall_metrics', 'SELECT * FROM kpi', None, ['total_responses', 'avg_effectiveness_score', 'satisfaction_rate', 'recommendation_rate', 'unique_schools'])}
+UNION ALL {_long_sql('by_age_group', 'SELECT * FROM age', 'age_group', ['mean', 'count', 'std'])}
+UNION ALL {_long_sql('by_gender', 'SELECT * FROM gen', 'gender', ['mean', 'count', 'std'])}
+UNION ALL {_long_sql('temporal_trends', 'SELECT * FROM mon', 'month', ['mean', 'count'])}
+UNION ALL {_long_sql('external_speaker', 'SELECT * FROM spk', 'external_speaker_engaging', ['mean', 'count'])}
+UNION ALL {_long_sql('learning_outcomes', 'SELECT * FROM lo', None, ['identifying_dangers', 'understanding_grooming', 'online_vs_real_friends'])}""")
+def effectiveness_report(spark, d):
+    """Effectiveness report (A1-A6) as one long metric table."""
+    from sitescope.operators.reports import effectiveness_report as rep
+    return rep(survey(spark, d))
+
+
+@register('L11_session_report', f"""
+WITH {SESSIONS_SQL},
+tot AS (SELECT sum(count) AS total_sessions, count(DISTINCT session_type) AS unique_session_types,
+               count(DISTINCT month) AS months_active, count(DISTINCT data_source) AS data_sources FROM ses),
+bt AS (SELECT session_type, sum(count) AS total FROM ses GROUP BY 1),
+bs AS (SELECT data_source, sum(count) AS total FROM ses GROUP BY 1),
+bm AS (SELECT month, sum(count) AS total FROM ses GROUP BY 1)
+{_long_sql('totals', 'SELECT * FROM tot', None, ['total_sessions', 'unique_session_types', 'months_active', 'data_sources'])}
+UNION ALL {_long_sql('by_type', 'SELECT * FROM bt', 'session_type', ['total'])}
+UNION ALL {_long_sql('by_source', 'SELECT * FROM bs', 'data_source', ['total'])}
+UNION ALL {_long_sql('monthly', 'SELECT * FROM bm', 'month', ['total'])}""")
+def session_report(spark, d):
+    """Session delivery report (A8-A11) as one long metric table."""
+    from sitescope.operators.reports import session_report as rep
+    return rep(B.sessions(spark, d))
