@@ -50,3 +50,12 @@ def test_query_matches_oracle(spark, duck, key):
     assert c1 == c2
     assert len(sdf) == len(odf)
     assert h1 == h2
+
+
+def test_runner_records_status(spark, tmp_path):
+    from sitescope.plans.runner import run_all
+    st = {r.key: r for r in run_all(spark, SF_SMALL, str(tmp_path), keys=['A1_survey_kpis', 'A9_sessions_by_type'])
+          .collect()}
+    assert st['A1_survey_kpis'].status == 'ok' and st['A1_survey_kpis'].rows == 1
+    assert st['A9_sessions_by_type'].rows == 5
+    assert (tmp_path / '_status').exists()
