@@ -12,7 +12,6 @@ lands in one window partition.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame

@@ -18,8 +18,6 @@ news            documents (title = source, content = text, date from doc_id)
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from sitescope.operators import leads as L
 from sitescope.plans import bindings as B
 from sitescope.plans import sqlparts as S

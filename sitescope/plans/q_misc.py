@@ -15,7 +15,7 @@ from sitescope.operators import textagg as X
 from sitescope.plans import bindings as B
 from sitescope.plans import sqlparts as S
 from sitescope.plans.q_geo import GAPS_SQL, points
-from sitescope.plans.q_leads import CFG, QUERY_RADIUS_KM
+from sitescope.plans.q_leads import CFG
 from sitescope.plans.q_survey import SURVEY_SQL, _SURVEY_OUT, survey
 from sitescope.plans.q_text import CONVS, DOCS, NOT_SUBST, convs, themes_sql
 from sitescope.plans.registry import register
