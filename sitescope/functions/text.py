@@ -82,8 +82,21 @@ def ngram_keys_of(toks, n: int = 2) -> Column:
 
 
 def ngram_keys(clean_col, n: int = 2, min_length: int = 2) -> Column:
-    """C15 as keys: consecutive n-grams over tokens that keep stopwords (length >= min)."""
-    return ngram_keys_of(tokenize(clean_col, min_length=min_length, stopwords=None), n)
+    """C15 as keys: consecutive n-grams over tokens that keep stopwords (length >= min).
+
+    One regex pass over the single-spaced token text: each token that has
+    ``n - 1`` successors is rewritten as "token successors<TAB>" (successors
+    read by lookahead, so every token starts one n-gram); splitting on the tab
+    gives the n-grams in order plus one trailing remainder, which is dropped.
+    No per-element lambda runs.
+    """
+    t = token_text(clean_col, min_length, stopwords=None)
+    if n == 1:
+        return words(t)
+    pattern = '([^ ]+) (?=' + ' '.join(['([^ ]+)'] * (n - 1)) + ')'
+    replacement = ' '.join(f'${i}' for i in range(1, n + 1)) + '\t'
+    parts = F.split(F.regexp_replace(t, pattern, replacement), '\t')
+    return F.slice(parts, 1, F.size(parts) - 1)
 
 
 def ngrams(clean_col, n: int = 2, min_length: int = 2) -> Column:
