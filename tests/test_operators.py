@@ -272,3 +272,29 @@ def test_site_groups_repeated_word_counts_twice(spark):
     got = sorted((r.group_key, r.n_sites) for r in MT.site_groups(df).collect())
     assert ('riverside', 2) in got
     assert ('academy_oak academy', 2) in got
+
+
+def test_hot_keys_stay_whole(spark):
+    """One key holding a third of all rows: results are whole and equal to brute force."""
+    n = 3000
+    # group index: a third of all names share one long word
+    names = spark.createDataFrame([(f'Hotword School {i}' if i % 3 == 0 else f'Name{i} Place{i % 50}',)
+                                   for i in range(n)], 'school_name string')
+    groups = MT.site_groups(names)
+    assert groups.filter(F.col('group_key') == 'hotword').count() == n // 3
+    assert groups.filter(F.col('group_key') == 'hotword').select(F.max('n_sites')).first()[0] == n // 3
+    # dedupe: a third of all rows share one URN (null)
+    rows = [(None if i % 3 == 0 else i, i % 2, i, f'v{i}') for i in range(n)]
+    df = spark.createDataFrame(rows, 'gias_urn long, _t int, reg_ord long, v string')
+    got = {r.gias_urn: r.v for r in L.first_per_key(df, 'gias_urn', ['_t', 'reg_ord']).collect()}
+    assert len(got) == n - n // 3 + 1 and got[None] == 'v0'
+    # radius join: a third of the probe side in one grid cell, salted and unsalted agree
+    rnd = random.Random(5)
+    pts = [(i, 51.5 + rnd.uniform(-0.001, 0.001), -0.1 + rnd.uniform(-0.001, 0.001)) if i % 3 == 0
+           else (i, rnd.uniform(50, 55), rnd.uniform(-4, 1)) for i in range(n)]
+    left = spark.createDataFrame(pts, 'lid long, llat double, llon double')
+    right = spark.createDataFrame([(j, 51.5 + 0.01 * j, -0.1) for j in range(5)], 'rid long, rlat double, rlon double')
+    a = radius_join(left, right, 3.0, 'llat', 'llon', 'rlat', 'rlon').count()
+    b = radius_join(left, right, 3.0, 'llat', 'llon', 'rlat', 'rlon', salt=8).count()
+    bf = left.crossJoin(right).filter(great_circle_km('llat', 'llon', 'rlat', 'rlon') <= 3.0).count()
+    assert a == b == bf and bf >= n // 3
