@@ -298,3 +298,18 @@ def test_hot_keys_stay_whole(spark):
     b = radius_join(left, right, 3.0, 'llat', 'llon', 'rlat', 'rlon', salt=8).count()
     bf = left.crossJoin(right).filter(great_circle_km('llat', 'llon', 'rlat', 'rlon') <= 3.0).count()
     assert a == b == bf and bf >= n // 3
+
+
+def test_kmeans_separated_clusters(spark):
+    rnd = random.Random(21)
+    centres = [(50.0, -3.0), (52.0, 0.0), (54.0, -2.0)]
+    rows = [(f'p{c}_{i}', cy + rnd.uniform(-0.05, 0.05), cx + rnd.uniform(-0.05, 0.05), c)
+            for c, (cy, cx) in enumerate(centres) for i in range(40)]
+    df = spark.createDataFrame(rows, 'school_name string, latitude double, longitude double, truth int')
+    assigned, cent = G.kmeans_clusters(df, 3, seeds=(42, 43))
+    pairs = {(r.truth, r.cluster) for r in assigned.select('truth', 'cluster').distinct().collect()}
+    assert pairs == {(0, 0), (1, 1), (2, 2)}          # ids follow centroid order (latitude first)
+    sizes = {r.cluster: r.size for r in G.cluster_sizes(assigned).collect()}
+    assert sizes == {0: 40, 1: 40, 2: 40}
+    got = sorted((round(r.centroid_lat), round(r.centroid_lon)) for r in G.cluster_centroids(assigned).collect())
+    assert got == [(50, -3), (52, 0), (54, -2)]
