@@ -146,25 +146,38 @@ def coverage_gaps(points: DataFrame, point_id: str, target_radius_km: float = 50
 
 # --------------------------------------------------------------------------- k-means
 
+_KMEANS_MODELS: dict = {}
+
+
 def kmeans_clusters(points: DataFrame, k: int = 5, seeds: Sequence[int] = tuple(range(42, 52)),
-                    lat: str = 'latitude', lon: str = 'longitude', max_iter: int = 20):
+                    lat: str = 'latitude', lon: str = 'longitude', max_iter: int = 20,
+                    cache_key=None):
     """M1: MLlib k-means on raw degrees, best of several seeds (lowest training cost).
 
     Cluster ids are relabelled by centroid order (latitude, then longitude) so
-    they are stable across runs. Returns (assignments, centroids).
+    they are stable across runs. Returns (assignments, centroids). With a
+    ``cache_key`` (same session and input), the fitted model is reused instead
+    of refitting all seeds; the fit is seeded, so results are identical.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
     pts = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     feats = VectorAssembler(inputCols=[lat, lon], outputCol='_features').transform(pts)
-    feats = cut_lineage(feats)
-    best = None
-    for seed in seeds:
-        model = KMeans(k=k, seed=seed, featuresCol='_features', predictionCol='_raw', maxIter=max_iter).fit(feats)
-        cost = model.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, model)
-    model = best[1]
+    key = None if cache_key is None else (cache_key, k, tuple(seeds), lat, lon, max_iter)
+    if key is not None and key in _KMEANS_MODELS:
+        model = _KMEANS_MODELS[key]
+    else:
+        fit_input = cut_lineage(feats)
+        best = None
+        for seed in seeds:
+            m = KMeans(k=k, seed=seed, featuresCol='_features', predictionCol='_raw',
+                       maxIter=max_iter).fit(fit_input)
+            cost = m.summary.trainingCost
+            if best is None or cost < best[0]:
+                best = (cost, m)
+        model = best[1]
+        if key is not None:
+            _KMEANS_MODELS[key] = model
     centres = [tuple(float(v) for v in c) for c in model.clusterCenters()]
     order = sorted(range(len(centres)), key=lambda i: centres[i])
     relabel = {old: new for new, old in enumerate(order)}

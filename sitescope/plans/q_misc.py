@@ -14,7 +14,7 @@ from sitescope.operators import reports as R
 from sitescope.operators import textagg as X
 from sitescope.plans import bindings as B
 from sitescope.plans import sqlparts as S
-from sitescope.plans.q_geo import GAPS_SQL, points
+from sitescope.plans.q_geo import GAPS_SQL, _km_key, points
 from sitescope.plans.q_leads import CFG
 from sitescope.plans.q_survey import SURVEY_SQL, _SURVEY_OUT, survey
 from sitescope.plans.q_text import CONVS, DOCS, NOT_SUBST, convs, themes_sql
@@ -130,7 +130,7 @@ def lead_markers(spark, d):
 @register('V5_cluster_scatter')
 def cluster_scatter(spark, d):
     """V5 + P19: scatter data (lon, lat, cluster colour) of k-means clusters (rows-only)."""
-    assigned, _ = G.kmeans_clusters(points(spark, d), 5)
+    assigned, _ = G.kmeans_clusters(points(spark, d), 5, cache_key=_km_key(spark, d))
     return assigned.select('longitude', 'latitude', 'cluster', C.cluster_colour('cluster').alias('colour'))
 
 
