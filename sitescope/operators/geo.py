@@ -168,14 +168,18 @@ def kmeans_clusters(points: DataFrame, k: int = 5, seeds: Sequence[int] = tuple(
         model = _KMEANS_MODELS[key]
     else:
         fit_input = cut_lineage(feats)
-        best = None
-        for seed in seeds:
+
+        def fit(seed):
             m = KMeans(k=k, seed=seed, featuresCol='_features', predictionCol='_raw',
                        maxIter=max_iter).fit(fit_input)
-            cost = m.summary.trainingCost
-            if best is None or cost < best[0]:
-                best = (cost, m)
-        model = best[1]
+            return m.summary.trainingCost, m
+
+        # the restarts are independent small jobs: submit them concurrently
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=max(1, min(len(seeds), 4))) as pool:
+            fits = list(pool.map(fit, seeds))
+        # lowest cost wins; ties go to the earlier seed (deterministic)
+        model = min(enumerate(fits), key=lambda t: (t[1][0], t[0]))[1][1]
         if key is not None:
             _KMEANS_MODELS[key] = model
     centres = [tuple(float(v) for v in c) for c in model.clusterCenters()]
