@@ -245,3 +245,9 @@ def load_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def head_rows(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
+    """The first ``n`` rows in ``order_by`` order (a top-k: each task
+    keeps its n best rows, so it never gathers a table)."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in order_by]).limit(n)

@@ -313,3 +313,10 @@ def test_kmeans_separated_clusters(spark):
     assert sizes == {0: 40, 1: 40, 2: 40}
     got = sorted((round(r.centroid_lat), round(r.centroid_lon)) for r in G.cluster_centroids(assigned).collect())
     assert got == [(50, -3), (52, 0), (54, -2)]
+
+
+def test_head_rows_and_profile(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else f'v{i}') for i in range(30, 0, -1)], 'k long, v string')
+    assert [r.k for r in M.head_rows(df, ['k'], 10).collect()] == list(range(1, 11))
+    prof = {r.column_name: (r.rows, r.non_null, r.dtype) for r in M.table_profile(df, 't').collect()}
+    assert prof == {'k': (30, 30, 'bigint'), 'v': (30, 23, 'string')}
