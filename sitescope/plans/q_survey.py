@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sitescope.operators import metrics as M
 from sitescope.plans import bindings as B
 from sitescope.plans import sqlparts as S
@@ -322,3 +324,35 @@ def session_report(spark, d):
     """Session delivery report (A8-A11) as one long metric table."""
     from sitescope.operators.reports import session_report as rep
     return rep(B.sessions(spark, d))
+
+
+@register('S12_first_rows', f"""
+WITH {S.REGISTRY}
+SELECT gias_urn, gias_name, trust_name, fsm_percentage FROM reg ORDER BY gias_urn LIMIT 10""")
+def first_rows(spark, d):
+    """The first ten registry rows (profile preview; the limit is the feature)."""
+    r = B.registry(spark, d).select('gias_urn', 'gias_name', 'trust_name', 'fsm_percentage')
+    return M.head_rows(r, ['gias_urn'], 10)
+
+
+CATEGORY_TERMS = ('nation_1', 'nation_7')   # substring terms: 'nation_1' also matches NATION_10..19
+
+
+@register('P6_category_filter', f"""
+WITH {S.REGISTRY}
+SELECT gias_urn, gias_name, trust_name FROM reg
+WHERE {' OR '.join(f"coalesce(contains(lower(trust_name), '{t}'), false)" for t in CATEGORY_TERMS)}""")
+def category_filter(spark, d):
+    """Registry rows whose grouping value contains any of a term list (case-insensitive)."""
+    from sitescope.functions.clean import contains_any
+    r = B.registry(spark, d)
+    return r.filter(contains_any('trust_name', CATEGORY_TERMS)).select('gias_urn', 'gias_name', 'trust_name')
+
+
+@register('C9_bookings_per_year', """
+SELECT year(o_orderdate) AS year, count(*) AS bookings FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1""")
+def bookings_per_year(spark, d):
+    """Bookings per calendar year."""
+    from sitescope.functions.clean import year_part
+    b = B.bookings(spark, d).filter(F.col('submission_date').isNotNull())
+    return b.groupBy(year_part('submission_date').alias('year')).agg(F.count(F.lit(1)).alias('bookings'))
