@@ -36,7 +36,7 @@ LOSS_ROLE = 'assistant'
 #: Turns that are assembled at a time, and bytes that their texts may have.
 BATCH_TURNS, BATCH_BYTES = 4096, 32_000_000
 
-TURN = re.compile(r'### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n', re.S)
+TURN = re.compile(r'### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n', re.S)
 ESCAPED = re.compile(r'\\(.)', re.S)
 
 
@@ -99,12 +99,10 @@ def format_chats(turns: DataFrame, conv_col: str = 'conv_id', turn_col: str = 't
                  text_col: str = 'text') -> DataFrame:
     """Format conversations given as one row per turn.
 
-    Columns: conv_id, piece_from (the smallest turn of a piece, in the order of
-    the result), piece (place among the pieces of one task), formatted, n_turns,
-    loss_starts and loss_lengths (arrays of byte spans of ``formatted`` that
-    the loss mask covers: each assistant text). A conversation's pieces in
-    order of (part, piece) are its whole text, where part is the range that
-    the piece comes from.
+    Columns: conv_id, part (the range of rows that a piece comes from), piece
+    (its place there), formatted, n_turns, loss_starts and loss_lengths (byte
+    spans of ``formatted`` that the loss mask covers: each assistant text). A
+    conversation's pieces in order of (part, piece) are its whole text.
 
     Turns are put in order of (turn, role, text), nulls first, so ties are in
     a defined order; repeated rows are repeated turns. A null role or text
