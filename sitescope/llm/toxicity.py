@@ -147,14 +147,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = 'toxic', id_col: st
         positive: int = SAMPLE_POSITIVE, negative: int = SAMPLE_NEGATIVE) -> Model:
     """Train on a bounded sample of the labelled rows (at most ``positive + negative`` of them).
 
-    Labels are joined by id; ids without a text count as empty, ids labelled
-    twice take the larger label, null labels and ids are left out. Features are
+    Labels are joined by id; null texts count as empty, an id that several
+    rows have takes their smallest text and largest label, null labels and ids
+    are left out. Features are
     made on the executors, only those of the sample reach the driver.
     """
     chosen = sample_labels(labels, label_col, id_col, positive, negative)
     texts = docs.select(F.col(id_col).alias('__id'), F.col(text_col).alias('__text'))
     # The sample is bounded, so it is the side to send to the documents.
-    joined = texts.join(F.broadcast(chosen), '__id').select('__id', '__label', '__text')
+    joined = (texts.join(F.broadcast(chosen), '__id').groupBy('__id')
+              .agg(F.max('__label').alias('__label'), F.min('__text').alias('__text')))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
