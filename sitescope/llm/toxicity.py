@@ -27,6 +27,8 @@ SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 2000, 4000
 
 BUCKETS, WIDTH, NGRAMS = 1 << 17, 8, (3, 4, 5)
 EPOCHS, BATCH, RATE, SEED = 5, 32, 1.0, 11
+#: A small sample is gone through more often, for about this many steps.
+LEAST_STEPS = 600
 BASE, WORDS_AT_ONCE = 1_000_003, 50_000
 #: Shorter texts are averaged as if empty words filled them up to this many.
 LEAST_WORDS = 20
@@ -103,7 +105,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) ->
     seen_emb, seen_out, seen_bias = np.full(emb.shape, START, np.float32), np.full(out.shape, 1e-4, np.float32), np.full(2, 1e-4, np.float32)
     share = np.bincount(labels, minlength=2) / max(1, len(labels))
     balance = np.where(share > 0, 0.5 / np.maximum(share, 1e-9), 0)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, LEAST_STEPS * BATCH // max(1, len(labels)))):
         order = rng.permutation(len(labels))
         for at in range(0, len(order), BATCH):
             rows = order[at:at + BATCH]
