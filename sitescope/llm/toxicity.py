@@ -26,14 +26,14 @@ from sitescope.llm.common import number_words, offsets
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 2000, 4000
 
 BUCKETS, WIDTH, NGRAMS = 1 << 17, 8, (3, 4, 5)
-EPOCHS, BATCH, RATE, SEED = 5, 32, 1.0, 11
+EPOCHS, BATCH, RATE, SEED = 5, 32, 3.0, 11
 #: A small sample is gone through more often, for about this many steps.
 LEAST_STEPS = 600
 BASE, WORDS_AT_ONCE = 1_000_003, 50_000
 #: Shorter texts are averaged as if empty words filled them up to this many.
 LEAST_WORDS = 20
 #: Adagrad's starting sums for embeddings: buckets seen a few times move little.
-START = 1e-6
+START = 1e-5
 
 WORDS = re.compile(r'\w+').findall
 
