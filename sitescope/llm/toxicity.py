@@ -111,7 +111,7 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) ->
             rows = order[at:at + BATCH]
             sizes = [len(features[r][0]) for r in rows]
             bucket = np.concatenate([features[r][0] for r in rows])
-            weight = np.concatenate([features[r][1] for r in rows])
+            weight = np.concatenate([features[r][1] for r in rows]).astype(np.float32)
             of = np.repeat(np.arange(len(rows)), sizes)
             used, place = np.unique(bucket, return_inverse=True)
             near = emb[used]
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = 'toxic', id_col: st
     Labels are joined by id; null texts count as empty, an id that several
     rows have takes their smallest text and largest label, null labels and ids
     are left out. Features are
-    made on the executors, only those of the sample reach the driver.
+    made and trained on by tasks, only the model reaches the driver.
     """
     chosen = sample_labels(labels, label_col, id_col, positive, negative)
     texts = docs.select(F.col(id_col).alias('__id'), F.col(text_col).alias('__text'))
@@ -167,11 +167,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = 'toxic', id_col: st
                 batch.column(0).cast(pa.string()), batch.column(1), pa.array([b.tobytes() for b, _ in made], pa.binary()),
                 pa.array([w.astype(np.float16).tobytes() for _, w in made], pa.binary())], ['id', 'label', 'buckets', 'weights'])
 
-    rows = joined.mapInArrow(run, 'id string, label int, buckets binary, weights binary').toPandas()
-    rows = rows.sort_values(['id', 'buckets']).reset_index(drop=True)
-    features = [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float16).astype(np.float32))
-                for b, w in zip(rows['buckets'], rows['weights'])]
-    return train(features, rows['label'].to_numpy(np.int64))
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).sort_by([('id', 'ascending')])
+        buckets, weights = (rows.column(c).to_pylist() for c in ('buckets', 'weights'))
+        features = [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float16)) for b, w in zip(buckets, weights)]
+        model = train(features, rows.column('label').to_numpy().astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary())
+                                          for x in (model.embeddings, model.weights, model.bias)], ['embeddings', 'weights', 'bias'])
+
+    # The bounded sample is trained on in one task, which a lost executor repeats alike; the model has a fixed size.
+    features = joined.mapInArrow(run, 'id string, label int, buckets binary, weights binary').repartition(1)
+    found = features.mapInArrow(learn, 'embeddings binary, weights binary, bias binary').first()
+    if not found:
+        return train([], np.zeros(0, np.int64))
+    emb, out, bias = (np.frombuffer(x, np.float32) for x in found)
+    return Model(emb.reshape(BUCKETS, WIDTH), out.reshape(WIDTH, 2), bias)
 
 
 def scorer(docs: DataFrame, model: Model) -> 'callable':
