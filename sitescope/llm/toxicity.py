@@ -29,6 +29,8 @@ BUCKETS, WIDTH, NGRAMS = 1 << 17, 8, (3, 4, 5)
 EPOCHS, BATCH, RATE, SEED = 5, 32, 3.0, 11
 #: A small sample is gone through more often, for about this many steps.
 LEAST_STEPS = 600
+#: Softmax and biases learn at this part of the embeddings' rate.
+PACE = 0.3
 BASE, WORDS_AT_ONCE = 1_000_003, 50_000
 #: Shorter texts are averaged as if empty words filled them up to this many.
 LEAST_WORDS = 20
@@ -105,31 +107,32 @@ def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) ->
     seen_emb, seen_out, seen_bias = np.full(emb.shape, START, np.float32), np.full(out.shape, 1e-4, np.float32), np.full(2, 1e-4, np.float32)
     share = np.bincount(labels, minlength=2) / max(1, len(labels))
     balance = np.where(share > 0, 0.5 / np.maximum(share, 1e-9), 0)
-    for _ in range(max(EPOCHS, LEAST_STEPS * BATCH // max(1, len(labels)))):
-        order = rng.permutation(len(labels))
-        for at in range(0, len(order), BATCH):
-            rows = order[at:at + BATCH]
-            sizes = [len(features[r][0]) for r in rows]
-            bucket = np.concatenate([features[r][0] for r in rows])
-            weight = np.concatenate([features[r][1] for r in rows]).astype(np.float32)
-            of = np.repeat(np.arange(len(rows)), sizes)
-            used, place = np.unique(bucket, return_inverse=True)
-            near = emb[used]
-            mean = np.zeros((len(rows), WIDTH), np.float32)
-            contribution = near[place] * weight[:, None]
-            for k in range(WIDTH):
-                mean[:, k] = np.bincount(of, contribution[:, k], minlength=len(rows))
-            logits = mean @ out + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), labels[rows]] -= 1
-            error = (p * balance[labels[rows]][:, None] / len(rows)).astype(np.float32)
-            pull = np.stack([np.bincount(place, weight * error[of, k], minlength=len(used)) for k in range(2)], axis=1)
-            for value, seen, grad, where in ((emb, seen_emb, (pull @ out.T).astype(np.float32), used),
-                                             (out, seen_out, mean.T @ error, slice(None)),
-                                             (bias, seen_bias, error.sum(axis=0), slice(None))):
-                seen[where] += grad ** 2
-                value[where] -= RATE * grad / np.sqrt(seen[where])
+    epochs = max(EPOCHS, LEAST_STEPS * BATCH // max(1, len(labels)))
+    steps = [rows for _ in range(epochs if len(labels) else 0)
+             for rows in np.array_split(rng.permutation(len(labels)), -(-len(labels) // BATCH))]
+    for step, rows in enumerate(steps):
+        rate = RATE * (1 - step / len(steps))  # falls to nothing, so the last texts weigh no more than others
+        sizes = [len(features[r][0]) for r in rows]
+        bucket = np.concatenate([features[r][0] for r in rows])
+        weight = np.concatenate([features[r][1] for r in rows]).astype(np.float32)
+        of = np.repeat(np.arange(len(rows)), sizes)
+        used, place = np.unique(bucket, return_inverse=True)
+        near = emb[used]
+        mean = np.zeros((len(rows), WIDTH), np.float32)
+        contribution = near[place] * weight[:, None]
+        for k in range(WIDTH):
+            mean[:, k] = np.bincount(of, contribution[:, k], minlength=len(rows))
+        logits = mean @ out + bias
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(rows)), labels[rows]] -= 1
+        error = (p * balance[labels[rows]][:, None] / len(rows)).astype(np.float32)
+        pull = np.stack([np.bincount(place, weight * error[of, k], minlength=len(used)) for k in range(2)], axis=1)
+        for value, seen, grad, where, pace in ((emb, seen_emb, (pull @ out.T).astype(np.float32), used, 1),
+                                         (out, seen_out, mean.T @ error, slice(None), PACE),
+                                         (bias, seen_bias, error.sum(axis=0), slice(None), PACE)):
+            seen[where] += grad ** 2
+            value[where] -= rate * pace * grad / np.sqrt(seen[where])
     return Model(emb, out, bias)
 
 
@@ -151,8 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = 'toxic', id_col: st
 
     Labels are joined by id; null texts count as empty, an id that several
     rows have takes their smallest text and largest label, null labels and ids
-    are left out. Features are
-    made and trained on by tasks, only the model reaches the driver.
+    are left out. Features are made and trained on by tasks; only the model
+    reaches the driver. Without any row the model scores everything 0.5.
     """
     chosen = sample_labels(labels, label_col, id_col, positive, negative)
     texts = docs.select(F.col(id_col).alias('__id'), F.col(text_col).alias('__text'))
@@ -168,7 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = 'toxic', id_col: st
                 pa.array([w.astype(np.float16).tobytes() for _, w in made], pa.binary())], ['id', 'label', 'buckets', 'weights'])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)).sort_by([('id', 'ascending')])
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([('id', 'ascending')])
         buckets, weights = (rows.column(c).to_pylist() for c in ('buckets', 'weights'))
         features = [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float16)) for b, w in zip(buckets, weights)]
         model = train(features, rows.column('label').to_numpy().astype(np.int64))
