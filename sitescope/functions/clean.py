@@ -89,16 +89,23 @@ def to_number(c) -> Column:
     return F.when(txt.rlike(NUMERIC_TEXT), txt.try_cast('double'))
 
 
-def to_timestamp_any(c, formats: Sequence[str] = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss",
-                                                   "yyyy-MM-dd", "dd/MM/yyyy HH:mm", "dd/MM/yyyy",
-                                                   "MM/dd/yyyy")) -> Column:
+DATE_FORMATS = ("yyyy-MM-dd", "MM/dd/yyyy", "dd/MM/yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy")
+TIME_FORMATS = ("", " HH:mm:ss", " HH:mm")
+
+
+def to_timestamp_any(c, formats: Sequence[str] = tuple(d + t for d in DATE_FORMATS for t in TIME_FORMATS)) -> Column:
     """First format that parses; unparsable -> null.
 
-    The result is a naive (time-zone-free) timestamp, like the source data, so
-    it does not depend on the session time zone.
+    Slashed dates are read month first, and day first only where that cannot
+    be a date. A ``T`` before the time, a fraction of a second and a zone are
+    taken off first, so the result is the naive local time that was written and
+    does not depend on the session time zone.
     """
-    col = _c(c)
-    txt = strip(col.cast('string'))
+    txt = strip(_c(c).cast('string'))
+    txt = F.regexp_replace(txt, r'^(\d{4}-\d{2}-\d{2})T', '$1 ')
+    txt = F.regexp_replace(txt, r'(\d{2}:\d{2}(?::\d{2})?)(?:\.\d+)?\s*(?:Z|[+-]\d{2}:?\d{2})?$', '$1')
+    txt = F.regexp_replace(txt, r'^(\d)/', '0$1/')
+    txt = F.regexp_replace(txt, r'^(\d{2})/(\d)/', '$1/0$2/')
     return F.coalesce(*[F.try_to_timestamp(txt, F.lit(f)) for f in formats]).cast('timestamp_ntz')
 
 

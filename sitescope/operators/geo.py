@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitescope.functions import lexicons as lx
+from sitescope.functions.geo import haversine_km
 from sitescope.operators.spatial import nearest_join, nearest_other, radius_join
 from sitescope.session import cut_lineage
 
@@ -74,30 +75,31 @@ def _monotone_chain(xy: np.ndarray) -> np.ndarray:
 
 
 def _hull_partition(it):
-    chunks = [pdf[['x', 'y']].to_numpy(dtype=float) for pdf in it]
-    if not chunks:
-        return
-    pts = np.vstack(chunks)
-    if len(pts) == 0:
-        return
-    h = _monotone_chain(pts)
-    yield pd.DataFrame({'x': h[:, 0], 'y': h[:, 1]}) if len(h) else pd.DataFrame({'x': [], 'y': []})
+    """Hull of a partition's points, batch by batch: only the hull so far is held."""
+    hull = np.zeros((0, 2))
+    for pdf in it:
+        pts = np.vstack((hull, pdf[['x', 'y']].to_numpy(dtype=float)))
+        if len(pts):
+            hull = _monotone_chain(pts).reshape(-1, 2)
+    yield pd.DataFrame({'x': hull[:, 0], 'y': hull[:, 1]})
+
 
+HULL_LEVELS = (64, 8, 1)
 
-def hull_vertices(points: DataFrame, lat: str = 'latitude', lon: str = 'longitude', fanout: int = 16) -> DataFrame:
-    """Convex hull of all points by a tree of per-partition hulls.
 
-    Each task reduces its partition to its hull (vertices only); partitions are
-    then merged ``fanout`` at a time with ``coalesce`` (no shuffle) and reduced
-    again, until one partition holds the hull of hulls.
+def hull_vertices(points: DataFrame, lat: str = 'latitude', lon: str = 'longitude',
+                  levels: Sequence[int] = HULL_LEVELS) -> DataFrame:
+    """Convex hull of all points by a tree of hulls.
+
+    Every input partition is reduced to its hull; then only vertices are
+    shuffled, at each level to fewer partitions that reduce them again, until
+    one partition holds the hull of hulls.
     """
     cur = points.select(F.col(lat).cast('double').alias('x'), F.col(lon).cast('double').alias('y')) \
                 .filter(F.col('x').isNotNull() & F.col('y').isNotNull())
     cur = cur.mapInPandas(_hull_partition, 'x double, y double')
-    n = cur.rdd.getNumPartitions()
-    while n > 1:
-        n = max(1, n // fanout)
-        cur = cur.coalesce(n).mapInPandas(_hull_partition, 'x double, y double')
+    for n in levels:
+        cur = cur.repartition(n).mapInPandas(_hull_partition, 'x double, y double')
     return cur
 
 
@@ -118,7 +120,7 @@ def hull_area(points: DataFrame, lat: str = 'latitude', lon: str = 'longitude',
     """Convex-hull coverage area (deg² × 111²); null for < 3 points or a degenerate hull."""
     pts = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
     n = pts.agg(F.count(F.lit(1)).alias('total_points'))
-    area = (hull_vertices(pts, lat, lon).coalesce(1)
+    area = (hull_vertices(pts, lat, lon)
             .mapInPandas(_shoelace, 'hull_vertices long, hull_area_deg2 double'))
     return (n.crossJoin(area)
              .withColumn('coverage_area_km2',
@@ -146,42 +148,40 @@ def coverage_gaps(points: DataFrame, point_id: str, target_radius_km: float = 50
 
 # --------------------------------------------------------------------------- k-means
 
-_KMEANS_MODELS: dict = {}
+#: Rounds after which a fit counts as not converging (an error, not a result).
+KMEANS_ROUNDS = 10_000
 
 
 def kmeans_clusters(points: DataFrame, k: int = 5, seeds: Sequence[int] = tuple(range(42, 52)),
-                    lat: str = 'latitude', lon: str = 'longitude', max_iter: int = 20,
-                    cache_key=None):
+                    lat: str = 'latitude', lon: str = 'longitude'):
     """M1: MLlib k-means on raw degrees, best of several seeds (lowest training cost).
 
+    Equal coordinates are one weighted point. Every fit runs until its centres
+    move less than MLlib's tolerance; one that does not get there raises.
     Cluster ids are relabelled by centroid order (latitude, then longitude) so
-    they are stable across runs. Returns (assignments, centroids). With a
-    ``cache_key`` (same session and input), the fitted model is reused instead
-    of refitting all seeds; the fit is seeded, so results are identical.
+    they are stable across runs. Returns (assignments, centroids).
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
+    assembler = VectorAssembler(inputCols=[lat, lon], outputCol='_features')
     pts = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    feats = VectorAssembler(inputCols=[lat, lon], outputCol='_features').transform(pts)
-    key = None if cache_key is None else (cache_key, k, tuple(seeds), lat, lon, max_iter)
-    if key is not None and key in _KMEANS_MODELS:
-        model = _KMEANS_MODELS[key]
-    else:
-        fit_input = cut_lineage(feats)
-
-        def fit(seed):
-            m = KMeans(k=k, seed=seed, featuresCol='_features', predictionCol='_raw',
-                       maxIter=max_iter).fit(fit_input)
-            return m.summary.trainingCost, m
-
-        # the restarts are independent small jobs: submit them concurrently
-        from concurrent.futures import ThreadPoolExecutor
-        with ThreadPoolExecutor(max_workers=max(1, min(len(seeds), 4))) as pool:
-            fits = list(pool.map(fit, seeds))
-        # lowest cost wins; ties go to the earlier seed (deterministic)
-        model = min(enumerate(fits), key=lambda t: (t[1][0], t[0]))[1][1]
-        if key is not None:
-            _KMEANS_MODELS[key] = model
+    feats = assembler.transform(pts)
+    weighted = pts.groupBy(lat, lon).agg(F.count(F.lit(1)).cast('double').alias('_w'))
+    fit_input = cut_lineage(assembler.transform(weighted).select('_features', '_w'))
+
+    def fit(seed):
+        m = KMeans(k=k, seed=seed, featuresCol='_features', predictionCol='_raw', weightCol='_w',
+                   maxIter=KMEANS_ROUNDS).fit(fit_input)
+        if m.summary.numIter >= KMEANS_ROUNDS:
+            raise RuntimeError(f'k-means with seed {seed} did not converge in {KMEANS_ROUNDS} rounds')
+        return m.summary.trainingCost, m
+
+    # the restarts are independent small jobs: submit them concurrently
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(len(seeds), 4))) as pool:
+        fits = list(pool.map(fit, seeds))
+    # lowest cost wins; ties go to the earlier seed (deterministic)
+    model = min(enumerate(fits), key=lambda t: (t[1][0], t[0]))[1][1]
     centres = [tuple(float(v) for v in c) for c in model.clusterCenters()]
     order = sorted(range(len(centres)), key=lambda i: centres[i])
     relabel = {old: new for new, old in enumerate(order)}
@@ -211,14 +211,18 @@ def nearest_centroid(leads: DataFrame, lead_id: str, centroids: DataFrame, lat:
     """Nearest cluster centroid per lead (haversine)."""
     c = centroids.select(F.col(cluster_col).alias('nearest_cluster'),
                          F.col('centroid_lat').alias('_cla'), F.col('centroid_lon').alias('_clo'))
-    return nearest_join(leads.select(lead_id, lat, lon), c, 1, lead_id, ['nearest_cluster'], lat, lon,
-                        '_cla', '_clo', distance='haversine', start_radius_km=None,
-                        dist_col='centroid_km').drop('_cla', '_clo', 'rank')
+    # one row per cluster: k is a parameter, so the side is bounded, and each lead keeps one row
+    near = (leads.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(lead_id, lat, lon)
+                 .crossJoin(F.broadcast(c))
+                 .withColumn('centroid_km', haversine_km(lat, lon, '_cla', '_clo'))
+                 .groupBy(lead_id, lat, lon)
+                 .agg(F.min(F.struct('centroid_km', 'nearest_cluster')).alias('_n')))
+    return near.select(lead_id, lat, lon, '_n.nearest_cluster', '_n.centroid_km')
 
 
 # --------------------------------------------------------------------------- DBSCAN (M2)
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Component label (smallest node id) per node: ``_v`` -> ``_p``.
 
     Shiloach-Vishkin style on DataFrames: every round hooks each tree root onto
@@ -230,7 +234,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
     und = edges.select('_a', '_b').unionByName(edges.select(F.col('_b').alias('_a'), F.col('_a').alias('_b')))
     und = cut_lineage(und.filter(F.col('_a') != F.col('_b')).distinct())
     par = cut_lineage(nodes.select('_v').distinct().withColumn('_p', F.col('_v')))
-    for _ in range(max_rounds):
+    while True:
         la = par.select(F.col('_v').alias('_a'), F.col('_p').alias('_pa'))
         lb = par.select(F.col('_v').alias('_b'), F.col('_p').alias('_pb'))
         hooks = (und.join(la, '_a').join(lb, '_b').filter(F.col('_pa') < F.col('_pb'))
@@ -255,7 +259,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 6
 
 
 def dbscan(points: DataFrame, point_id: str, eps_km: float = 0.5, min_samples: int = 3,
-           lat: str = 'latitude', lon: str = 'longitude', max_rounds: int = 64) -> DataFrame:
+           lat: str = 'latitude', lon: str = 'longitude') -> DataFrame:
     """M2: DBSCAN with haversine distance (R = 6371), eps in km; noise = -1.
 
     1. identical coordinates are collapsed with a weight (a hot duplicate
@@ -281,8 +285,7 @@ def dbscan(points: DataFrame, point_id: str, eps_km: float = 0.5, min_samples: i
                   .filter(F.col('_loc') != F.col('_nb')).select('_loc', '_nb'))
     edges = cut_lineage(edges)
     labels = connected_components(core.select(F.col('_loc').alias('_v')),
-                                  edges.select(F.col('_loc').alias('_a'), F.col('_nb').alias('_b')),
-                                  max_rounds=max_rounds)
+                                  edges.select(F.col('_loc').alias('_a'), F.col('_nb').alias('_b')))
     labels = labels.select(F.col('_v').alias('_loc'), F.col('_p').alias('_lab'))
     border = (pairs.join(core, '_loc', 'left_anti')
                    .join(labels.select(F.col('_loc').alias('_nb'), F.col('_lab').alias('_nl')), '_nb')

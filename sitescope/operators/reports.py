@@ -43,34 +43,30 @@ BEST_PRACTICES = (
 )
 
 
-def _q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def data_gap_report(survey: DataFrame, min_missing_pct: float = 20.0) -> DataFrame:
+def data_gap_report(survey: DataFrame, min_missing_pct: float = 20.0,
+                    pre_assessment: DataFrame | None = None) -> DataFrame:
     """(section, item, detail): low-response fields from A7, then the
-    missing-data rules and suggested additions (fixed rule rows)."""
+    missing-data rules and suggested additions. The pre-assessment rule applies
+    only where no pre-assessment table is given."""
     low = M.completeness(survey, min_missing_pct).select(
         F.lit('low_response_fields').alias('section'), F.col('field').alias('item'),
         F.round('missing_percentage', 6).cast('string').alias('detail'))
     spark = survey.sparkSession
-    fixed = [('missing_data_points', c, f'{d} - {i}') for c, d, i in MISSING_DATA_POINTS]
+    fixed = [('missing_data_points', c, f'{d} - {i}') for c, d, i in MISSING_DATA_POINTS
+             if pre_assessment is None or c != 'Pre-assessment']
     fixed += [('suggested_additions', str(k + 1), t) for k, t in enumerate(SUGGESTED_ADDITIONS)]
     return low.unionByName(spark.createDataFrame(fixed, 'section string, item string, detail string'))
 
 
-GAP_ROWS_SQL = ' UNION ALL '.join(
-    [f"SELECT 'missing_data_points', {_q(c)}, {_q(d + ' - ' + i)}" for c, d, i in MISSING_DATA_POINTS]
-    + [f"SELECT 'suggested_additions', '{k + 1}', {_q(t)}" for k, t in enumerate(SUGGESTED_ADDITIONS)])
-
-
 def recommendations(improve_themes: DataFrame, positive_themes: DataFrame, gaps: DataFrame,
-                    top_improvements: int = 3) -> DataFrame:
+                    survey: DataFrame | None = None, top_improvements: int = 3) -> DataFrame:
     """(category, rank, recommendation) from the metric tables.
 
     Top improvement themes (count desc, then name), the single most frequent
     positive theme, the delivery rules, the isolated-site rule when any site is
     beyond the target, the fixed best practices and suggested additions.
+    The age rule needs an effectiveness table (``survey``, cleaned), the
+    external-speaker rule some non-null answer about the speaker in it.
     """
     spark = improve_themes.sparkSession
     imp = (improve_themes.orderBy(F.col('count').desc(), 'theme').limit(top_improvements)
@@ -88,38 +84,19 @@ def recommendations(improve_themes: DataFrame, positive_themes: DataFrame, gaps:
                    F.format_string(ISOLATED_MESSAGE.replace('{n}', '%d'), 'schools_beyond_target')
                    .alias('recommendation')))
     fixed = [('workshop_content', 3, 0, f'{i:02d}', t) for i, t in enumerate(BEST_PRACTICES)]
-    fixed += [('delivery_optimization', 1, 0, f'{i:02d}', t) for i, t in enumerate(DELIVERY_MESSAGES)]
     fixed += [('data_collection', 1, 0, f'{i:02d}', t) for i, t in enumerate(SUGGESTED_ADDITIONS)]
     const = spark.createDataFrame(fixed, 'category string, _g int, _c long, _k string, recommendation string')
     allr = imp.unionByName(pos).unionByName(geo).unionByName(const)
+    if survey is not None:
+        has = survey.agg(F.lit(True).alias('age'), (F.count('external_speaker_engaging') > 0).alias('speaker'))
+        for i, (flag, message) in enumerate(zip(('age', 'speaker'), DELIVERY_MESSAGES)):
+            allr = allr.unionByName(has.filter(flag).select(
+                F.lit('delivery_optimization').alias('category'), F.lit(1).alias('_g'), F.lit(0).cast('long').alias('_c'),
+                F.lit(f'{i:02d}').alias('_k'), F.lit(message).alias('recommendation')))
     w = Window.partitionBy('category').orderBy('_g', F.col('_c').desc(), '_k')
     return allr.withColumn('rank', F.row_number().over(w)).select('category', 'rank', 'recommendation')
 
 
-def recommendations_sql(improve_sql: str, positive_sql: str, gaps_sql: str) -> str:
-    fixed = [f"SELECT 'workshop_content', 3, 0, '{i:02d}', {_q(t)}" for i, t in enumerate(BEST_PRACTICES)]
-    fixed += [f"SELECT 'delivery_optimization', 1, 0, '{i:02d}', {_q(t)}" for i, t in enumerate(DELIVERY_MESSAGES)]
-    fixed += [f"SELECT 'data_collection', 1, 0, '{i:02d}', {_q(t)}" for i, t in enumerate(SUGGESTED_ADDITIONS)]
-    gaps_cte = gaps_sql.strip()
-    assert gaps_cte.upper().startswith('WITH')
-    return f"""
-WITH imp AS ({improve_sql}), pos AS ({positive_sql}), {gaps_cte[4:]},
-g AS (SELECT count(*) FILTER (WHERE nearest_km > 50.0) AS n FROM nn),
-allr(category, g, c, k, recommendation) AS (
-  SELECT * FROM (SELECT 'workshop_content', 1, count, theme,
-                        'Address ''' || theme || ''' feedback - mentioned by ' || CAST(count AS VARCHAR) || ' students'
-                 FROM imp ORDER BY count DESC, theme LIMIT 3)
-  UNION ALL
-  SELECT * FROM (SELECT 'workshop_content', 2, count, theme,
-                        'Continue emphasizing ''' || theme || ''' - most appreciated aspect'
-                 FROM pos ORDER BY count DESC, theme LIMIT 1)
-  UNION ALL
-  SELECT 'geographic_expansion', 1, 0, '', 'Identify ' || CAST(n AS VARCHAR) || ' isolated schools for targeted outreach'
-  FROM g WHERE n > 0
-  UNION ALL {' UNION ALL '.join(fixed)})
-SELECT category, row_number() OVER (PARTITION BY category ORDER BY g, c DESC, k) AS rank, recommendation FROM allr"""
-
-
 def site_markers(visited: DataFrame, min_visits: int = 2) -> DataFrame:
     """V1 + P16 + C30: marker rows for visited sites with coordinates."""
     popup = F.concat_ws('\n', F.col('school_name'),

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from sitescope.functions import lexicons as lx
 from sitescope.functions import text as T
-from sitescope.session import spread
 
 
 def _words_table(spark, words: Sequence[str], col: str = 'word') -> DataFrame:
@@ -27,12 +26,12 @@ def _words_table(spark, words: Sequence[str], col: str = 'word') -> DataFrame:
 def _cleaned(df: DataFrame, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """Cleaned text materialised once as ``_c`` (later expressions reference the
     column, so it is not recomputed inside every conditional branch)."""
-    return spread(df.filter(F.col(text_col).isNotNull())).select(*keep, T.clean_text(text_col).alias('_c'))
+    return df.filter(F.col(text_col).isNotNull()).select(*keep, T.clean_text(text_col).alias('_c'))
 
 
 def _exploded_tokens(df: DataFrame, text_col: str, order_col: str, min_length: int) -> DataFrame:
-    """(word, first) for every whitespace token of the cleaned text with length >= min."""
-    cleaned = spread(df.filter(F.col(text_col).isNotNull())).select(
+    """(_ord, _pos, word) for every whitespace token of the cleaned text with length >= min."""
+    cleaned = df.filter(F.col(text_col).isNotNull()).select(
         F.col(order_col).alias('_ord'), T.words(T.clean_text(text_col)).alias('_w'))
     # *_outer generators: a plain explode makes Catalyst infer a size(...) > 0
     # filter and push a second copy of the text expression down to the scan
@@ -40,52 +39,51 @@ def _exploded_tokens(df: DataFrame, text_col: str, order_col: str, min_length: i
                    .filter(F.length('word') >= min_length))
 
 
-_POS_BITS = 21            # positions below 2^21 tokens per text
-_ORD_LIMIT = 1 << 42      # order keys in [0, 2^42)
-_LAST = (1 << 63) - 1     # out-of-range occurrences rank after all others
+def _exploded_ngrams(df: DataFrame, text_col: str, order_col: str, n: int, min_length: int) -> DataFrame:
+    keys = df.filter(F.col(text_col).isNotNull()).select(
+        F.col(order_col).alias('_ord'), T.ngram_keys(T.clean_text(text_col), n, min_length).alias('_g'))
+    return (keys.select('_ord', F.posexplode_outer('_g').alias('_pos', 'ngram'))
+                .filter(F.col('ngram').isNotNull()))
 
 
-def _count_first(items: DataFrame, key: str) -> DataFrame:
-    """Count per item and its first occurrence (row order, then position).
+def _top_by_count(df: DataFrame, order_col: str, explode, key: str, top_k: int | None, stopwords=None) -> DataFrame:
+    """Items by count, ties by first occurrence (row order, then position), for any order key.
 
-    The occurrence is packed into one long, ``order * 2^21 + position``, so the
-    aggregate is a hash aggregate with fixed-width buffers and map-side
-    partial aggregation (a struct minimum would force a sort-based aggregate
-    over every token). Rows whose order key or position is outside the packing
-    range still count; they only rank after in-range ones among equal counts.
+    One aggregate has the count and the first row of every item. Positions only
+    decide among items that share both, so they are looked up afterwards, in
+    the rows where an item that can still reach the top k is first seen: at
+    most k items and those of one more row.
     """
-    o, p = F.col('_ord').cast('long'), F.col('_pos').cast('long')
-    in_range = (o >= 0) & (o < F.lit(_ORD_LIMIT)) & (p >= 0) & (p < F.lit(1 << _POS_BITS))
-    packed = F.when(in_range, F.shiftleft(o, _POS_BITS) + p).otherwise(F.lit(_LAST))
-    return items.groupBy(key).agg(F.count(F.lit(1)).alias('count'), F.min(packed).alias('_first'))
+    counts = explode(df).groupBy(key).agg(F.count(F.lit(1)).alias('count'), F.min('_ord').alias('_first'))
+    if stopwords:
+        stop = _words_table(df.sparkSession, stopwords, key)
+        counts = counts.join(F.broadcast(stop), key, 'left_anti')
+    by = [F.col('count').desc(), F.col('_first').asc_nulls_last()]
+    rank = F.struct(-F.col('count'), F.col('_first').isNull(), F.col('_first'))
+    if top_k:
+        last = counts.orderBy(*by).limit(top_k).agg(F.max(rank).alias('_last'))
+        counts = F.broadcast(counts.crossJoin(F.broadcast(last)).filter(rank <= F.col('_last')).drop('_last'))
+    rows = counts.select(F.col('_first').alias('_row')).distinct()
+    rows = F.broadcast(rows) if top_k else rows
+    own = df.join(rows, df[order_col].eqNullSafe(rows['_row']), 'left_semi')
+    places = explode(own).groupBy(F.col(key).alias('_key'), F.col('_ord').alias('_row')).agg(F.min('_pos').alias('_place'))
+    out = counts.join(places, counts[key].eqNullSafe(places['_key']) & counts['_first'].eqNullSafe(places['_row']))
+    out = out.orderBy(*by, '_place')
+    if top_k:
+        out = out.limit(top_k)
+    return out.select(key, 'count')
 
 
 def keyword_counts(df: DataFrame, text_col: str, order_col: str, top_k: int | None = 25,
                    min_length: int = 2, stopwords: Sequence[str] | None = lx.STOPWORDS) -> DataFrame:
     """Keyword frequency (stopwords out), top k; ties by first occurrence."""
-    toks = _exploded_tokens(df, text_col, order_col, min_length)
-    counts = _count_first(toks, 'word')
-    if stopwords:
-        stop = _words_table(df.sparkSession, stopwords)
-        counts = counts.join(F.broadcast(stop), 'word', 'left_anti')
-    out = counts.orderBy(F.col('count').desc(), F.col('_first'))
-    if top_k:
-        out = out.limit(top_k)
-    return out.select('word', 'count')
+    return _top_by_count(df, order_col, lambda d: _exploded_tokens(d, text_col, order_col, min_length), 'word', top_k, stopwords)
 
 
 def ngram_counts(df: DataFrame, text_col: str, order_col: str, n: int = 2, top_k: int | None = 15,
                  min_length: int = 2) -> DataFrame:
     """N-gram frequency over tokens that keep stopwords; ties by first occurrence."""
-    keys = (spread(df.filter(F.col(text_col).isNotNull()))
-              .select(F.col(order_col).alias('_ord'), T.ngram_keys(T.clean_text(text_col), n, min_length).alias('_g')))
-    grams = (keys.select('_ord', F.posexplode_outer('_g').alias('_pos', 'ngram'))
-                 .filter(F.col('ngram').isNotNull()))
-    counts = _count_first(grams, 'ngram')
-    out = counts.orderBy(F.col('count').desc(), F.col('_first'))
-    if top_k:
-        out = out.limit(top_k)
-    return out.select('ngram', 'count')
+    return _top_by_count(df, order_col, lambda d: _exploded_ngrams(d, text_col, order_col, n, min_length), 'ngram', top_k)
 
 
 def theme_counts(df: DataFrame, text_col: str, themes: Mapping[str, Sequence[str]],
@@ -149,7 +147,7 @@ def sentiment_summary(df: DataFrame, text_col: str, id_col: str,
 def article_topics(news: DataFrame, id_col: str = 'doc_id', title: str = 'title', content: str = 'content',
                    topics: Mapping[str, Sequence[str]] = lx.SAFETY_TOPICS) -> DataFrame:
     """Topic labels per article (title + ' ' + content), joined with ','."""
-    c = spread(news).select(id_col, T.clean_text(T.article_text(title, content)).alias('_c'))
+    c = news.select(id_col, T.clean_text(T.article_text(title, content)).alias('_c'))
     labels = c.select(id_col, T.theme_labels('_c', topics).alias('_l'))
     return labels.select(id_col, F.array_join('_l', ',').alias('topics'), F.size('_l').alias('n_topics'))
 
@@ -157,7 +155,7 @@ def article_topics(news: DataFrame, id_col: str = 'doc_id', title: str = 'title'
 def topic_frequency(news: DataFrame, title: str = 'title', content: str = 'content',
                     topics: Mapping[str, Sequence[str]] = lx.SAFETY_TOPICS) -> DataFrame:
     """Articles per topic, descending."""
-    c = spread(news).select(T.clean_text(T.article_text(title, content)).alias('_c'))
+    c = news.select(T.clean_text(T.article_text(title, content)).alias('_c'))
     lab = c.select(F.explode_outer(T.theme_labels('_c', topics)).alias('topic')).filter(F.col('topic').isNotNull())
     return lab.groupBy('topic').agg(F.count(F.lit(1)).alias('count')).orderBy(F.col('count').desc(), 'topic')
 
@@ -186,7 +184,7 @@ def emerging_topics(news: DataFrame, as_of: str, lookback_months: int = 6, date_
     comparison with an explicit ``as_of`` date so runs are deterministic.
     """
     cutoff = F.add_months(F.lit(as_of).cast('date'), -lookback_months)
-    cleaned = spread(news.filter(F.col(date_col).isNotNull())).select(
+    cleaned = news.filter(F.col(date_col).isNotNull()).select(
         (F.col(date_col) >= cutoff.cast('timestamp_ntz')).alias('recent'),
         T.clean_text(T.article_text(title, content)).alias('_c'))
     tagged = cleaned.select('recent', T.theme_labels('_c', topics).alias('_t'))

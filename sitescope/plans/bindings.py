@@ -78,8 +78,18 @@ def geocodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visited_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """school_name, visit_count, latitude, longitude (visits aggregated before the name join)."""
-    per_site = visits(spark, sf_dir).groupBy('o_custkey').agg(F.count(F.lit(1)).alias('visit_count'))
+    """school_name, visit_count, latitude, longitude: the split that lead tracks are about."""
+    return _located(spark, sf_dir, visits(spark, sf_dir))
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As visited_sites, over all orders: for queries without a visited / unvisited split."""
+    return _located(spark, sf_dir, table(spark, sf_dir, 'orders').select('o_custkey'))
+
+
+def _located(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """Orders are aggregated per site before the name join."""
+    per_site = orders.groupBy('o_custkey').agg(F.count(F.lit(1)).alias('visit_count'))
     c = table(spark, sf_dir, 'customer').select('c_custkey', 'c_name')
     named = per_site.join(c, per_site.o_custkey == c.c_custkey, 'inner').select(
         F.col('c_name').alias('school_name'), 'visit_count')

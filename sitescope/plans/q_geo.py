@@ -1,6 +1,6 @@
 """Geographic queries.
 
-Points are the visited sites with coordinates (bindings.visited_sites).
+Points are all sites with coordinates (bindings.sites).
 """
 
 from __future__ import annotations
@@ -15,17 +15,12 @@ from sitescope.plans import sqlparts as S
 from sitescope.plans.q_leads import CFG, QUERY_RADIUS_KM
 from sitescope.plans.registry import register
 
-POINTS_SQL = f"""{S.REGISTRY}, {S.VISITED},
+POINTS_SQL = f"""{S.REGISTRY}, {S.SITES},
 pts AS (SELECT school_name, latitude, longitude FROM visg WHERE latitude IS NOT NULL AND longitude IS NOT NULL)"""
 
 
-def _km_key(spark, d):
-    """Memo key for the k-means fit: this session and this input folder."""
-    return (id(spark.sparkContext._jsc), d)
-
-
 def points(spark, d):
-    v = B.visited_sites(spark, d)
+    v = B.sites(spark, d)
     return v.filter(F.col('latitude').isNotNull() & F.col('longitude').isNotNull()).select(
         'school_name', 'latitude', 'longitude', 'visit_count')
 
@@ -94,28 +89,28 @@ def hull_area(spark, d):
 @register('M1_kmeans')
 def kmeans(spark, d):
     """M1: k-means (k=5, 10 seeds) over the visited sites (rows-only check)."""
-    assigned, _ = G.kmeans_clusters(points(spark, d), 5, cache_key=_km_key(spark, d))
+    assigned, _ = G.kmeans_clusters(points(spark, d), 5)
     return assigned.select('school_name', 'latitude', 'longitude', 'cluster')
 
 
 @register('A27_cluster_sizes')
 def cluster_sizes(spark, d):
     """K-means cluster sizes."""
-    assigned, _ = G.kmeans_clusters(points(spark, d), 5, cache_key=_km_key(spark, d))
+    assigned, _ = G.kmeans_clusters(points(spark, d), 5)
     return G.cluster_sizes(assigned)
 
 
 @register('A28_cluster_centroids')
 def cluster_centroids(spark, d):
     """Cluster centroids (mean latitude / longitude)."""
-    assigned, _ = G.kmeans_clusters(points(spark, d), 5, cache_key=_km_key(spark, d))
+    assigned, _ = G.kmeans_clusters(points(spark, d), 5)
     return G.cluster_centroids(assigned)
 
 
 @register('J12_nearest_centroid')
 def nearest_centroid(spark, d):
     """Nearest k-means centroid of each normal lead."""
-    assigned, _ = G.kmeans_clusters(points(spark, d), 5, cache_key=_km_key(spark, d))
+    assigned, _ = G.kmeans_clusters(points(spark, d), 5)
     cent = G.cluster_centroids(assigned)
     leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), CFG)
     return G.nearest_centroid(leads, 'gias_urn', cent, 'gias_lat', 'gias_lon')
@@ -182,7 +177,7 @@ def trust_edges(spark, d):
 @register('J14_connection_edges')
 def connection_edges(spark, d):
     """J13 + J14 + W5: trust then nearest-cluster connections per top lead, 5 in all (rows-only)."""
-    assigned, _ = G.kmeans_clusters(points(spark, d), 5, cache_key=_km_key(spark, d))
+    assigned, _ = G.kmeans_clusters(points(spark, d), 5)
     cent = G.cluster_centroids(assigned)
     reg = B.registry(spark, d).select(F.col('gias_name').alias('school_name'), F.col('trust_name').alias('_st'))
     sites = assigned.join(reg, 'school_name', 'inner').select(

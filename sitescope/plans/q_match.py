@@ -13,6 +13,7 @@ from sitescope.plans.q_leads import CFG, QUERY_RADIUS_KM
 from sitescope.plans.registry import register
 
 BASE = f"WITH {S.REGISTRY}, {S.VISITED}"
+ALL_SITES = f"WITH {S.REGISTRY}, {S.SITES}"
 CHAMP = "champ AS (SELECT * FROM visg WHERE visit_count >= 2)"
 CAND = f"""cand AS (SELECT * FROM reg r WHERE NOT EXISTS (
            SELECT 1 FROM vis v WHERE {S.norm('v.school_name')} = r.norm_name))"""
@@ -30,6 +31,10 @@ def vis(spark, d):
     return B.visited_sites(spark, d)
 
 
+def every_site(spark, d):
+    return B.sites(spark, d)
+
+
 @register('J5_exact_match', f"""{BASE}, {CHAMP}, {FIRST}
 SELECT c.school_name, CASE WHEN f.trust_name IS NOT NULL THEN 'exact' END AS match_type,
        CASE WHEN f.trust_name IS NOT NULL THEN 100.0 END AS match_score, f.trust_name
@@ -64,14 +69,14 @@ def fuzzy_match(spark, d):
     return MT.match_to_registry(_typed_names(spark, d), 'typed_name', names, threshold=80.0)
 
 
-@register('J15_trust_enrichment', f"""{BASE}, {FIRST}
+@register('J15_trust_enrichment', f"""{ALL_SITES}, {FIRST}
 SELECT v.school_name, CASE WHEN f.trust_name IS NOT NULL THEN 'exact' END AS match_type,
        CASE WHEN f.trust_name IS NOT NULL THEN 100.0 END AS match_score, f.trust_name
 FROM (SELECT DISTINCT school_name FROM vis WHERE school_name IS NOT NULL AND school_name <> '') v
 LEFT JOIN first_reg f ON f.norm_name = {S.norm('v.school_name')}""")
 def trust_enrichment(spark, d):
     """Trust of every visited site (exact name, else fuzzy at 85)."""
-    return MT.match_to_registry(vis(spark, d), 'school_name', reg(spark, d), threshold=85.0,
+    return MT.match_to_registry(every_site(spark, d), 'school_name', reg(spark, d), threshold=85.0,
                                 usable=MT.usable_trust('trust_name'))
 
 
@@ -82,13 +87,13 @@ def champion_trusts(spark, d):
     return MT.champion_trusts(champs, reg(spark, d))
 
 
-@register('J4_lookup_by_name', f"""{BASE},
+@register('J4_lookup_by_name', f"""{ALL_SITES},
 r AS (SELECT norm_name, arg_max(fsm_percentage, reg_ord) AS fsm_percentage, arg_max(postcode, reg_ord) AS postcode
       FROM reg GROUP BY norm_name)
 SELECT v.school_name, v.visit_count, r.fsm_percentage, r.postcode FROM vis v LEFT JOIN r ON r.norm_name = {S.norm('v.school_name')}""")
 def lookup_by_name(spark, d):
     """Registry attributes looked up by normalised name (last duplicate wins)."""
-    v = vis(spark, d).select('school_name', 'visit_count')
+    v = every_site(spark, d).select('school_name', 'visit_count')
     return MT.lookup_by_name(v, 'school_name', reg(spark, d), 'gias_name', ['fsm_percentage', 'postcode'], 'reg_ord')
 
 
@@ -114,7 +119,7 @@ def gazetteer(spark, d):
                     addr.alias('address'), F.lit('gazetteer').alias('source'))
 
 
-@register('J16_geocode', f"""{BASE}, {GAZ_SQL},
+@register('J16_geocode', f"""{ALL_SITES}, {GAZ_SQL},
 q AS (SELECT s.school_name, t.priority, t.query_key FROM (SELECT DISTINCT school_name FROM vis) s,
       (SELECT 0 AS priority, s.school_name || ', United Kingdom' AS query_key UNION ALL
        SELECT 1, s.school_name || ', England' UNION ALL SELECT 2, s.school_name || ' School, UK' UNION ALL
@@ -131,11 +136,11 @@ SELECT v.school_name, v.visit_count, b.latitude, b.longitude, b.address, b.geoco
 FROM vis v LEFT JOIN best b ON b.school_name = v.school_name""")
 def geocode(spark, d):
     """J16 + C26 + C27: geocode cascade over query variants against a gazetteer table."""
-    v = vis(spark, d).select('school_name', 'visit_count')
+    v = every_site(spark, d).select('school_name', 'visit_count')
     return MT.geocode_sites(v, gazetteer(spark, d))
 
 
-@register('A33_geocode_stats', f"""{BASE}, {GAZ_SQL},
+@register('A33_geocode_stats', f"""{ALL_SITES}, {GAZ_SQL},
 q AS (SELECT s.school_name, t.priority, t.query_key FROM (SELECT DISTINCT school_name FROM vis) s,
       (SELECT 0 AS priority, s.school_name || ', United Kingdom' AS query_key UNION ALL
        SELECT 1, s.school_name || ', England' UNION ALL SELECT 2, s.school_name || ' School, UK' UNION ALL
@@ -152,11 +157,11 @@ SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS geocoded, count(*) - cou
 def geocode_stats(spark, d):
     """Geocoding success and confidence counts."""
     from sitescope.operators.metrics import geocode_stats as gs
-    v = vis(spark, d).select('school_name', 'visit_count')
+    v = every_site(spark, d).select('school_name', 'visit_count')
     return gs(MT.geocode_sites(v, gazetteer(spark, d)))
 
 
-@register('J17_postcode_lookup', f"""{BASE},
+@register('J17_postcode_lookup', f"""{ALL_SITES},
 pc AS (SELECT upper(replace(trim(postcode), ' ', '')) AS k, avg(gias_lat) AS pc_latitude, avg(gias_lon) AS pc_longitude,
               min(trust_name) AS region FROM reg WHERE postcode IS NOT NULL GROUP BY 1)
 SELECT r.gias_urn, r.postcode, pc.pc_latitude, pc.pc_longitude, pc.region
@@ -170,7 +175,7 @@ def postcode_lookup(spark, d):
             .groupBy(F.upper(postcode_key('postcode')).alias('postcode'))
             .agg(F.avg('gias_lat').alias('pc_latitude'), F.avg('gias_lon').alias('pc_longitude'),
                  F.min('trust_name').alias('region')))
-    visited = r.join(vis(spark, d).select(F.col('school_name').alias('gias_name')), 'gias_name', 'left_semi')
+    visited = r.join(every_site(spark, d).select(F.col('school_name').alias('gias_name')), 'gias_name', 'left_semi')
     return MT.postcode_lookup(visited.select('gias_urn', 'postcode'), 'postcode', pcs)
 
 

@@ -14,7 +14,8 @@ from sitescope.operators import reports as R
 from sitescope.operators import textagg as X
 from sitescope.plans import bindings as B
 from sitescope.plans import sqlparts as S
-from sitescope.plans.q_geo import GAPS_SQL, _km_key, points
+from sitescope.plans import sqlrules as SR
+from sitescope.plans.q_geo import GAPS_SQL, points
 from sitescope.plans.q_leads import CFG
 from sitescope.plans.q_survey import SURVEY_SQL, _SURVEY_OUT, survey
 from sitescope.plans.q_text import CONVS, DOCS, NOT_SUBST, convs, themes_sql
@@ -52,12 +53,12 @@ def union_sessions(spark, d):
 
 
 @register('U3_site_names', f"""
-WITH {S.REGISTRY}, {S.VISITED}
+WITH {S.REGISTRY}, {S.SITES}
 SELECT DISTINCT name FROM (SELECT school_name AS name FROM vis UNION ALL SELECT s_name FROM supplier)
 WHERE name IS NOT NULL AND length(name) >= 4 ORDER BY name""")
 def site_names(spark, d):
     """Sorted distinct plausible names from two tables."""
-    a = B.visited_sites(spark, d).select(F.col('school_name').alias('name'))
+    a = B.sites(spark, d).select(F.col('school_name').alias('name'))
     b = B.table(spark, d, 'supplier').select(F.col('s_name').alias('name'))
     return a.unionByName(b).filter(C.plausible_name('name')).distinct().orderBy('name')
 
@@ -88,25 +89,50 @@ u AS (UNPIVOT (SELECT {', '.join(f'avg(CASE WHEN {c.strip()} IS NULL THEN 1.0 EL
       ON COLUMNS(*) INTO NAME field VALUE missing_percentage)
 SELECT 'low_response_fields' AS section, field AS item, CAST(round(missing_percentage, 6) AS VARCHAR) AS detail
 FROM u WHERE missing_percentage > 20.0
-UNION ALL SELECT * FROM ({R.GAP_ROWS_SQL})""")
+UNION ALL SELECT * FROM ({SR.gap_rows(False)})""")
 def data_gaps(spark, d):
     """Low-response fields (A7) plus the fixed missing-data and suggestion rules."""
     return R.data_gap_report(survey(spark, d))
 
 
-@register('L16_recommendations', R.recommendations_sql(
-    themes_sql(CONVS, lx.IMPROVEMENT_THEMES, where=f'NOT {NOT_SUBST}'),
-    themes_sql(DOCS, lx.POSITIVE_THEMES), GAPS_SQL))
+@register('L12_data_gaps_with_baseline', f"""
+WITH {SURVEY_SQL}, t AS (SELECT {_SURVEY_OUT} FROM svs),
+u AS (UNPIVOT (SELECT {', '.join(f'avg(CASE WHEN {c.strip()} IS NULL THEN 1.0 ELSE 0.0 END) * 100.0 AS {c.strip()}'
+                                for c in _SURVEY_OUT.split(','))} FROM t)
+      ON COLUMNS(*) INTO NAME field VALUE missing_percentage)
+SELECT 'low_response_fields' AS section, field AS item, CAST(round(missing_percentage, 6) AS VARCHAR) AS detail
+FROM u WHERE missing_percentage > 20.0
+UNION ALL SELECT * FROM ({SR.gap_rows(True)})""")
+def data_gaps_with_baseline(spark, d):
+    """L12 where a pre-assessment table exists: no pre-assessment gap."""
+    return R.data_gap_report(survey(spark, d), pre_assessment=B.bookings(spark, d))
+
+
+@register('L16_recommendations', SR.recommendations(
+    themes_sql(CONVS, lx.IMPROVEMENT_THEMES, where=f'NOT {NOT_SUBST}'), themes_sql(DOCS, lx.POSITIVE_THEMES), GAPS_SQL,
+    "SELECT count(*) AS n_responses, count(*) FILTER (WHERE o_orderstatus IN ('F', 'O')) AS n_speaker FROM orders"))
 def recommendations(spark, d):
-    """Rule table from improvement themes, the top positive theme and coverage gaps."""
+    """Rule table from improvement themes, the top positive theme, coverage gaps and the survey."""
+    return _recommendations(spark, d, survey(spark, d))
+
+
+@register('L16_recommendations_no_speaker', SR.recommendations(
+    themes_sql(CONVS, lx.IMPROVEMENT_THEMES, where=f'NOT {NOT_SUBST}'), themes_sql(DOCS, lx.POSITIVE_THEMES), GAPS_SQL,
+    "SELECT count(*) AS n_responses, 0 AS n_speaker FROM orders"))
+def recommendations_no_speaker(spark, d):
+    """L16 over a survey whose speaker column has no answer: no external-speaker rule."""
+    return _recommendations(spark, d, survey(spark, d).withColumn('external_speaker_engaging', F.lit(None).cast('string')))
+
+
+def _recommendations(spark, d, answers):
     improve = X.theme_counts(X.substantive(convs(spark, d), 'text'), 'text', lx.IMPROVEMENT_THEMES)
     positive = X.theme_counts(B.documents(spark, d), 'text', lx.POSITIVE_THEMES)
     _, gaps = G.coverage_gaps(points(spark, d), 'school_name', 50.0)
-    return R.recommendations(improve, positive, gaps)
+    return R.recommendations(improve, positive, gaps, answers)
 
 
 @register('V1_site_markers', f"""
-WITH {S.REGISTRY}, {S.VISITED}
+WITH {S.REGISTRY}, {S.SITES}
 SELECT school_name, latitude, longitude, visit_count,
        CASE WHEN visit_count IS NULL THEN 'unknown' WHEN visit_count <= 1 THEN 'single'
             WHEN visit_count <= 3 THEN 'repeat' ELSE 'frequent' END AS visit_band,
@@ -115,7 +141,7 @@ SELECT school_name, latitude, longitude, visit_count,
 FROM visg WHERE latitude IS NOT NULL AND longitude IS NOT NULL""")
 def site_markers(spark, d):
     """V1 + P16 + C30: visited-site marker table (band, layer, popup)."""
-    return R.site_markers(B.visited_sites(spark, d))
+    return R.site_markers(B.sites(spark, d))
 
 
 @register('V2_lead_markers')
@@ -130,7 +156,7 @@ def lead_markers(spark, d):
 @register('V5_cluster_scatter')
 def cluster_scatter(spark, d):
     """V5 + P19: scatter data (lon, lat, cluster colour) of k-means clusters (rows-only)."""
-    assigned, _ = G.kmeans_clusters(points(spark, d), 5, cache_key=_km_key(spark, d))
+    assigned, _ = G.kmeans_clusters(points(spark, d), 5)
     return assigned.select('longitude', 'latitude', 'cluster', C.cluster_colour('cluster').alias('colour'))
 
 

@@ -51,6 +51,9 @@ visg AS (SELECT v.school_name, v.visit_count, g.gias_lat AS latitude, g.gias_lon
          FROM vis v LEFT JOIN reg g ON g.gias_name = v.school_name)
 """
 
+#: Every site with any order, for queries that have no visited / unvisited split.
+SITES = VISITED.replace("WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' ", '')
+
 LEAD_COLS = ('gias_urn, gias_name, trust_name, easting, northing, postcode, fsm_percentage, '
              'gias_lat, gias_lon, norm_name')
 

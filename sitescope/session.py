@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -71,10 +72,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set one when it is unset.
+    """The cluster's ``spark.checkpoint.dir``; a private folder only for local runs where it is unset.
 
-    On a cluster the setting names a shared folder; a private scratch folder is
-    created only for local runs and tests where nothing was configured.
+    Executors on other machines do not see the driver's folders, so without
+    the setting a cluster run raises instead of writing to one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -82,35 +83,49 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="sitescope-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        if sc.master != 'local' and not sc.master.startswith('local['):
+            raise RuntimeError('set spark.checkpoint.dir to a folder that all executors share')
+        configured = tempfile.mkdtemp(prefix="sitescope-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def _tables_folder(spark: SparkSession) -> str:
+    base = ensure_checkpoint_dir(spark).rstrip('/')
+    return f'{base}/sitescope-tables/{spark.sparkContext.applicationId}'
+
+
+_CLEANED: set[str] = set()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table under the shared checkpoint folder.
 
     One job writes it (a reliable RDD checkpoint would compute the plan twice),
     the re-read has file statistics for AQE's join planning, and the files
     live in ``spark.checkpoint.dir`` so they survive executor loss. Never a
-    local checkpoint.
+    local checkpoint. An application's tables share one folder, which goes when
+    :func:`drop_tables` is called, at the latest when the driver ends.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip('/')
-    path = f'{base}/sitescope-tables/{uuid.uuid4().hex}'
+    folder = _tables_folder(spark)
+    if folder not in _CLEANED:
+        _CLEANED.add(folder)
+        atexit.register(_drop_quietly, spark)
+    path = f'{folder}/{uuid.uuid4().hex}'
     df.write.mode('overwrite').parquet(path)
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition only when the input has fewer partitions than cores.
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; call it once their results are read."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(_tables_folder(spark))
+    path.getFileSystem(conf).delete(path, True)
 
-    Small inputs with heavy per-row work (long texts) otherwise run on one or
-    two cores; large inputs already have many partitions and are left alone,
-    so no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
 
+def _drop_quietly(spark: SparkSession) -> None:
+    try:
+        drop_tables(spark)
+    except Exception:  # noqa: BLE001 - the session may have ended before the driver
+        pass
