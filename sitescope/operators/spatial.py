@@ -133,22 +133,34 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float,
     return pairs.filter(F.col(dist_col) <= F.lit(radius_km)).drop(*drop)
 
 
+#: Sides of the cells, in degrees, that the start radius measures density on.
+DENSITY_CELLS = (0.01, 0.05, 0.25, 1.0)
+#: Rows per wanted neighbour that the first circle holds at that density.
+START_ROWS = 12
+
+
 def _start_radius(right: DataFrame, lat: str, lon: str, k: int, given: float | None):
     """Row count of the right side and an initial search radius.
 
-    Without a given radius, pick ``3 * sqrt(k * area / n)`` from the bounding
-    box of the right side (one aggregate, no data to the driver): under uniform
-    density over 99 % of left rows inside that box resolve in the first round.
+    Without a given radius, it is that of a circle which holds about
+    ``START_ROWS * k`` rows at the density where most rows are: rows per cell,
+    averaged over rows rather than cells, on the finest cells that hold as many.
+    Outliers thus do not widen it, and a cluster starts with the radius of its
+    own density (one aggregate, one row a cell size to the driver).
     """
-    st = right.agg(F.count(F.lit(1)).alias('n'), F.min(lat).alias('a'), F.max(lat).alias('b'),
-                   F.min(lon).alias('c'), F.max(lon).alias('d')).first()
-    n = int(st['n'])
+    cells = right.select(F.explode(F.array(*[F.struct(
+        F.lit(side).alias('side'), F.floor(F.col(lat) / side).alias('a'), F.floor(F.col(lon) / side).alias('b'))
+        for side in DENSITY_CELLS])).alias('cell')).groupBy('cell').agg(F.count(F.lit(1)).cast('double').alias('c'))
+    sizes = cells.groupBy('cell.side').agg(
+        F.sum('c').alias('n'), (F.sum(F.col('c') * F.col('c')) / F.sum('c')).alias('dense'),
+        F.avg((F.col('cell.a') + 0.5) * F.col('cell.side')).alias('mid')).orderBy('side').collect()
+    n = int(sizes[0]['n']) if sizes else 0
     if given is not None or n == 0:
         return n, float(given if given is not None else 10.0)
-    mid = math.radians((st['a'] + st['b']) / 2.0)
-    h_km = max((st['b'] - st['a']) * 111.2, 1.0)
-    w_km = max((st['d'] - st['c']) * 111.2 * max(math.cos(mid), 0.01), 1.0)
-    r0 = 3.0 * math.sqrt(k * h_km * w_km / n)
+    best = next((x for x in sizes if x['dense'] >= START_ROWS * k), sizes[-1])
+    side_km = best['side'] * 111.2
+    area = side_km * side_km * max(math.cos(math.radians(best['mid'])), 0.01)
+    r0 = math.sqrt(START_ROWS * k * area / (math.pi * best['dense']))
     return n, min(max(r0, 0.05), 2000.0)
 
 

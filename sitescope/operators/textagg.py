@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sitescope.functions import lexicons as lx
 from sitescope.functions import text as T
+from sitescope.session import spread
 
 
 def _words_table(spark, words: Sequence[str], col: str = 'word') -> DataFrame:
@@ -26,12 +27,12 @@ def _words_table(spark, words: Sequence[str], col: str = 'word') -> DataFrame:
 def _cleaned(df: DataFrame, text_col: str, keep: Sequence[str] = ()) -> DataFrame:
     """Cleaned text materialised once as ``_c`` (later expressions reference the
     column, so it is not recomputed inside every conditional branch)."""
-    return df.filter(F.col(text_col).isNotNull()).select(*keep, T.clean_text(text_col).alias('_c'))
+    return spread(df.filter(F.col(text_col).isNotNull())).select(*keep, T.clean_text(text_col).alias('_c'))
 
 
 def _exploded_tokens(df: DataFrame, text_col: str, order_col: str, min_length: int) -> DataFrame:
     """(_ord, _pos, word) for every whitespace token of the cleaned text with length >= min."""
-    cleaned = df.filter(F.col(text_col).isNotNull()).select(
+    cleaned = spread(df.filter(F.col(text_col).isNotNull())).select(
         F.col(order_col).alias('_ord'), T.words(T.clean_text(text_col)).alias('_w'))
     # *_outer generators: a plain explode makes Catalyst infer a size(...) > 0
     # filter and push a second copy of the text expression down to the scan
@@ -40,7 +41,7 @@ def _exploded_tokens(df: DataFrame, text_col: str, order_col: str, min_length: i
 
 
 def _exploded_ngrams(df: DataFrame, text_col: str, order_col: str, n: int, min_length: int) -> DataFrame:
-    keys = df.filter(F.col(text_col).isNotNull()).select(
+    keys = spread(df.filter(F.col(text_col).isNotNull())).select(
         F.col(order_col).alias('_ord'), T.ngram_keys(T.clean_text(text_col), n, min_length).alias('_g'))
     return (keys.select('_ord', F.posexplode_outer('_g').alias('_pos', 'ngram'))
                 .filter(F.col('ngram').isNotNull()))
@@ -147,7 +148,7 @@ def sentiment_summary(df: DataFrame, text_col: str, id_col: str,
 def article_topics(news: DataFrame, id_col: str = 'doc_id', title: str = 'title', content: str = 'content',
                    topics: Mapping[str, Sequence[str]] = lx.SAFETY_TOPICS) -> DataFrame:
     """Topic labels per article (title + ' ' + content), joined with ','."""
-    c = news.select(id_col, T.clean_text(T.article_text(title, content)).alias('_c'))
+    c = spread(news).select(id_col, T.clean_text(T.article_text(title, content)).alias('_c'))
     labels = c.select(id_col, T.theme_labels('_c', topics).alias('_l'))
     return labels.select(id_col, F.array_join('_l', ',').alias('topics'), F.size('_l').alias('n_topics'))
 
@@ -155,7 +156,7 @@ def article_topics(news: DataFrame, id_col: str = 'doc_id', title: str = 'title'
 def topic_frequency(news: DataFrame, title: str = 'title', content: str = 'content',
                     topics: Mapping[str, Sequence[str]] = lx.SAFETY_TOPICS) -> DataFrame:
     """Articles per topic, descending."""
-    c = news.select(T.clean_text(T.article_text(title, content)).alias('_c'))
+    c = spread(news).select(T.clean_text(T.article_text(title, content)).alias('_c'))
     lab = c.select(F.explode_outer(T.theme_labels('_c', topics)).alias('topic')).filter(F.col('topic').isNotNull())
     return lab.groupBy('topic').agg(F.count(F.lit(1)).alias('count')).orderBy(F.col('count').desc(), 'topic')
 
@@ -184,7 +185,7 @@ def emerging_topics(news: DataFrame, as_of: str, lookback_months: int = 6, date_
     comparison with an explicit ``as_of`` date so runs are deterministic.
     """
     cutoff = F.add_months(F.lit(as_of).cast('date'), -lookback_months)
-    cleaned = news.filter(F.col(date_col).isNotNull()).select(
+    cleaned = spread(news.filter(F.col(date_col).isNotNull())).select(
         (F.col(date_col) >= cutoff.cast('timestamp_ntz')).alias('recent'),
         T.clean_text(T.article_text(title, content)).alias('_c'))
     tagged = cleaned.select('recent', T.theme_labels('_c', topics).alias('_t'))

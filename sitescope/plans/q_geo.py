@@ -12,7 +12,7 @@ from sitescope.operators import leads as L
 from sitescope.operators.spatial import nearest_join
 from sitescope.plans import bindings as B
 from sitescope.plans import sqlparts as S
-from sitescope.plans.q_leads import CFG, QUERY_RADIUS_KM
+from sitescope.plans.q_leads import ALL_LEADS, CFG, QUERY_RADIUS_KM
 from sitescope.plans.registry import register
 
 POINTS_SQL = f"""{S.REGISTRY}, {S.SITES},
@@ -112,7 +112,7 @@ def nearest_centroid(spark, d):
     """Nearest k-means centroid of each normal lead."""
     assigned, _ = G.kmeans_clusters(points(spark, d), 5)
     cent = G.cluster_centroids(assigned)
-    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), CFG)
+    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), ALL_LEADS)
     return G.nearest_centroid(leads, 'gias_urn', cent, 'gias_lat', 'gias_lon')
 
 
@@ -124,7 +124,7 @@ def dbscan(spark, d):
 
 
 def _normal_leads_sql() -> str:
-    return S.leads_normal(QUERY_RADIUS_KM)
+    return S.leads_normal(QUERY_RADIUS_KM, top_n=None)
 
 
 @register('J10_champion_edges', f"""
@@ -136,8 +136,8 @@ p AS (SELECT l.gias_urn, c.school_name AS champion, {S.gc('l.gias_lat', 'l.gias_
 r AS (SELECT *, row_number() OVER (PARTITION BY gias_urn ORDER BY distance_km, champion, clat, clon) AS rank FROM p)
 SELECT gias_urn, champion, distance_km, rank FROM r WHERE rank <= 2""")
 def champion_edges(spark, d):
-    """The two nearest champions of each top normal lead (map connections)."""
-    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), CFG)
+    """The two nearest champions of each normal lead (map connections)."""
+    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), ALL_LEADS)
     champ = (L.champions_of(B.visited_sites(spark, d), CFG.champion_min_visits)
              .select(F.col('school_name').alias('champion'), F.col('latitude').alias('_clat'),
                      F.col('longitude').alias('_clon')))
@@ -159,10 +159,10 @@ p AS (SELECT l.gias_urn, s.school_name AS site, {S.gc('l.gias_lat', 'l.gias_lon'
 r AS (SELECT *, row_number() OVER (PARTITION BY gias_urn ORDER BY distance_km, site, slat, slon) AS rank FROM p)
 SELECT gias_urn, site, distance_km, rank FROM r WHERE rank <= 5""")
 def trust_edges(spark, d):
-    """Up to 5 visited sites of the same trust per top normal lead, nearest first,
+    """Up to 5 visited sites of the same trust per normal lead, nearest first,
     one site per distinct coordinate. A same-trust k-nearest grid search, so a
     large trust never emits all its lead x site pairs."""
-    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), CFG)
+    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), ALL_LEADS)
     reg = B.registry(spark, d).select(F.col('gias_name').alias('school_name'), F.col('trust_name').alias('_st'))
     sites = (B.visited_sites(spark, d).join(reg, 'school_name', 'inner')
              .filter(F.col('latitude').isNotNull() & F.col('longitude').isNotNull()))
@@ -176,12 +176,12 @@ def trust_edges(spark, d):
 
 @register('J14_connection_edges')
 def connection_edges(spark, d):
-    """J13 + J14 + W5: trust then nearest-cluster connections per top lead, 5 in all (rows-only)."""
+    """J13 + J14 + W5: trust then nearest-cluster connections per lead, 5 in all (rows-only)."""
     assigned, _ = G.kmeans_clusters(points(spark, d), 5)
     cent = G.cluster_centroids(assigned)
     reg = B.registry(spark, d).select(F.col('gias_name').alias('school_name'), F.col('trust_name').alias('_st'))
     sites = assigned.join(reg, 'school_name', 'inner').select(
         F.col('school_name').alias('site'), 'latitude', 'longitude', '_st', 'cluster')
-    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), CFG)
+    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), ALL_LEADS)
     return G.connection_edges(leads.select('gias_urn', 'gias_lat', 'gias_lon', 'trust_name'), 'gias_urn',
                               sites, cent, cap=5)

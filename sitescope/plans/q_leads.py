@@ -11,6 +11,8 @@ from sitescope.plans.registry import register
 # the bench runs both).
 QUERY_RADIUS_KM = 25.0
 CFG = L.LeadConfig(hotspot_radius_km=QUERY_RADIUS_KM)
+#: Every lead: the cut to the top 100 belongs to the lead lists, not to joins and maps over leads.
+ALL_LEADS = L.LeadConfig(hotspot_radius_km=QUERY_RADIUS_KM, top_n=None)
 
 
 @register('L6_normal_leads', S.leads_normal(QUERY_RADIUS_KM))

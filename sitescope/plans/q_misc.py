@@ -16,7 +16,7 @@ from sitescope.plans import bindings as B
 from sitescope.plans import sqlparts as S
 from sitescope.plans import sqlrules as SR
 from sitescope.plans.q_geo import GAPS_SQL, points
-from sitescope.plans.q_leads import CFG
+from sitescope.plans.q_leads import ALL_LEADS, CFG
 from sitescope.plans.q_survey import SURVEY_SQL, _SURVEY_OUT, survey
 from sitescope.plans.q_text import CONVS, DOCS, NOT_SUBST, convs, themes_sql
 from sitescope.plans.registry import register
@@ -148,8 +148,8 @@ def site_markers(spark, d):
 def lead_markers(spark, d):
     """V2 + C30: marker table for both lead layers (rows-only: %.1f formatting is engine-specific)."""
     r, v = B.registry(spark, d), B.visited_sites(spark, d)
-    normal = L.normal_leads(r, v, CFG).withColumnRenamed('priority_score', 'score')
-    deprived = L.deprived_area_leads(r, v, CFG).withColumnRenamed('impact_score', 'score')
+    normal = L.normal_leads(r, v, ALL_LEADS).withColumnRenamed('priority_score', 'score')
+    deprived = L.deprived_area_leads(r, v, ALL_LEADS).withColumnRenamed('impact_score', 'score')
     return R.lead_markers(normal).unionByName(R.lead_markers(deprived))
 
 
@@ -163,6 +163,6 @@ def cluster_scatter(spark, d):
 @register('S14_lead_features')
 def lead_features(spark, d):
     """GeoJSON feature lines for the normal leads (rows-only)."""
-    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), CFG)
+    leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), ALL_LEADS)
     return K.geojson_features(leads, 'gias_lat', 'gias_lon',
                               ['gias_urn', 'gias_name', 'lead_type', 'nearest_champion', 'priority_score'])

@@ -58,7 +58,7 @@ LEAD_COLS = ('gias_urn, gias_name, trust_name, easting, northing, postcode, fsm_
              'gias_lat, gias_lon, norm_name')
 
 
-def leads_normal(radius_km: float, min_visits: int = 2, top_n: int = 100) -> str:
+def leads_normal(radius_km: float, min_visits: int = 2, top_n: int | None = 100) -> str:
     src = f'Within {float(radius_km)}km of champion'
     return f"""
 WITH {REGISTRY}, {VISITED},
@@ -94,11 +94,11 @@ sc AS (SELECT s.*, CASE WHEN m.maxd > 0
        FROM s CROSS JOIN m)
 SELECT {LEAD_COLS}, lead_type, lead_category, lead_source, nearest_champion, distance_to_champion_km,
        priority_score
-FROM sc ORDER BY priority_score DESC NULLS LAST, gias_urn LIMIT {top_n}
+FROM sc ORDER BY priority_score DESC NULLS LAST, gias_urn {f'LIMIT {top_n}' if top_n else ''}
 """
 
 
-def leads_deprived(threshold: float = 30.0, min_visits: int = 2, top_n: int = 100) -> str:
+def leads_deprived(threshold: float = 30.0, min_visits: int = 2, top_n: int | None = 100) -> str:
     src = f'FSM >= {float(threshold)}% (high deprivation)'
     return f"""
 WITH {REGISTRY}, {VISITED},
@@ -110,7 +110,7 @@ dl AS (SELECT *, 'Deprived Area' AS lead_type, 'deprived' AS lead_category, '{sr
 m AS (SELECT max(fsm_percentage) AS maxf FROM dl),
 sc AS (SELECT dl.*, CASE WHEN m.maxf > 0 THEN 10.0 * fsm_percentage / m.maxf ELSE 0.0 END AS impact_score
        FROM dl CROSS JOIN m),
-top AS (SELECT * FROM sc ORDER BY impact_score DESC NULLS LAST, gias_urn LIMIT {top_n}),
+top AS (SELECT * FROM sc ORDER BY impact_score DESC NULLS LAST, gias_urn {f'LIMIT {top_n}' if top_n else ''}),
 pairs AS (SELECT t.gias_urn, h.school_name, {gc('t.gias_lat', 't.gias_lon', 'h.latitude', 'h.longitude')} AS dist,
                  h.latitude AS hlat, h.longitude AS hlon
           FROM top t JOIN champ h ON h.latitude IS NOT NULL AND h.longitude IS NOT NULL

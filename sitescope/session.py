@@ -129,3 +129,13 @@ def _drop_quietly(spark: SparkSession) -> None:
         drop_tables(spark)
     except Exception:  # noqa: BLE001 - the session may have ended before the driver
         pass
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows to ``spark.sitescope.textPartitions`` tasks where that setting is given.
+
+    For texts stored as a few big row groups, which Spark cannot split. Unset
+    (the default) nothing is shuffled; the plan never depends on the data.
+    """
+    n = int(df.sparkSession.conf.get('spark.sitescope.textPartitions', '0'))
+    return df.repartition(n) if n else df

@@ -126,3 +126,13 @@ def test_fuzzy_scorers():
 
 def test_token_sort_key(spark):
     assert col1(spark, ['  Oak  Hill\tSchool ', 'b a', None], Z.token_sort_key) == ['Hill Oak School', 'a b', None]
+
+
+def test_dates_are_read_month_first(spark):
+    from sitescope.functions.clean import to_timestamp_any
+    texts = {'03/04/2024': '2024-03-04 00:00:00', '25/04/2024': '2024-04-25 00:00:00', '2024-03-04T10:11:12.500Z': '2024-03-04 10:11:12',
+             '4 March 2024': '2024-03-04 00:00:00', '03/04/2024 10:30:00': '2024-03-04 10:30:00', '3/4/2024': '2024-03-04 00:00:00',
+             '2024-03-04': '2024-03-04 00:00:00', 'soon': None, '': None}
+    df = spark.createDataFrame([(t,) for t in texts], 't string')
+    got = {r.t: r.d for r in df.select('t', to_timestamp_any('t').cast('string').alias('d')).collect()}
+    assert got == texts

@@ -320,3 +320,52 @@ def test_head_rows_and_profile(spark):
     assert [r.k for r in M.head_rows(df, ['k'], 10).collect()] == list(range(1, 11))
     prof = {r.column_name: (r.rows, r.non_null, r.dtype) for r in M.table_profile(df, 't').collect()}
     assert prof == {'k': (30, 30, 'bigint'), 'v': (30, 23, 'string')}
+
+
+def test_start_radius_follows_the_cluster_not_the_outlier(spark):
+    """2,000 clustered rows and one far away: pairs stay linear in rows, not all pairs."""
+    import numpy as np
+    from sitescope.operators.spatial import START_ROWS, _start_radius, radius_join
+    rng = np.random.default_rng(4)
+    rows = [(i, 51.5 + float(a), -0.1 + float(b)) for i, (a, b) in enumerate(rng.uniform(-0.05, 0.05, (2000, 2)))]
+    rows.append((2000, 58.0, -5.0))
+    pts = spark.createDataFrame(rows, 'id long, lat double, lon double')
+    other = pts.selectExpr('id as oid', 'lat as olat', 'lon as olon')
+    n, r = _start_radius(other, 'olat', 'olon', 2, None)
+    pairs = radius_join(pts, other, r, 'lat', 'lon', 'olat', 'olon').count()
+    assert n == 2001 and pairs < 3 * START_ROWS * 2 * n
+
+
+def test_first_occurrence_breaks_ties_for_any_order_key(spark):
+    from sitescope.operators.textagg import keyword_counts
+    rows = [(-1, 'zebra'), (5, 'apple zebra'), (2, 'apple'), (1 << 60, 'mango mango')]
+    df = spark.createDataFrame(rows, 'ord long, text string')
+    got = [r.word for r in keyword_counts(df, 'text', 'ord', 2, stopwords=None).collect()]
+    assert got == ['zebra', 'apple']
+    named = spark.createDataFrame([('b', 'one two'), ('a', 'two one'), ('c', 'three')], 'ord string, text string')
+    assert [r.word for r in keyword_counts(named, 'text', 'ord', 3, stopwords=None).collect()] == ['two', 'one', 'three']
+
+
+def test_hull_is_a_tree_with_an_exchange_per_level(spark):
+    from sitescope.operators.geo import HULL_LEVELS, hull_vertices
+    pts = spark.range(0, 4000, 1, 32).selectExpr('cos(id) as latitude', 'sin(id) * 2 as longitude')
+    plan = hull_vertices(pts)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count('Exchange') == len(HULL_LEVELS) and 'Coalesce' not in plan
+
+
+def test_no_cartesian_product_in_plans(spark):
+    import __spark_entry__ as E
+    for key in ('J8_radius', 'L2_hotspot_leads', 'J4_lookup_by_name', 'A18_keywords'):
+        if key in E.queries():
+            plan = E.queries()[key](spark, '/root/testdata/sf0.001')._jdf.queryExecution().executedPlan().toString()
+            assert 'CartesianProduct' not in plan
+
+
+def test_checkpoint_tables_go_when_dropped(spark):
+    import os
+    from sitescope.session import _tables_folder, cut_lineage, drop_tables
+    assert cut_lineage(spark.range(3)).count() == 3
+    folder = _tables_folder(spark).removeprefix('file:')
+    assert os.listdir(folder)
+    drop_tables(spark)
+    assert not os.path.exists(folder)
