@@ -80,9 +80,27 @@ def coverage_gaps(spark, d):
     return summary
 
 
-@register('A30_hull_area')
+# Gift wrapping: from the lowest point, always to the point with the smallest turn (the farthest of equals).
+HULL_SQL = f"""
+WITH RECURSIVE {POINTS_SQL},
+p AS (SELECT DISTINCT latitude AS x, longitude AS y FROM pts),
+h(step, x, y, x0, y0, dir) AS (
+  (SELECT 0, x, y, x, y, 0.0::DOUBLE FROM p ORDER BY y, x LIMIT 1)
+  UNION ALL
+  (SELECT h.step + 1, n.x, n.y, h.x0, h.y0, atan2(n.y - h.y, n.x - h.x)
+   FROM h, p n
+   WHERE (n.x <> h.x OR n.y <> h.y) AND (h.step = 0 OR h.x <> h.x0 OR h.y <> h.y0)
+   ORDER BY (atan2(n.y - h.y, n.x - h.x) - h.dir + 4 * pi()) % (2 * pi()), pow(n.x - h.x, 2) + pow(n.y - h.y, 2) DESC
+   LIMIT 1)),
+e AS (SELECT step, x, y, lag(x) OVER (ORDER BY step) AS px, lag(y) OVER (ORDER BY step) AS py FROM h)
+SELECT (SELECT count(*) FROM pts) AS total_points, count(px) AS hull_vertices,
+       abs(sum(px * y - x * py)) / 2 AS hull_area_deg2, abs(sum(px * y - x * py)) / 2 * 12321.0 AS coverage_area_km2
+FROM e"""
+
+
+@register('A30_hull_area', HULL_SQL)
 def hull_area(spark, d):
-    """Convex-hull coverage area of the visited sites (rows-only check)."""
+    """Convex-hull coverage area of all sites."""
     return G.hull_area(points(spark, d))
 
 
@@ -93,6 +111,24 @@ def kmeans(spark, d):
     return assigned.select('school_name', 'latitude', 'longitude', 'cluster')
 
 
+@register('M1_kmeans_violations', 'SELECT 0 AS misplaced, 0 AS off_centre, 0 AS unassigned')
+def kmeans_violations(spark, d):
+    """M1 invariants over every point: none is nearer to another centroid than its own, each
+    centroid is the mean of its members (to MLlib's tolerance), and none lacks a cluster."""
+    assigned, cent = G.kmeans_clusters(points(spark, d), 5)
+    gap = lambda a, b: F.pow(F.col('latitude') - F.col(a), 2) + F.pow(F.col('longitude') - F.col(b), 2)
+    other = F.broadcast(cent.select(F.col('cluster').alias('_o'), F.col('centroid_lat').alias('_la'), F.col('centroid_lon').alias('_lo')))
+    best = (assigned.crossJoin(other).groupBy('school_name', 'latitude', 'longitude', 'cluster')
+            .agg(F.min(gap('_la', '_lo')).alias('_best'), F.min(F.when(F.col('_o') == F.col('cluster'), gap('_la', '_lo'))).alias('_own')))
+    misplaced = best.agg(F.count_if(F.col('_own') > F.col('_best') + 1e-9).alias('misplaced'),
+                         F.count_if(F.col('_own').isNull()).alias('unassigned'))
+    means = G.cluster_centroids(assigned).select('cluster', F.col('centroid_lat').alias('_la'), F.col('centroid_lon').alias('_lo'))
+    off = cent.join(means, 'cluster', 'left').agg(F.count_if(~F.coalesce(
+        (F.abs(F.col('centroid_lat') - F.col('_la')) < 1e-3) & (F.abs(F.col('centroid_lon') - F.col('_lo')) < 1e-3),
+        F.lit(False))).alias('off_centre'))
+    return misplaced.crossJoin(off).select(*[F.col(c).cast('int').alias(c) for c in ('misplaced', 'off_centre', 'unassigned')])
+
+
 @register('A27_cluster_sizes')
 def cluster_sizes(spark, d):
     """K-means cluster sizes."""
@@ -116,9 +152,20 @@ def nearest_centroid(spark, d):
     return G.nearest_centroid(leads, 'gias_urn', cent, 'gias_lat', 'gias_lon')
 
 
-@register('M2_dbscan')
+@register('M2_dbscan', f"""
+WITH RECURSIVE {S.REGISTRY},
+p AS (SELECT gias_urn, gias_lat, gias_lon FROM reg WHERE gias_lat IS NOT NULL AND gias_lon IS NOT NULL),
+near AS (SELECT a.gias_urn AS a, b.gias_urn AS b FROM p a JOIN p b ON abs(a.gias_lat - b.gias_lat) < 0.02
+         AND {S.hav('a.gias_lat', 'a.gias_lon', 'b.gias_lat', 'b.gias_lon')} <= 2.0),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 3),
+link AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+reach(a, b) AS (SELECT id, id FROM core UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+label AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a),
+edge AS (SELECT n.a AS id, min(l.c) AS c FROM near n JOIN label l ON l.id = n.b WHERE n.a NOT IN (SELECT id FROM core) GROUP BY n.a)
+SELECT p.gias_urn, p.gias_lat, p.gias_lon, CAST(coalesce(l.c, e.c, -1) AS BIGINT) AS cluster
+FROM p LEFT JOIN label l ON l.id = p.gias_urn LEFT JOIN edge e ON e.id = p.gias_urn""")
 def dbscan(spark, d):
-    """M2: DBSCAN (eps 2 km, min_samples 3) over all registry sites (rows-only check)."""
+    """M2: DBSCAN (eps 2 km, min_samples 3) over all registry sites."""
     reg = B.registry(spark, d).select('gias_urn', 'gias_lat', 'gias_lon')
     return G.dbscan(reg, 'gias_urn', eps_km=2.0, min_samples=3, lat='gias_lat', lon='gias_lon')
 

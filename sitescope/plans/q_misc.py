@@ -144,9 +144,19 @@ def site_markers(spark, d):
     return R.site_markers(B.sites(spark, d))
 
 
-@register('V2_lead_markers')
+V2_SQL = f"""
+WITH n AS ({S.leads_normal(CFG.hotspot_radius_km, top_n=None)}), dep AS ({S.leads_deprived(top_n=None)}),
+both_layers AS (SELECT * RENAME (priority_score AS score) FROM n UNION ALL SELECT * RENAME (impact_score AS score) FROM dep)
+SELECT gias_urn, gias_name, gias_lat, gias_lon, lead_category AS layer,
+       concat_ws(chr(10), gias_name, 'Trust: ' || trust_name, 'Type: ' || lead_type, 'FSM: ' || printf('%.1f', fsm_percentage) || '%',
+                 'Nearest champion: ' || nearest_champion || ' (' || printf('%.1f', distance_to_champion_km) || ' km)',
+                 'Score: ' || printf('%.1f', score)) AS popup
+FROM both_layers WHERE gias_lat IS NOT NULL AND gias_lon IS NOT NULL"""
+
+
+@register('V2_lead_markers', V2_SQL)
 def lead_markers(spark, d):
-    """V2 + C30: marker table for both lead layers (rows-only: %.1f formatting is engine-specific)."""
+    """V2 + C30: marker table for both lead layers."""
     r, v = B.registry(spark, d), B.visited_sites(spark, d)
     normal = L.normal_leads(r, v, ALL_LEADS).withColumnRenamed('priority_score', 'score')
     deprived = L.deprived_area_leads(r, v, ALL_LEADS).withColumnRenamed('impact_score', 'score')
