@@ -6,7 +6,7 @@ functions  column-expression builders (cleaning, text, geo, fuzzy scorers)
 sources    readers, schema discovery, reshaping, sinks
 operators  joins, aggregations, clustering, lead scoring
 plans      bindings of concrete tables to operator roles and the query registry
-streaming  (the analysed application has no streaming surface; see its docstring)
+llm        operators for building training corpora (optional; nothing else imports it)
 """
 
 from sitescope.session import get_spark, ensure_checkpoint_dir  # noqa: F401
