@@ -4,7 +4,7 @@ import hashlib
 
 import corpus_pipeline
 import duckdb
-from test_operators import SMALL, brute_classes, brute_spans, words
+from test_llm_operators import SMALL, brute_classes, brute_spans, words
 
 from sitescope.llm import line_dedup, suffix_dedup, toxicity
 from sitescope.session import ensure_checkpoint_dir, ship_package
