@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -98,9 +98,15 @@ def recommendations(improve_themes: DataFrame, positive_themes: DataFrame, gaps:
 
 
 def site_markers(visited: DataFrame, min_visits: int = 2) -> DataFrame:
-    """V1 + P16 + C30: marker rows for visited sites with coordinates."""
-    popup = F.concat_ws('\n', F.col('school_name'),
-                        F.concat(F.lit('Visits: '), F.col('visit_count').cast('string')))
+    """V1 + P16 + C30: marker rows for visited sites with coordinates.
+
+    The popup also has how the site heard of the programme and its cluster,
+    where ``visited`` has these columns; null fields drop out.
+    """
+    lines = [F.concat(F.lit(label), F.col(c).cast('string'))
+             for c, label in (('how_heard', 'Approach: '), ('visit_count', 'Visits: '), ('cluster', 'Cluster: '))
+             if c in visited.columns]
+    popup = F.concat_ws('\n', F.col('school_name'), *lines)
     return (visited.filter(F.col('latitude').isNotNull() & F.col('longitude').isNotNull())
                    .select('school_name', 'latitude', 'longitude', 'visit_count',
                            C.visit_band('visit_count').alias('visit_band'),
@@ -114,7 +120,7 @@ def lead_markers(leads: DataFrame) -> DataFrame:
     f1 = lambda c: F.format_string('%.1f', F.col(c))
     popup = F.concat_ws(
         '\n', F.col('gias_name'), F.concat(F.lit('Trust: '), F.col('trust_name')),
-        F.concat(F.lit('Type: '), F.col('lead_type')),
+        F.concat(F.lit('Type: '), F.col('lead_type')), F.concat(F.lit('Source: '), F.col('lead_source')),
         F.concat(F.lit('FSM: '), f1('fsm_percentage'), F.lit('%')),
         F.concat(F.lit('Nearest champion: '), F.col('nearest_champion'), F.lit(' ('),
                  f1('distance_to_champion_km'), F.lit(' km)')),
@@ -167,3 +173,41 @@ def session_report(sessions: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+#: Order of the recommendation categories in the two documents.
+CATEGORIES = ('data_collection', 'workshop_content', 'delivery_optimization', 'geographic_expansion')
+
+
+def _category_no() -> Column:
+    return F.array_position(F.array(*[F.lit(c) for c in CATEGORIES]), F.col('category')).cast('int')
+
+
+def recommendation_lines(recs: DataFrame) -> DataFrame:
+    """S10, the numbered list: (section_no, line_no, line) from the table of L16, every item of every category."""
+    heads = recs.groupBy('category').agg(F.lit(0).cast('long').alias('line_no')).select(
+        _category_no().alias('section_no'), 'line_no', F.upper(F.replace('category', F.lit('_'), F.lit(' '))).alias('line'))
+    items = recs.select(_category_no().alias('section_no'), F.col('rank').cast('long').alias('line_no'),
+                        F.concat(F.col('rank').cast('string'), F.lit('. '), F.col('recommendation')).alias('line'))
+    return heads.unionByName(items)
+
+
+def summary_lines(kpis: DataFrame, totals: DataFrame, recs: DataFrame, per_category: int = 3) -> DataFrame:
+    """S10, the summary: (section_no, line_no, line) with the survey's and sessions' key figures
+    (rows of A1 and A8) and the first recommendations of each category."""
+    def rows(df: DataFrame, section: int, *lines: Column) -> DataFrame:
+        return df.select(F.posexplode(F.array(*lines)).alias('line_no', 'line')).select(
+            F.lit(section).alias('section_no'), F.col('line_no').cast('long').alias('line_no'), 'line')
+
+    text = F.format_string
+    survey = rows(kpis, 101, F.lit('Youth Feedback:'), text('  - Total responses: %d', F.col('total_responses')),
+                  text('  - Average effectiveness: %.2f/5', F.col('avg_effectiveness_score')),
+                  text('  - Satisfaction rate: %.1f%%', F.col('satisfaction_rate')),
+                  text('  - Unique schools: %d', F.col('unique_schools')))
+    sessions = rows(totals, 102, F.lit('Session Delivery:'), text('  - Total sessions: %.0f', F.col('total_sessions').cast('double')),
+                    text('  - Session types: %d', F.col('unique_session_types').cast('long')))
+    first = recommendation_lines(recs).filter(F.col('line_no') <= per_category)
+    first = first.select(F.col('section_no') + 200, 'line_no', F.when(
+        F.col('line_no') == 0, F.concat(F.initcap('line'), F.lit(':'))).otherwise(
+        F.regexp_replace('line', r'^\d+\. ', '  - ')).alias('line')).toDF('section_no', 'line_no', 'line')
+    return survey.unionByName(sessions).unionByName(first)

@@ -137,18 +137,25 @@ SELECT school_name, latitude, longitude, visit_count,
        CASE WHEN visit_count IS NULL THEN 'unknown' WHEN visit_count <= 1 THEN 'single'
             WHEN visit_count <= 3 THEN 'repeat' ELSE 'frequent' END AS visit_band,
        CASE WHEN visit_count IS NULL THEN 'unknown' WHEN visit_count >= 2 THEN 'champion' ELSE 'visited' END AS layer,
-       concat_ws(chr(10), school_name, 'Visits: ' || CAST(visit_count AS VARCHAR)) AS popup
-FROM visg WHERE latitude IS NOT NULL AND longitude IS NOT NULL""")
+       concat_ws(chr(10), school_name, 'Approach: ' || how_heard, 'Visits: ' || CAST(visit_count AS VARCHAR)) AS popup
+FROM visg LEFT JOIN (
+  SELECT c_name AS school_name, arg_max(o_orderpriority, (o_orderdate IS NULL, coalesce(o_orderdate, TIMESTAMP '1970-01-01'), o_orderkey))
+           FILTER (WHERE o_orderpriority IS NOT NULL) AS how_heard
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name) USING (school_name)
+WHERE latitude IS NOT NULL AND longitude IS NOT NULL""")
 def site_markers(spark, d):
     """V1 + P16 + C30: visited-site marker table (band, layer, popup)."""
-    return R.site_markers(B.sites(spark, d))
+    heard = M.visit_summary(B.bookings(spark, d), 'site_key', 'submission_date', 'booking_ord', {'how_heard': 'answer'})
+    names = B.table(spark, d, 'customer').select(F.col('c_custkey').alias('site_key'), F.col('c_name').alias('school_name'))
+    heard = heard.join(names, 'site_key').select('school_name', 'how_heard')
+    return R.site_markers(B.sites(spark, d).join(heard, 'school_name', 'left'))
 
 
 V2_SQL = f"""
 WITH n AS ({S.leads_normal(CFG.hotspot_radius_km, top_n=None)}), dep AS ({S.leads_deprived(top_n=None)}),
 both_layers AS (SELECT * RENAME (priority_score AS score) FROM n UNION ALL SELECT * RENAME (impact_score AS score) FROM dep)
 SELECT gias_urn, gias_name, gias_lat, gias_lon, lead_category AS layer,
-       concat_ws(chr(10), gias_name, 'Trust: ' || trust_name, 'Type: ' || lead_type, 'FSM: ' || printf('%.1f', fsm_percentage) || '%',
+       concat_ws(chr(10), gias_name, 'Trust: ' || trust_name, 'Type: ' || lead_type, 'Source: ' || lead_source, 'FSM: ' || printf('%.1f', fsm_percentage) || '%',
                  'Nearest champion: ' || nearest_champion || ' (' || printf('%.1f', distance_to_champion_km) || ' km)',
                  'Score: ' || printf('%.1f', score)) AS popup
 FROM both_layers WHERE gias_lat IS NOT NULL AND gias_lon IS NOT NULL"""

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from sitescope.functions import lexicons as lx
 from sitescope.operators import composites as K
 from sitescope.plans import bindings as B
+from sitescope.operators import reports as R
 from sitescope.plans.q_geo import points
+from sitescope.plans import q_misc  # noqa: F401 - registers the parts first
 from sitescope.plans.q_survey import survey  # noqa: F401 - registers the parts first
 from sitescope.plans.q_text import convs, docs
-from sitescope.plans.registry import ORACLE, register
+from sitescope.plans.registry import ORACLE, QUERIES, register
 
 
 def _part(section: str, key: str, item: str) -> str:
@@ -74,3 +76,34 @@ def booking_report(spark, d):
 def clustered_export(spark, d):
     """V6: sites with cluster and centroid (rows-only: M1_kmeans_violations checks the fit)."""
     return K.clustered_export(points(spark, d))
+
+
+_NO = "list_position(['data_collection', 'workshop_content', 'delivery_optimization', 'geographic_expansion'], category)"
+LINES_SQL = f"""
+SELECT DISTINCT {_NO} AS section_no, 0 AS line_no, upper(replace(category, '_', ' ')) AS line FROM ({ORACLE['L16_recommendations']})
+UNION ALL SELECT {_NO}, rank, CAST(rank AS VARCHAR) || '. ' || recommendation FROM ({ORACLE['L16_recommendations']})"""
+
+
+@register('S10_recommendations', LINES_SQL)
+def recommendation_document(spark, d):
+    """Lines of the numbered recommendations document."""
+    return R.recommendation_lines(QUERIES['L16_recommendations'](spark, d))
+
+
+@register('S10_summary', f"""
+WITH k AS ({ORACLE['A1_survey_kpis']}), s AS ({ORACLE['A8_session_totals']}), l AS ({LINES_SQL})
+SELECT 101 AS section_no, n AS line_no, line FROM k, LATERAL (VALUES
+  (0, 'Youth Feedback:'), (1, '  - Total responses: ' || total_responses),
+  (2, '  - Average effectiveness: ' || printf('%.2f', avg_effectiveness_score) || '/5'),
+  (3, '  - Satisfaction rate: ' || printf('%.1f', satisfaction_rate) || '%'), (4, '  - Unique schools: ' || unique_schools)) AS x(n, line)
+UNION ALL
+SELECT 102, n, line FROM s, LATERAL (VALUES (0, 'Session Delivery:'), (1, '  - Total sessions: ' || printf('%.0f', CAST(total_sessions AS DOUBLE))),
+  (2, '  - Session types: ' || CAST(unique_session_types AS BIGINT))) AS x(n, line)
+UNION ALL
+SELECT section_no + 200, line_no, CASE WHEN line_no = 0 THEN
+         array_to_string(list_transform(string_split(lower(line), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ':'
+       ELSE regexp_replace(line, '^[0-9]+\\. ', '  - ') END FROM l WHERE line_no <= 3""")
+def summary_document(spark, d):
+    """Lines of the summary document, three recommendations a category."""
+    return R.summary_lines(QUERIES['A1_survey_kpis'](spark, d), QUERIES['A8_session_totals'](spark, d),
+                           QUERIES['L16_recommendations'](spark, d))

@@ -158,7 +158,8 @@ def require_name(df: DataFrame, col: str) -> DataFrame:
 
 def append_new(spark: SparkSession, new: DataFrame, path: str, key: str) -> DataFrame:
     """Append rows whose key is not yet in the lookup table at ``path``
-    (misses are cached too: rows carry a ``found`` flag). Returns the new rows."""
+    (misses are cached too: rows carry a ``found`` flag), one row per key even
+    where ``new`` repeats it. Returns the cached rows of all keys of ``new``."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -167,5 +168,5 @@ def append_new(spark: SparkSession, new: DataFrame, path: str, key: str) -> Data
         fresh = new.join(existing, key, 'left_anti')
     else:
         fresh = new
-    fresh.write.mode('append').parquet(path)
+    fresh.dropDuplicates([key]).write.mode('append').parquet(path)
     return spark.read.parquet(path).join(new.select(key), key, 'left_semi')

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -21,14 +22,24 @@ def write_csv(df: DataFrame, path: str, only_if_nonempty: bool = True) -> bool:
     return True
 
 
+def jsonable(col: Column, kind: T.DataType) -> Column:
+    """``col`` with everything that JSON has no value for as a string, at any depth; map keys become strings."""
+    if isinstance(kind, T.StructType):
+        fields = F.struct(*[jsonable(col[f.name], f.dataType).alias(f.name) for f in kind.fields])
+        return F.when(col.isNotNull(), fields)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(col, lambda x: jsonable(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        values = F.transform_values(col, lambda k, v: jsonable(v, kind.valueType))
+        return F.transform_keys(values, lambda k, v: k.cast('string'))
+    if isinstance(kind, (T.StringType, T.BooleanType, T.IntegralType, T.FloatType, T.DoubleType, T.NullType)):
+        return col
+    return col.cast('string')
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines; nested structs/arrays/maps are written natively, only
-    types JSON cannot hold (binary, intervals) are cast to string."""
-    cols = []
-    for f in df.schema.fields:
-        t = f.dataType.typeName()
-        cols.append(F.col(f'`{f.name}`').cast('string').alias(f.name) if t in ('binary', 'interval')
-                    else F.col(f'`{f.name}`'))
+    """JSON lines; values that JSON cannot hold are strings, in nested structs, arrays and maps as well."""
+    cols = [jsonable(F.col(f'`{f.name}`'), f.dataType).alias(f.name) for f in df.schema.fields]
     df.select(*cols).write.mode('overwrite').json(path)
 
 

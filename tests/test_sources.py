@@ -113,3 +113,26 @@ def test_append_new_lookup(spark, tmpdir_path):
     out = {r.k: r.v for r in RD.append_new(spark, b, path, 'k').collect()}
     assert out == {'y': None, 'z': 2.0}          # cached miss is kept, not re-looked-up
     assert spark.read.parquet(path).count() == 3
+
+
+def test_json_values_are_strings_at_any_depth(spark, tmpdir_path):
+    import datetime
+    import decimal
+    import json
+    import os
+    from sitescope.sources import sinks as K
+    df = spark.createDataFrame([(1, {'k': (datetime.date(2024, 3, 4), [decimal.Decimal('1.5'), None])}, bytearray(b'x'), None)],
+                               'id int, m map<string, struct<d: date, a: array<decimal(3,1)>>>, b binary, s struct<x: int>')
+    path = os.path.join(tmpdir_path, 'deep_json')
+    K.write_json(df, path)
+    line = next(r.value for r in spark.read.text(path).collect())
+    assert json.loads(line) == {'id': 1, 'm': {'k': {'d': '2024-03-04', 'a': ['1.5', None]}}, 'b': 'x'}
+
+
+def test_lookup_keeps_one_row_per_key(spark, tmpdir_path):
+    import os
+    from sitescope.sources import readers as RD
+    path = os.path.join(tmpdir_path, 'lookup_once')
+    new = spark.createDataFrame([('a', 1), ('a', 2), ('b', 3)], 'k string, v int')
+    assert RD.append_new(spark, new, path, 'k').count() == 2
+    assert RD.append_new(spark, new, path, 'k').count() == 2
