@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -124,6 +125,17 @@ def drop_tables(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
+
+    Spark finds them when the driver collects its garbage, which may be after
+    the job's end; an operator of several large shuffles, each written out as
+    a table, asks for it between them, so that disks hold one at a time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _drop_quietly(spark: SparkSession) -> None:
     try:
         drop_tables(spark)
