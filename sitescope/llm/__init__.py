@@ -11,5 +11,6 @@ toxicity     subword-bag embeddings with a linear softmax
 langid       nearest clustered centroid over TF-IDF n-grams
 simhash      SimHash classes by pigeonring candidate chains
 resample     importance resampling towards a target, cut by medians of medians
+debruijn     substrings of 13 words removed by De Bruijn compaction
 search       ranked lexical search over bit-sliced Bloom signatures
 """

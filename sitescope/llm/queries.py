@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitescope.llm import (ann, bpe, chat, langid, line_dedup, packing, quality, resample, search, simhash,
+from sitescope.llm import (ann, bpe, chat, debruijn, langid, line_dedup, packing, quality, resample, search, simhash,
                            suffix_dedup, toxicity)
 from sitescope.llm.common import table
 
@@ -79,18 +79,24 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select('doc_id', 'n_features', 'weight', 'score', 'rank')
 
 
+def op12_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = debruijn.dedup_substrings(table(spark, sf_dir, 'documents'), keep=['doc_id'])
+    return cut.select('doc_id', 'n_words', 'n_removed', 'kept_sha256')
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, 'documents'), table(spark, sf_dir, 'benchmark'))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_bpe, op2_line_dedup, op3_chat_format, op4_best_fit_packing, op5_suffix_dedup, op6_nearest_vectors,
-    op7_quality_rules, op8_toxicity, op9_language_id, op10_simhash, op11_importance_resampling, op13_lexical_search)}
+    op7_quality_rules, op8_toxicity, op9_language_id, op10_simhash, op11_importance_resampling, op12_debruijn_dedup, op13_lexical_search)}
 
 ORACLE: dict[str, str] = {
     'op2_line_dedup': line_dedup.ORACLE,
     'op3_chat_format': chat.ORACLE,
     'op5_suffix_dedup': suffix_dedup.ORACLE,
     'op7_quality_rules': quality.ORACLE,
+    'op12_debruijn_dedup': debruijn.ORACLE,
     'op13_lexical_search': search.ORACLE,
 }
