@@ -125,6 +125,15 @@ def drop_tables(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete one table of :func:`cut_lineage`, once every result of it is written."""
+    spark, folder = df.sparkSession, _tables_folder(df.sparkSession)
+    name = next((f.split(folder + '/', 1)[1].split('/')[0] for f in df.inputFiles() if folder + '/' in f), None)
+    if name:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f'{folder}/{name}')
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more.
 
