@@ -39,7 +39,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from sitescope.llm.common import materialise, number_words, offsets, text_blocks
-from sitescope.session import free_shuffles
+from sitescope.session import drop_table, free_shuffles
 
 K = 13
 SEED = 5
@@ -57,21 +57,37 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` words, from the words' hashes."""
+    """Hashes of all runs of ``size`` words, from the words' hashes; runs double while they fit."""
     n = max(len(words) - size + 1, 0)
-    h = np.zeros(n, np.uint64)
-    for i in range(size):
-        h = h * _MULTIPLIER + words[i:i + n]
+    h, done, step, factor = np.zeros(n, np.uint64), 0, words, _MULTIPLIER
+    for bit in range(size.bit_length()):
+        width = 1 << bit
+        if size & width:
+            h = h * factor + step[done:done + n]
+            done += width
+        if width * 2 <= size:
+            step = step[:len(step) - width] * factor + step[width:]
+            factor = factor * factor
     return mix(h)
 
 
-def owners(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the text's grams, and for each window the place of the gram it belongs to."""
-    grams = gram_hashes(words, SEED)
-    if len(words) < K:
-        return grams, np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(grams, K - SEED + 1).argmin(axis=1)
-    return grams, least + np.arange(len(least))
+def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
+    """The smallest of every ``size`` consecutive values."""
+    width = 1
+    while width * 2 <= size:
+        values = np.minimum(values[:-width], values[width:])
+        width *= 2
+    rest = size - width
+    return np.minimum(values[:len(values) - rest], values[rest:]) if rest else values
+
+
+def windows(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a block's texts: row, place in the block's words, and the hash of the gram each belongs to."""
+    if len(hashes) < K:
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    at = np.flatnonzero(row[:len(hashes) - K + 1] == row[K - 1:])
+    return row[at], at, sliding_least(gram_hashes(hashes, SEED), K - SEED + 1)[at]
 
 
 def _hashed(texts: list[str]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -136,17 +152,12 @@ def _gram_rows(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _keyed_blocks(batches):
             lists, hashes, ends = _hashed(texts)
-            grams, seqs = [], []
-            for row, words in enumerate(lists):
-                if len(words) < K:
-                    continue
-                gram, owner = owners(hashes[ends[row]:ends[row + 1]])
-                own = np.unique(gram[owner[np.flatnonzero(np.diff(owner, prepend=-1))]])
-                grams.append(own.view(np.int64))
-                seqs.append(np.full(len(own), xxhash.xxh64_intdigest(b' '.join(words)) - (1 << 63), np.int64))
-            if not grams:
+            row, _, gram = windows(hashes, ends)
+            if not len(row):
                 continue
-            gram, seq = np.concatenate(grams), np.concatenate(seqs)
+            new = np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]))
+            own = np.array([xxhash.xxh64_intdigest(b' '.join(ws)) - (1 << 63) for ws in lists], np.int64)
+            gram, seq = gram[new].view(np.int64), own[row[new]]
             order = np.lexsort((seq, gram))
             gram, seq = gram[order], seq[order]
             new = np.append(True, (gram[1:] != gram[:-1]) | (seq[1:] != seq[:-1]))
@@ -206,21 +217,23 @@ def _edges(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in _keyed_blocks(batches):
             _, hashes, ends = _hashed(texts)
-            parts: list[tuple] = []
-            for row, key in enumerate(keys):
-                words = hashes[ends[row]:ends[row + 1]]
-                gram, owner = owners(words)
-                shared = np.isin(gram, np.array(key['grams'], np.int64).view(np.uint64))
-                at = np.flatnonzero(shared[owner])
-                if not len(at):
-                    continue
-                node = gram_hashes(words, K - 1).view(np.int64)
-                a, b = node[at], node[at + 1]
-                again = np.ones(len(at), bool)
-                again[np.unique(np.stack((a, b)), axis=1, return_index=True)[1]] = False
-                parts.append((a, b, np.full(len(at), key['id']), at + (key['part'] << 32), again))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=EDGES)
+            row, at, gram = windows(hashes, ends)
+            asked = [np.array(k['grams'], np.int64).view(np.uint64) for k in keys]
+            asked_row = np.repeat(np.arange(len(keys), dtype=np.uint64), [len(g) for g in asked])
+            new = np.append(True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1]))[:len(row)]
+            own = row[new].astype(np.uint64) * _MULTIPLIER + gram[new]  # a text's grams, told apart from other texts'
+            shared = np.isin(own, asked_row * _MULTIPLIER + np.concatenate(asked))
+            pick = np.repeat(shared, np.diff(np.append(np.flatnonzero(new), len(row))))
+            row, at = row[pick], at[pick]
+            if not len(at):
+                continue
+            node = gram_hashes(hashes, K - 1)
+            a, b = node[at], node[at + 1]
+            again = np.ones(len(at), bool)
+            again[np.unique(mix(a + row.astype(np.uint64) * _MULTIPLIER) + b, return_index=True)[1]] = False
+            ids, parts = (np.array([k[c] for k in keys], np.int64) for c in ('id', 'part'))
+            columns = a.view(np.int64), b.view(np.int64), ids[row], at - ends[row] + (parts[row] << 32), again
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=EDGES)
 
     return _on(documents, wanted).select('id', 'own', 'part', 'grams', 'text').mapInArrow(
         run, '`from` long, `to` long, id long, at long, again boolean')
@@ -332,12 +345,16 @@ def marks(documents: DataFrame) -> DataFrame:
     free_shuffles(spark)
     wanted = shared.join(graph, 'seq').groupBy('id2', 'own2', F.col('part2').alias('part')).agg(F.collect_set('gram').alias('grams'))
     edges = materialise(_edges(documents, wanted))
+    drop_table(shared)
     free_shuffles(spark)
     sources = materialise(_sources(edges))
     free_shuffles(spark)
     placed = materialise(compact(sources))
+    drop_table(sources)
     free_shuffles(spark)
     spans = materialise(_spans(edges, placed))
+    for done in (edges, placed):
+        drop_table(done)
     free_shuffles(spark)
     digests = materialise(_source_digests(documents, spans, graph.drop('seq')))
     free_shuffles(spark)
