@@ -67,7 +67,7 @@ def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
             done += width
         if width * 2 <= size:
             step = step[:len(step) - width] * factor + step[width:]
-            factor = factor * factor
+            factor = np.uint64(int(factor) ** 2 % (1 << 64))
     return mix(h)
 
 
