@@ -1,18 +1,24 @@
-"""Fuzzy string scorers (C22, C23) as Arrow-batched pandas UDFs.
+"""Fuzzy string scores (C22): token sorting as a column, Indel distances of candidate pairs in arrays.
 
-Only candidate pairs that survived an exact, lossless blocking join reach these
-scorers (see ``operators.match``); the token sorting itself is a native
-expression (:func:`token_sort_key`).
+Only pairs that survived the inverted index of ``operators.names`` reach the
+distance function; there a count of common characters bounds the common
+subsequence before it is computed.
 """
 
 from __future__ import annotations
 
-import difflib
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import IntegerType
+
+#: Longest first string whose subsequences fit the bits of one machine word.
+WORD_BITS = 62
+#: Characters are counted in this many classes for the bound.
+CLASSES = 64
 
 
 def _c(c) -> Column:
@@ -48,24 +54,54 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * lcs_length(a, b) / total
 
 
-def ratcliff_ratio(a: str, b: str) -> float:
-    """Ratcliff-Obershelp similarity 0..100 (difflib's ratio)."""
-    return 100.0 * difflib.SequenceMatcher(None, a, b).ratio()
-
-
-@F.pandas_udf(DoubleType())
-def indel_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if (x is None or y is None) else indel_ratio(x, y) for x, y in zip(a, b)],
-                     dtype='float64')
-
-
-@F.pandas_udf(DoubleType())
-def ratcliff_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if (x is None or y is None) else ratcliff_ratio(x, y) for x, y in zip(a, b)],
-                     dtype='float64')
-
-
-SCORERS = {
-    'token_sort': indel_ratio_udf,     # scored on token-sorted strings
-    'ratcliff': ratcliff_ratio_udf,    # scored on the raw strings
-}
+def _letters(strings: Sequence[str], lengths: np.ndarray) -> np.ndarray:
+    """[row, place]: code points, 0 beyond a string's end."""
+    width = max(int(lengths.max(initial=0)), 1)
+    return np.array(strings, dtype=f'U{width}').view(np.uint32).reshape(len(strings), width)
+
+
+def _class_counts(letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    row, place = np.nonzero(np.arange(letters.shape[1]) < lengths[:, None])
+    cell = row * CLASSES + letters[row, place] % CLASSES
+    return np.bincount(cell, minlength=len(lengths) * CLASSES).reshape(len(lengths), CLASSES)
+
+
+def lcs_lengths(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """:func:`lcs_length` of many pairs, all rows a step; strings ``a`` of at most WORD_BITS characters."""
+    n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    left, right = _letters(a, n_a), _letters(b, n_b)
+    inside = np.arange(left.shape[1]) < n_a[:, None]
+    bits = np.uint64(1) << np.arange(left.shape[1], dtype=np.uint64)
+    full = (np.uint64(1) << n_a.astype(np.uint64)) - np.uint64(1)
+    v = full.copy()
+    for j in range(int(n_b.max(initial=0))):
+        same = ((left == right[:, j, None]) & inside & (j < n_b)[:, None]) @ bits
+        u = v & same
+        v = np.where(j < n_b, ((v + u) | (v - u)) & full, v)
+    return n_a - np.bitwise_count(v).astype(np.int64)
+
+
+def distances_within(a: Sequence[str], b: Sequence[str], limit: np.ndarray) -> np.ndarray:
+    """Indel distances of pairs, -1 where a pair's is over its limit."""
+    n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in (a, b))
+    out = np.full(len(n_a), -1, np.int64)
+    short = (n_a <= WORD_BITS) & (n_b <= WORD_BITS)
+    pick = np.flatnonzero(short)
+    if len(pick):
+        some_a, some_b = [a[i] for i in pick], [b[i] for i in pick]
+        counts = (_class_counts(_letters(s, n[pick]), n[pick]) for s, n in ((some_a, n_a), (some_b, n_b)))
+        common = np.minimum(*counts).sum(axis=1)
+        pick = pick[n_a[pick] + n_b[pick] - 2 * common <= limit[pick]]
+    if len(pick):
+        out[pick] = n_a[pick] + n_b[pick] - 2 * lcs_lengths([a[i] for i in pick], [b[i] for i in pick])
+    for i in np.flatnonzero(~short):
+        out[i] = n_a[i] + n_b[i] - 2 * lcs_length(a[i], b[i])
+    out[out > limit] = -1
+    return out
+
+
+@F.pandas_udf(IntegerType())
+def indel_within(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
+    """Indel distance of two strings; null if it is over the limit."""
+    found = distances_within(a.tolist(), b.tolist(), limit.to_numpy(np.int64))
+    return pd.Series(found).where(found >= 0).astype('Int32')

@@ -35,7 +35,6 @@ class LeadConfig:
     hotspot_radius_km: float = 5.0
     fsm_threshold: float = 30.0
     fuzzy_threshold: float = 80.0
-    fuzzy_scorer: str = 'token_sort'
     top_n: int | None = 100
     nearest_start_km: float | None = None   # None: adaptive from champion density
     salt: int = 1
@@ -67,7 +66,7 @@ def tag(df: DataFrame, lead_type: str, category: str, source: str) -> DataFrame:
 def trust_leads(candidates: DataFrame, champions: DataFrame, registry: DataFrame,
                 cfg: LeadConfig) -> DataFrame:
     """L1: J5 -> J18 -> J6 (semi join on trust) -> tags; ``candidates`` already passed J7."""
-    trusts = champion_trusts(champions, registry, threshold=cfg.fuzzy_threshold, scorer=cfg.fuzzy_scorer)
+    trusts = champion_trusts(champions, registry, threshold=cfg.fuzzy_threshold)
     leads = candidates.join(trusts, 'trust_name', 'left_semi')
     return tag(leads, 'Trust Lead', 'normal', 'Same trust as champion school')
 

@@ -1,13 +1,8 @@
 """Entity matching and lookup joins.
 
-Exact matches are equi-joins on a normalised name. The fuzzy leg is exact
-too: a left name can only reach score >= t against names whose length lies in
-``[ceil(la*t/(200-t)), floor(la*(200-t)/t)]`` (the score is at most
-``200*min(la,lb)/(la+lb)``), so the remainder is exploded over those lengths and
-equi-joined with the registry on length; only those candidate pairs are
-scored by the Arrow UDF. The best match per left row is an aggregate
-(``min`` over a struct of ``(-score, registry order)``), so a hot name never
-lands in one window partition.
+Exact matches are equi-joins on a normalised name. The fuzzy leg, for names
+without a usable exact match, is the inverted index of ``operators.names``: it
+finds each name's best registry row without comparing all pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sitescope.functions import lexicons as lx
 from sitescope.functions.clean import norm_name, strip
-from sitescope.functions.fuzzy import SCORERS, token_sort_key
+from sitescope.operators.names import fuzzy_best_match
 from sitescope.session import cut_lineage
 
 
@@ -57,48 +52,10 @@ def usable_trust(c) -> Column:
     return col.isNotNull() & (F.lower(strip(col)) != F.lit(lx.NO_TRUST_VALUE))
 
 
-def fuzzy_best_match(left: DataFrame, left_key: str, left_name: str,
-                     registry: DataFrame, reg_name: str, reg_order: str,
-                     reg_cols: Sequence[str], threshold: float = 80.0,
-                     scorer: str = 'token_sort') -> DataFrame:
-    """J5 fuzzy leg: best registry row with score >= threshold per left row.
-
-    Output: ``left_key``, ``match_score`` and ``reg_cols`` of the best row
-    (highest score, then lowest ``reg_order``). Left rows without a match are
-    absent. Lossless length blocking as described in the module docstring.
-    """
-    t = float(threshold)
-    if scorer == 'token_sort':
-        lkey, rkey = token_sort_key(left_name), token_sort_key(reg_name)
-    else:
-        lkey, rkey = F.col(left_name).cast('string'), F.col(reg_name).cast('string')
-    lo_f, hi_f = t / (200.0 - t), (200.0 - t) / t
-    lft = (left.select(left_key, lkey.alias('_ls'))
-               .filter(F.col('_ls').isNotNull())
-               .withColumn('_la', F.length('_ls')))
-    lft = lft.withColumn('_len', F.explode(F.sequence(
-        F.ceil(F.col('_la') * F.lit(lo_f) - F.lit(1e-9)).cast('int'),
-        F.floor(F.col('_la') * F.lit(hi_f) + F.lit(1e-9)).cast('int'))))
-    reg = (registry.filter(F.col(reg_name).isNotNull())
-                   .select(rkey.alias('_rs'), F.col(reg_order).alias('_ro'),
-                           *[F.col(c).alias('_m_' + c) for c in reg_cols])
-                   .withColumn('_len', F.length('_rs')))
-    pairs = lft.join(reg, '_len', 'inner')
-    score_fn = SCORERS[scorer]
-    scored = (pairs.withColumn('match_score', score_fn(F.col('_ls'), F.col('_rs')))
-                   .filter(F.col('match_score') >= F.lit(t - 1e-9)))
-    best = scored.groupBy(left_key).agg(
-        F.min(F.struct((-F.col('match_score')).alias('_neg'), F.col('_ro'),
-                       *[F.col('_m_' + c) for c in reg_cols])).alias('_b'))
-    return best.select(left_key, (-F.col('_b._neg')).alias('match_score'),
-                       *[F.col('_b._m_' + c).alias(c) for c in reg_cols])
-
-
 def match_to_registry(names: DataFrame, name_col: str, registry: DataFrame,
                       reg_name: str = 'gias_name', reg_norm: str = 'norm_name',
                       reg_order: str = 'reg_ord', reg_cols: Sequence[str] = ('trust_name',),
-                      usable: Column | None = None, threshold: float = 80.0,
-                      scorer: str = 'token_sort', fuzzy: bool = True) -> DataFrame:
+                      usable: Column | None = None, threshold: float = 80.0, fuzzy: bool = True) -> DataFrame:
     """J5 cascade: exact on normalised name (first registry row), else fuzzy.
 
     ``usable`` (a predicate over ``reg_cols``) makes an exact hit fall through
@@ -126,12 +83,10 @@ def match_to_registry(names: DataFrame, name_col: str, registry: DataFrame,
     if not fuzzy:
         out = exact_out
     else:
-        remainder = src.join(matched_exact.select('_name'), '_name', 'left_anti')
-        if remainder.isEmpty():
-            # nothing left for the fuzzy leg: skip its candidate join and UDF stage
-            return src.join(exact_out, '_name', 'left').withColumnRenamed('_name', name_col)
-        fz = fuzzy_best_match(remainder, '_name', '_name', registry, reg_name, reg_order,
-                              list(reg_cols), threshold, scorer)
+        # exact holds every name once; the names without a usable match go on
+        hit = usable if usable is not None else (F.col(reg_cols[0]).isNotNull() if reg_cols else F.lit(True))
+        remainder = exact.filter(~F.coalesce(hit, F.lit(False))).select('_name')
+        fz = fuzzy_best_match(remainder, '_name', '_name', registry, reg_name, reg_order, list(reg_cols), threshold)
         if usable is not None:
             fz = fz.filter(usable)
         fuzzy_out = fz.select('_name', F.lit('fuzzy').alias('match_type'), 'match_score', *reg_cols)
@@ -141,10 +96,10 @@ def match_to_registry(names: DataFrame, name_col: str, registry: DataFrame,
 
 
 def champion_trusts(champions: DataFrame, registry: DataFrame, name_col: str = 'school_name',
-                    threshold: float = 80.0, scorer: str = 'token_sort', fuzzy: bool = True) -> DataFrame:
+                    threshold: float = 80.0, fuzzy: bool = True) -> DataFrame:
     """J5 -> J18: distinct usable trusts of the champions."""
     m = match_to_registry(champions, name_col, registry, usable=usable_trust('trust_name'),
-                          threshold=threshold, scorer=scorer, fuzzy=fuzzy)
+                          threshold=threshold, fuzzy=fuzzy)
     return m.filter(usable_trust('trust_name')).select('trust_name').distinct()
 
 

@@ -62,24 +62,72 @@ def _typed_names(spark, d):
     return p.select(F.when(F.pmod('p_partkey', F.lit(2)) == 0, rev).otherwise(drop).alias('typed_name'))
 
 
-@register('J5_fuzzy_match')
+PART_SQL = f"""WITH RECURSIVE regp AS (SELECT p_name AS gias_name, min(p_partkey) AS reg_ord, upper(p_name) AS trust_name FROM part GROUP BY p_name),
+typed AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN array_to_string(list_reverse(string_split(p_name, ' ')), ' ')
+                               ELSE substr(p_name, 1, 2) || substr(p_name, 4) END AS typed_name FROM part),
+ex AS (SELECT t.typed_name, arg_min(r.trust_name, r.reg_ord) AS trust_name FROM typed t
+       JOIN regp r ON {S.norm('r.gias_name')} = {S.norm('t.typed_name')} GROUP BY 1),
+{S.fuzzy('SELECT typed_name AS name FROM typed WHERE typed_name NOT IN (SELECT typed_name FROM ex)',
+         'SELECT gias_name AS name, reg_ord AS ord FROM regp', 80.0)}
+SELECT t.typed_name, CASE WHEN ex.trust_name IS NOT NULL THEN 'exact' WHEN fz.name IS NOT NULL THEN 'fuzzy' END AS match_type,
+       CASE WHEN ex.trust_name IS NOT NULL THEN 100.0 ELSE fz.score END AS match_score, coalesce(ex.trust_name, r.trust_name) AS trust_name
+FROM typed t LEFT JOIN ex USING (typed_name) LEFT JOIN fz ON fz.name = t.typed_name LEFT JOIN regp r ON r.reg_ord = fz.ord"""
+
+
+@register('J5_fuzzy_match', PART_SQL)
 def fuzzy_match(spark, d):
-    """J5 cascade on typed part names (exact, else token-sort >= 80): rows-only check."""
+    """J5 cascade on typed part names (exact, else token-sort >= 80)."""
     names = _part_names(spark, d).withColumn('norm_name', MT.norm_name('gias_name'))
     return MT.match_to_registry(_typed_names(spark, d), 'typed_name', names, threshold=80.0)
 
 
-@register('J15_trust_enrichment', f"""{ALL_SITES}, {FIRST}
-SELECT v.school_name, CASE WHEN f.trust_name IS NOT NULL THEN 'exact' END AS match_type,
-       CASE WHEN f.trust_name IS NOT NULL THEN 100.0 END AS match_score, f.trust_name
-FROM (SELECT DISTINCT school_name FROM vis WHERE school_name IS NOT NULL AND school_name <> '') v
-LEFT JOIN first_reg f ON f.norm_name = {S.norm('v.school_name')}""")
+def _typed_sites(spark, d, sites):
+    """Site names as typed by hand: of every third customer a character is lost, others differ in case and blanks."""
+    c = B.table(spark, d, 'customer').select(F.col('c_name').alias('school_name'), 'c_custkey')
+    lost = F.concat(F.substring('school_name', 1, 12), F.expr('substring(school_name, 14)'))
+    kind = F.pmod('c_custkey', F.lit(3))
+    typed = F.when(kind == 0, lost).when(kind == 1, F.concat(F.lit(' '), F.upper('school_name'))).otherwise(F.col('school_name'))
+    return sites.join(c, 'school_name').select(typed.alias('school_name'), *[x for x in sites.columns if x != 'school_name'])
+
+
+TYPED_SITE = """CASE WHEN c_custkey % 3 = 0 THEN substr(school_name, 1, 12) || substr(school_name, 14)
+                  WHEN c_custkey % 3 = 1 THEN ' ' || upper(school_name) ELSE school_name END"""
+
+
+def _typed_cascade(source: str, threshold: float) -> str:
+    """CTEs from the sites of ``source`` to matched(school_name, match_type, match_score, trust_name)."""
+    usable = "trust_name IS NOT NULL AND lower(trim(trust_name)) <> 'not applicable'"
+    rest = 'SELECT school_name AS name FROM names WHERE school_name NOT IN (SELECT school_name FROM ex)'
+    return f"""
+names AS (SELECT DISTINCT {TYPED_SITE} AS school_name FROM {source} JOIN customer ON c_name = school_name),
+ex AS (SELECT n.school_name, f.trust_name FROM names n JOIN first_reg f ON f.norm_name = {S.norm('n.school_name')} WHERE {usable}),
+{S.fuzzy(rest, 'SELECT gias_name AS name, reg_ord AS ord FROM reg', threshold)},
+fm AS (SELECT fz.name AS school_name, fz.score, r.trust_name FROM fz JOIN reg r ON r.reg_ord = fz.ord WHERE {usable}),
+matched AS (SELECT n.school_name, CASE WHEN ex.school_name IS NOT NULL THEN 'exact' WHEN fm.school_name IS NOT NULL THEN 'fuzzy' END AS match_type,
+                   CASE WHEN ex.school_name IS NOT NULL THEN 100.0 ELSE fm.score END AS match_score,
+                   coalesce(ex.trust_name, fm.trust_name) AS trust_name
+            FROM names n LEFT JOIN ex USING (school_name) LEFT JOIN fm USING (school_name))"""
+
+
+@register('J15_trust_enrichment', f"""{ALL_SITES.replace('WITH', 'WITH RECURSIVE', 1)}, {FIRST}, {_typed_cascade('vis', 85.0)}
+SELECT * FROM matched""")
 def trust_enrichment(spark, d):
-    """Trust of every visited site (exact name, else fuzzy at 85)."""
-    return MT.match_to_registry(every_site(spark, d), 'school_name', reg(spark, d), threshold=85.0,
+    """Trust of every visited site as typed by hand (exact name, else fuzzy at 85)."""
+    return MT.match_to_registry(_typed_sites(spark, d, every_site(spark, d)), 'school_name', reg(spark, d), threshold=85.0,
                                 usable=MT.usable_trust('trust_name'))
 
 
+@register('J18_typed_champion_trusts', f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, {CHAMP}, {FIRST}, {_typed_cascade('champ', 80.0)}
+SELECT trust_name, count(*) AS champions, count(*) FILTER (WHERE match_type = 'fuzzy') AS fuzzy_champions
+FROM matched WHERE trust_name IS NOT NULL GROUP BY trust_name""")
+def typed_champion_trusts(spark, d):
+    """J5 -> J18 with names as typed by hand: usable trusts, and how many champions led to each, also by fuzzy match."""
+    champs = _typed_sites(spark, d, L.champions_of(vis(spark, d), CFG.champion_min_visits))
+    m = MT.match_to_registry(champs, 'school_name', reg(spark, d), usable=MT.usable_trust('trust_name'), threshold=80.0)
+    return m.where(MT.usable_trust('trust_name')).groupBy('trust_name').agg(
+        F.count('*').alias('champions'), F.count_if(F.col('match_type') == 'fuzzy').alias('fuzzy_champions'))
+
+
 @register('J18_champion_trusts', f"{BASE}, {CHAMP}, {FIRST}, {TRUSTS} SELECT trust_name FROM trusts")
 def champion_trusts(spark, d):
     """Distinct usable trusts of the champions."""

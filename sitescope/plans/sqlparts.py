@@ -122,3 +122,29 @@ SELECT {LEAD_COLS}, lead_type, lead_category, lead_source, nearest_champion, dis
        impact_score
 FROM top LEFT JOIN nn USING (gias_urn)
 """
+
+
+def fuzzy(names: str, registry: str, threshold: float) -> str:
+    """CTEs ``fz_*``: fz(name, score, ord) is the best registry row per name with a score of at least the threshold.
+
+    ``names`` selects (name), ``registry`` selects (name, ord). The common
+    subsequence of every pair of keys is counted one character of the registry
+    name a step, as a row of bits.
+    """
+    key = r"array_to_string(list_sort(string_split_regex(trim(regexp_replace(name, '\\s+', ' ', 'g')), ' ')), ' ')"
+    return f"""
+fz_a AS (SELECT DISTINCT name, {key} AS k FROM ({names}) WHERE name IS NOT NULL),
+fz_b AS (SELECT {key} AS k, min(ord) AS ord FROM ({registry}) WHERE name IS NOT NULL GROUP BY 1),
+fz_mask AS (SELECT k, ch, sum(1::BIGINT << (i - 1))::BIGINT AS m
+            FROM (SELECT k, i, substr(k, i, 1) AS ch FROM (SELECT k, unnest(range(1, length(k) + 1)) AS i FROM (SELECT DISTINCT k FROM fz_a)))
+            GROUP BY k, ch),
+fz_lcs(a, b, j, v) AS (
+  SELECT x.k, y.k, 0, (1::BIGINT << length(x.k)) - 1 FROM (SELECT DISTINCT k FROM fz_a) x, fz_b y
+  WHERE 200.0 * least(length(x.k), length(y.k)) >= {threshold} * (length(x.k) + length(y.k))
+  UNION ALL
+  SELECT l.a, l.b, l.j + 1, ((l.v + (l.v & coalesce(m.m, 0))) | (l.v - (l.v & coalesce(m.m, 0)))) & ((1::BIGINT << length(l.a)) - 1)
+  FROM fz_lcs l LEFT JOIN fz_mask m ON m.k = l.a AND m.ch = substr(l.b, l.j + 1, 1) WHERE l.j < length(l.b)),
+fz_score AS (SELECT a, b, 200.0 * (length(a) - bit_count(v)) / (length(a) + length(b)) AS score FROM fz_lcs WHERE j = length(b)),
+fz_best AS (SELECT s.a, s.score, y.ord, row_number() OVER (PARTITION BY s.a ORDER BY s.score DESC, y.ord) AS n
+            FROM fz_score s JOIN fz_b y ON y.k = s.b WHERE s.score >= {threshold} - 1e-9),
+fz AS (SELECT x.name, t.score, t.ord FROM fz_a x JOIN fz_best t ON t.a = x.k WHERE t.n = 1)"""
