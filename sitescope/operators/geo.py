@@ -5,6 +5,7 @@ Points are rows with an id and (latitude, longitude) in degrees.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from sitescope.functions import lexicons as lx
 from sitescope.functions.geo import haversine_km
-from sitescope.operators.spatial import nearest_join, nearest_other, radius_join
+from sitescope.operators.nearest import nearest_join, nearest_other
+from sitescope.operators.spatial import radius_join
 from sitescope.session import cut_lineage
 
 
@@ -130,15 +132,14 @@ def hull_area(points: DataFrame, lat: str = 'latitude', lon: str = 'longitude',
 # --------------------------------------------------------------------------- coverage gaps
 
 def coverage_gaps(points: DataFrame, point_id: str, target_radius_km: float = 50.0,
-                  lat: str = 'latitude', lon: str = 'longitude', start_radius_km: float | None = None):
+                  lat: str = 'latitude', lon: str = 'longitude'):
     """Nearest-other-point distances (haversine, R = 6371) and the summary.
 
     Returns (per_point, summary): per_point has point_id, nearest_km and
     ``isolated`` (> target); summary has mean / max nearest distance and the
     count beyond the target.
     """
-    near = nearest_other(points, point_id, lat, lon, distance='haversine',
-                         start_radius_km=start_radius_km, dist_col='nearest_km')
+    near = nearest_other(points, point_id, lat, lon, distance='haversine', dist_col='nearest_km')
     per_point = near.withColumn('isolated', F.col('nearest_km') > F.lit(float(target_radius_km)))
     summary = per_point.agg(F.avg('nearest_km').alias('avg_nearest_distance_km'),
                             F.max('nearest_km').alias('max_nearest_distance_km'),
@@ -258,43 +259,100 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return par
 
 
+#: Points of two crowded cells that are compared pair by pair; larger products take the nearest-point search.
+CLOSE_PAIRS = 64
+
+
+def _super_points(points: DataFrame, point_id: str, eps_km: float, min_samples: int, lat: str, lon: str) -> DataFrame:
+    """Distinct places with id (_loc, the smallest), weight, cell, and whether the cell alone makes all its points core.
+
+    Cells are cubes around the sphere whose diagonal is just below eps, so any
+    two points of a cell are neighbours.
+    """
+    chord = 2.0 * math.sin(min(eps_km / (2.0 * lx.HAVERSINE_RADIUS_KM), math.pi / 2))
+    side = max(chord / math.sqrt(3.0) * (1 - 1e-9), 1e-9)
+    la, lo = F.radians(F.col(lat)), F.radians(F.col(lon))
+    axes = F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)
+    places = points.groupBy(lat, lon).agg(F.min(point_id).alias('_loc'), F.count(F.lit(1)).alias('_w'))
+    cell = F.struct(*[F.floor((x + 1.0) / F.lit(side)).alias(n) for x, n in zip(axes, 'xyz')])
+    places = cut_lineage(places.withColumn('_cell', cell))
+    sizes = places.groupBy('_cell').agg(F.sum('_w').alias('_cw'), F.count('*').alias('_cn'))
+    return cut_lineage(places.join(sizes, '_cell').withColumn('_dense', F.col('_cw') >= min_samples).drop('_cw'))
+
+
+def _dense_links(dense: DataFrame, eps_km: float, lat: str, lon: str) -> DataFrame:
+    """(_a, _b): dense cells (their smallest _loc) that hold points within eps of each other.
+
+    Only cells up to two apart can. Few points are compared directly; of larger
+    pairs the closest points are found by the nearest-point search, keyed by the pair.
+    """
+    cells = dense.groupBy('_cell').agg(F.min('_loc').alias('_node'), F.first('_cn').alias('_cn'))
+    steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    around = F.explode(F.array(*[F.struct(*[(F.col('_cell')[n] + d).alias(n) for n, d in zip('xyz', step)]) for step in steps]))
+    there = cells.select(F.col('_cell').alias('_cell2'), F.col('_node').alias('_b'), F.col('_cn').alias('_nb'))
+    pairs = cells.select('_cell', F.col('_node').alias('_a'), F.col('_cn').alias('_na'), around.alias('_cell2')).join(there, '_cell2')
+    pairs = cut_lineage(pairs)
+    left = dense.select('_cell', F.col(lat).alias('_la'), F.col(lon).alias('_lo'))
+    right = dense.select(F.col('_cell').alias('_cell2'), F.col(lat).alias('_rla'), F.col(lon).alias('_rlo'))
+    gap = haversine_km('_la', '_lo', '_rla', '_rlo')
+    small = F.col('_na') * F.col('_nb') <= CLOSE_PAIRS
+    direct = pairs.where(small).join(left, '_cell').join(right, '_cell2').where(gap <= eps_km).select('_a', '_b').distinct()
+    many = pairs.where(~small)
+    if many.isEmpty():
+        return direct
+    name = F.concat_ws(':', '_a', '_b')
+    a = many.join(left, '_cell').select('_a', '_b', '_la', '_lo', name.alias('_pair'))
+    b = many.join(right, '_cell2').select('_rla', '_rlo', name.alias('_rpair'))
+    a = a.withColumn('_row', F.struct('_a', '_b', '_la', '_lo'))
+    closest = nearest_join(a, b, 1, '_row', ['_rla', '_rlo'], '_la', '_lo', '_rla', '_rlo', distance='haversine',
+                           dist_col='_d', keys=[('_pair', '_rpair')])
+    far = closest.where(F.col('_d') <= eps_km).select('_row._a', '_row._b').distinct()
+    return direct.unionByName(far)
+
+
 def dbscan(points: DataFrame, point_id: str, eps_km: float = 0.5, min_samples: int = 3,
            lat: str = 'latitude', lon: str = 'longitude') -> DataFrame:
     """M2: DBSCAN with haversine distance (R = 6371), eps in km; noise = -1.
 
-    1. identical coordinates are collapsed with a weight (a hot duplicate
-       location never turns into n² pairs);
-    2. eps-neighbour pairs of locations via the grid radius join;
-    3. core = weighted neighbour count (self included) >= min_samples;
-    4. connected components of core locations (hooking + shortcutting,
-       checkpointed every round, O(log n) rounds);
-    5. border points take the smallest label among their core neighbours.
-    Cluster id = smallest point id in the component (stable, not dense).
+    1. Identical coordinates are one place with a weight, and places fall into
+       cells whose diagonal is within eps. A cell of weight ``min_samples`` is
+       dense: all its points are core and one cluster, without any pair.
+    2. Only places of the other cells, fewer than ``min_samples`` a cell, are
+       compared with their neighbours (grid radius join), so pairs grow with
+       the points and ``min_samples``; their weighted counts tell which are core.
+    3. Clusters are connected components over cells with core points: linked by
+       those pairs, or, of two dense cells, by their closest points.
+    4. Border points take the smallest cluster among their core neighbours.
+    Cluster id = smallest point id among the cluster's core points.
     """
     pts = points.select(point_id, lat, lon).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    locs = cut_lineage(pts.groupBy(lat, lon).agg(F.min(point_id).alias('_loc'), F.count(F.lit(1)).alias('_w')))
-    other = locs.select(F.col('_loc').alias('_nb'), F.col(lat).alias('_nlat'), F.col(lon).alias('_nlon'),
-                        F.col('_w').alias('_nw'))
-    pairs = cut_lineage(radius_join(locs.select('_loc', lat, lon), other, eps_km, lat, lon, '_nlat', '_nlon',
-                                    how='inner', distance='haversine', dist_col='_d')
-                        .select('_loc', '_nb', '_nw'))
-    counts = pairs.groupBy('_loc').agg(F.sum('_nw').alias('_cnt'))
-    core = cut_lineage(counts.filter(F.col('_cnt') >= min_samples).select('_loc'))
-    edges = (pairs.join(core, '_loc', 'left_semi')
-                  .join(core.select(F.col('_loc').alias('_nb')), '_nb', 'left_semi')
-                  .filter(F.col('_loc') != F.col('_nb')).select('_loc', '_nb'))
-    edges = cut_lineage(edges)
-    labels = connected_components(core.select(F.col('_loc').alias('_v')),
-                                  edges.select(F.col('_loc').alias('_a'), F.col('_nb').alias('_b')))
-    labels = labels.select(F.col('_v').alias('_loc'), F.col('_p').alias('_lab'))
-    border = (pairs.join(core, '_loc', 'left_anti')
-                   .join(labels.select(F.col('_loc').alias('_nb'), F.col('_lab').alias('_nl')), '_nb')
-                   .groupBy('_loc').agg(F.min('_nl').alias('_lab')))
-    loc_label = labels.unionByName(border)
-    out = (pts.join(locs.select(lat, lon, '_loc'), [lat, lon], 'inner')
-              .join(loc_label, '_loc', 'left')
-              .select(point_id, lat, lon, F.coalesce(F.col('_lab'), F.lit(-1)).cast('long').alias('cluster')))
-    return out
+    places = _super_points(pts, point_id, eps_km, min_samples, lat, lon)
+    dense, sparse = places.where('_dense'), places.where('not _dense')
+    other = places.select(F.col('_loc').alias('_nb'), F.col(lat).alias('_nlat'), F.col(lon).alias('_nlon'),
+                          F.col('_w').alias('_nw'), F.col('_cell').alias('_ncell'), F.col('_dense').alias('_ndense'))
+    near = radius_join(sparse.select('_loc', '_cell', lat, lon), other, eps_km, lat, lon, '_nlat', '_nlon', distance='haversine', dist_col='_d')
+    # all points of a dense cell are one neighbour: what they are to the place is the cell's
+    nb = F.when(F.col('_ndense'), F.lit(None)).otherwise(F.col('_nb')).alias('_nb')
+    near = cut_lineage(near.groupBy('_loc', '_cell', '_ncell', '_ndense', nb).agg(F.sum('_nw').alias('_nw')))
+    core = cut_lineage(near.groupBy('_loc', '_cell').agg(F.sum('_nw').alias('_cnt')).where(F.col('_cnt') >= min_samples).drop('_cnt'))
+    nodes = cut_lineage(dense.select('_cell', '_loc').unionByName(core.select('_cell', '_loc'))
+                        .groupBy('_cell').agg(F.min('_loc').alias('_node')))
+    is_core = core.select(F.col('_loc').alias('_nb'), F.lit(True).alias('_ncore'))
+    met = cut_lineage(near.join(is_core, '_nb', 'left').where('_ndense or _ncore')
+                      .join(nodes.select(F.col('_cell').alias('_ncell'), F.col('_node').alias('_nnode')), '_ncell')
+                      .select('_loc', '_cell', '_nnode').distinct())
+    links = (met.join(core, ['_loc', '_cell'], 'left_semi').join(nodes, '_cell')
+             .select(F.col('_node').alias('_a'), F.col('_nnode').alias('_b')).where('_a <> _b'))
+    links = cut_lineage(links.unionByName(_dense_links(dense, eps_km, lat, lon)).distinct())
+    labels = connected_components(nodes.select(F.col('_node').alias('_v')), links)
+    labels = labels.select(F.col('_v').alias('_node'), F.col('_p').alias('_lab'))
+    of_cell = cut_lineage(nodes.join(labels, '_node').select('_cell', '_node', '_lab'))
+    inside = dense.select('_loc', '_cell').unionByName(core.select('_loc', '_cell')).join(of_cell, '_cell').select('_loc', '_lab')
+    border = (met.join(core, '_loc', 'left_anti').join(of_cell.select(F.col('_node').alias('_nnode'), '_lab'), '_nnode')
+              .groupBy('_loc').agg(F.min('_lab').alias('_lab')))
+    found = places.select('_loc', F.col(lat).alias('_plat'), F.col(lon).alias('_plon')).join(inside.unionByName(border), '_loc')
+    return (pts.join(found, (pts[lat] == F.col('_plat')) & (pts[lon] == F.col('_plon')), 'left')
+            .select(point_id, lat, lon, F.coalesce(F.col('_lab'), F.lit(-1)).cast('long').alias('cluster')))
 
 
 def connection_edges(leads: DataFrame, lead_id: str, sites: DataFrame, centroids: DataFrame,

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from sitescope.functions.clean import norm_name
 from sitescope.operators.match import champion_trusts
-from sitescope.operators.spatial import nearest_join, radius_join
+from sitescope.operators.nearest import nearest_join
+from sitescope.operators.spatial import radius_join
 from sitescope.session import cut_lineage
 
 STANDARD_COLS = ['gias_urn', 'gias_name', 'trust_name', 'easting', 'northing', 'postcode',
@@ -36,7 +37,6 @@ class LeadConfig:
     fsm_threshold: float = 30.0
     fuzzy_threshold: float = 80.0
     top_n: int | None = 100
-    nearest_start_km: float | None = None   # None: adaptive from champion density
     salt: int = 1
 
 
@@ -108,8 +108,7 @@ def nearest_champion(leads: DataFrame, champions: DataFrame, cfg: LeadConfig,
                               F.col('latitude').alias('_clat'), F.col('longitude').alias('_clon')))
     near = nearest_join(leads.select(lead_id, 'gias_lat', 'gias_lon'), champ, 1, lead_id,
                         ['nearest_champion', '_clat', '_clon'], 'gias_lat', 'gias_lon', '_clat', '_clon',
-                        distance='great_circle', start_radius_km=cfg.nearest_start_km,
-                        dist_col='distance_to_champion_km', salt=cfg.salt)
+                        distance='great_circle', dist_col='distance_to_champion_km')
     return leads.join(near.select(lead_id, 'nearest_champion', 'distance_to_champion_km'), lead_id, 'left')
 
 

@@ -118,13 +118,13 @@ def best_keys(names: DataFrame, registry: DataFrame, threshold: float) -> DataFr
     ``names``: ls; ``registry``: rs, ro (its order, which settles ties), both
     distinct. Names without a match are absent.
     """
-    known = registry.select('rs', 'ro', F.length('rs').alias('lb'))
-    index = cut_lineage(piece_index(known))
-    sizes = cut_lineage(piece_sizes(index))
     todo = names.select('ls', F.length('ls').alias('la'))
     todo = cut_lineage(todo.withColumn('far', reach(F.col('la'), threshold)))
-    results, budget = [], 1
+    results, budget, index = [], 1, None
     while not todo.isEmpty():
+        if index is None:
+            index = cut_lineage(piece_index(registry.select('rs', 'ro', F.length('rs').alias('lb'))))
+            sizes = cut_lineage(piece_sizes(index))
         limited = todo.withColumn('limit', F.least('far', F.lit(budget)))
         pairs = candidate_pairs(limited.drop('far'), index, sizes_around(sizes, budget)).withColumn('d', indel_within('ls', 'rs', 'limit'))
         total = F.col('la') + F.col('lb')
@@ -157,7 +157,6 @@ def fuzzy_best_match(left: DataFrame, left_key: str, left_name: str, registry: D
     known = (registry.select(token_sort_key(reg_name).alias('rs'), F.col(reg_order).alias('ro'),
                              *[F.col(c).alias('_m_' + c) for c in reg_cols]).where(F.col('rs').isNotNull())
              .groupBy('rs').agg(F.min(F.struct('ro', *['_m_' + c for c in reg_cols])).alias('row')))
-    known = cut_lineage(known)
     best = best_keys(typed.select('ls').distinct(), known.select('rs', F.col('row.ro').alias('ro')), float(threshold))
     rows = best.join(known, 'rs').select('ls', F.col('score').alias('match_score'),
                                          *[F.col('row._m_' + c).alias(c) for c in reg_cols])

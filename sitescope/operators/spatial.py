@@ -1,4 +1,4 @@
-"""Distance joins without a theta join: radius join, k-nearest join, self-nearest.
+"""Distance joins without a theta join: all pairs within a radius.
 
 Spark has no spatial join; a bare ``distance <= r`` condition plans as a
 broadcast nested-loop join. Here both sides are mapped to grid cells and joined
@@ -26,10 +26,8 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sitescope.functions.geo import distance_fn
-from sitescope.session import cut_lineage
 
 _EPS = 1e-9
 
@@ -131,161 +129,3 @@ def radius_join(left: DataFrame, right: DataFrame, radius_km: float,
         return far.unionByName(no_coords)
     pairs = lp.join(rb, cond, 'inner').withColumn(dist_col, dist)
     return pairs.filter(F.col(dist_col) <= F.lit(radius_km)).drop(*drop)
-
-
-#: Sides of the cells, in degrees, that the start radius measures density on.
-DENSITY_CELLS = (0.01, 0.05, 0.25, 1.0)
-#: Rows per wanted neighbour that the first circle holds at that density.
-START_ROWS = 12
-
-
-def _start_radius(right: DataFrame, lat: str, lon: str, k: int, given: float | None):
-    """Row count of the right side and an initial search radius.
-
-    Without a given radius, it is that of a circle which holds about
-    ``START_ROWS * k`` rows at the density where most rows are: rows per cell,
-    averaged over rows rather than cells, on the finest cells that hold as many.
-    Outliers thus do not widen it, and a cluster starts with the radius of its
-    own density (one aggregate, one row a cell size to the driver).
-    """
-    cells = right.select(F.explode(F.array(*[F.struct(
-        F.lit(side).alias('side'), F.floor(F.col(lat) / side).alias('a'), F.floor(F.col(lon) / side).alias('b'))
-        for side in DENSITY_CELLS])).alias('cell')).groupBy('cell').agg(F.count(F.lit(1)).cast('double').alias('c'))
-    sizes = cells.groupBy('cell.side').agg(
-        F.sum('c').alias('n'), (F.sum(F.col('c') * F.col('c')) / F.sum('c')).alias('dense'),
-        F.avg((F.col('cell.a') + 0.5) * F.col('cell.side')).alias('mid')).orderBy('side').collect()
-    n = int(sizes[0]['n']) if sizes else 0
-    if given is not None or n == 0:
-        return n, float(given if given is not None else 10.0)
-    best = next((x for x in sizes if x['dense'] >= START_ROWS * k), sizes[-1])
-    side_km = best['side'] * 111.2
-    area = side_km * side_km * max(math.cos(math.radians(best['mid'])), 0.01)
-    r0 = math.sqrt(START_ROWS * k * area / (math.pi * best['dense']))
-    return n, min(max(r0, 0.05), 2000.0)
-
-
-def nearest_join(left: DataFrame, right: DataFrame, k: int, left_id: str, right_order: list[str],
-                 left_lat: str, left_lon: str, right_lat: str, right_lon: str,
-                 distance: str = 'great_circle', start_radius_km: float | None = None,
-                 dist_col: str = 'distance_km', rank_col: str = 'rank', salt: int = 1,
-                 keys: list[tuple[str, str]] = ()) -> DataFrame:
-    """The ``k`` nearest right rows of every left row.
-
-    Exact ring search: candidates come from :func:`radius_join` at radius r; a
-    left row is resolved once it has ``min(k, |right|)`` candidates within r
-    (then its top k are final, ties included, because the grid is lossless).
-    Unresolved rows repeat with 2r. Ties break on ``right_order`` (ascending),
-    i.e. the first right row in that order wins. Left rows without coordinates
-    are not returned (callers left-join the result back).
-
-    With ``keys`` only right rows with equal key columns are candidates (the
-    k nearest within the same group); a left row then needs
-    ``min(k, |right rows of its group|)`` candidates to be resolved.
-
-    Each round is one checkpointed job (candidates of the pending rows with a
-    resolved flag); the next round reads the unresolved rows from it.
-
-    Output: ``left_id``, every right column, ``dist_col``, ``rank_col`` (1..k).
-    """
-    fn, earth = distance_fn(distance)
-    right = right.filter(F.col(right_lat).isNotNull() & F.col(right_lon).isNotNull())
-    n_right, r = _start_radius(right, right_lat, right_lon, k, start_radius_km)
-    out_cols = [left_id] + right.columns + [dist_col, rank_col]
-    spark = left.sparkSession
-    if n_right == 0:
-        return spark.createDataFrame([], _empty_schema(left, right, left_id, dist_col, rank_col)).select(*out_cols)
-    lkeys = [lk for lk, _ in keys]
-    pending = (left.select(left_id, left_lat, left_lon, *lkeys)
-                   .filter(F.col(left_lat).isNotNull() & F.col(left_lon).isNotNull()))
-    if keys:
-        # per-group requirement: min(k, rows of the group); groups without rows drop out
-        per_group = right.groupBy(*[F.col(rk).alias(lk) for lk, rk in keys]).agg(
-            F.least(F.lit(k), F.count(F.lit(1))).alias('_need'))
-        pending = pending.join(per_group, lkeys, 'inner')
-    else:
-        pending = pending.withColumn('_need', F.lit(min(k, n_right)))
-    results = []
-    rounds = 0
-    max_r = math.pi * earth
-    while True:
-        rr = min(r, max_r)
-        pairs = radius_join(pending, right, rr, left_lat, left_lon, right_lat, right_lon,
-                            how='inner', distance=distance, dist_col=dist_col, salt=salt, keys=list(keys))
-        if k == 1:
-            agg = (pairs.groupBy(left_id)
-                   .agg(F.count(F.lit(1)).alias('_n'),
-                        F.min(F.struct(F.col(dist_col), *[F.col(c) for c in right_order],
-                                       *[F.col(c).alias('_r_' + c) for c in right.columns])).alias('_b'))
-                   .select(left_id, '_n', F.col('_b.' + dist_col).alias(dist_col),
-                           *[F.col('_b._r_' + c).alias(c) for c in right.columns])
-                   .withColumn(rank_col, F.lit(1)))
-        else:
-            w = Window.partitionBy(left_id)
-            ordered = w.orderBy(F.col(dist_col), *[F.col(c) for c in right_order])
-            agg = (pairs.withColumn('_n', F.count(F.lit(1)).over(w))
-                   .withColumn(rank_col, F.row_number().over(ordered))
-                   .filter(F.col(rank_col) <= k)
-                   .select(left_id, '_n', *right.columns, dist_col, rank_col))
-        # every pending row once: its candidates (if any) and whether it is resolved
-        state = pending.join(agg, left_id, 'left')
-        state = state.withColumn('_done', F.coalesce(F.col('_n') >= F.col('_need'), F.lit(False)))
-        rounds += 1
-        state = cut_lineage(state)
-        results.append(state.filter('_done').select(*out_cols))
-        if rr >= max_r:
-            break
-        pending = state.filter(~F.col('_done')).select(left_id, left_lat, left_lon, *lkeys, '_need').distinct()
-        if pending.isEmpty():
-            break
-        r *= 2.0
-    out = results[0]
-    for extra in results[1:]:
-        out = out.unionByName(extra)
-    return out
-
-
-def _empty_schema(left, right, left_id, dist_col, rank_col):
-    from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
-    fields = [left.schema[left_id]] + list(right.schema.fields)
-    fields += [StructField(dist_col, DoubleType(), True), StructField(rank_col, IntegerType(), True)]
-    return StructType(fields)
-
-
-def nearest_other(points: DataFrame, point_id: str, lat: str, lon: str,
-                  distance: str = 'haversine', start_radius_km: float | None = None,
-                  dist_col: str = 'nearest_km', salt: int = 1) -> DataFrame:
-    """Distance from every point to its nearest *other* point.
-
-    Duplicated coordinates give 0 (the neighbour is another row, not itself).
-    Points alone in the table get null. Output: point_id, dist_col.
-    """
-    fn, earth = distance_fn(distance)
-    pts = points.select(point_id, lat, lon).filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    other = pts.select(F.col(point_id).alias('_oid'), F.col(lat).alias('_olat'), F.col(lon).alias('_olon'))
-    n_pts, r = _start_radius(pts, lat, lon, 2, start_radius_km)
-    if n_pts < 2:
-        return pts.select(point_id, F.lit(None).cast('double').alias(dist_col))
-    pending = pts
-    results = []
-    rounds = 0
-    max_r = math.pi * earth
-    while True:
-        rr = min(r, max_r)
-        pairs = radius_join(pending, other, rr, lat, lon, '_olat', '_olon', how='inner',
-                            distance=distance, dist_col='_d', salt=salt)
-        best = (pairs.filter(F.col(point_id) != F.col('_oid'))
-                     .groupBy(point_id).agg(F.min('_d').alias(dist_col)))
-        rounds += 1
-        state = pending.join(best, point_id, 'left')
-        state = cut_lineage(state)
-        results.append(state.filter(F.col(dist_col).isNotNull()).select(point_id, dist_col))
-        if rr >= max_r:
-            break
-        pending = state.filter(F.col(dist_col).isNull()).select(point_id, lat, lon)
-        if pending.isEmpty():
-            break
-        r *= 2.0
-    out = results[0]
-    for extra in results[1:]:
-        out = out.unionByName(extra)
-    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitescope.operators import geo as G
 from sitescope.operators import leads as L
-from sitescope.operators.spatial import nearest_join
+from sitescope.operators.nearest import nearest_join
 from sitescope.plans import bindings as B
 from sitescope.plans import sqlparts as S
 from sitescope.plans.q_leads import ALL_LEADS, CFG, QUERY_RADIUS_KM
@@ -190,7 +190,7 @@ def champion_edges(spark, d):
                      F.col('longitude').alias('_clon')))
     e = nearest_join(leads.select('gias_urn', 'gias_lat', 'gias_lon'), champ, 2, 'gias_urn',
                      ['champion', '_clat', '_clon'], 'gias_lat', 'gias_lon', '_clat', '_clon',
-                     distance='great_circle', start_radius_km=None)
+                     distance='great_circle')
     return e.select('gias_urn', 'champion', 'distance_km', 'rank')
 
 
@@ -217,7 +217,7 @@ def trust_edges(spark, d):
                   .select('site', F.col('latitude').alias('_slat'), F.col('longitude').alias('_slon'), '_st'))
     e = nearest_join(leads.select('gias_urn', 'gias_lat', 'gias_lon', 'trust_name'), sites, 5, 'gias_urn',
                      ['site', '_slat', '_slon'], 'gias_lat', 'gias_lon', '_slat', '_slon',
-                     distance='great_circle', start_radius_km=None, keys=[('trust_name', '_st')])
+                     distance='great_circle', keys=[('trust_name', '_st')])
     return e.select('gias_urn', 'site', 'distance_km', 'rank')
 
 

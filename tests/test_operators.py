@@ -14,7 +14,8 @@ from sitescope.operators import leads as L
 from sitescope.operators import match as MT
 from sitescope.operators import metrics as M
 from sitescope.operators import textagg as X
-from sitescope.operators.spatial import nearest_join, nearest_other, radius_join
+from sitescope.operators.nearest import FEW, FEW_PER_K, candidates, nearest_join, nearest_other
+from sitescope.operators.spatial import radius_join
 
 
 def _points(spark, n, seed, name):
@@ -53,8 +54,7 @@ def test_radius_join_boundary_inclusive(spark):
 
 def test_knn_equals_brute_force(spark):
     left, right = _points(spark, 300, 5, 'l'), _points(spark, 50, 6, 'r')
-    got = {(r.lid, r.rid, r['rank']) for r in nearest_join(left, right, 3, 'lid', ['rid'], 'llat', 'llon', 'rlat', 'rlon',
-                                                           start_radius_km=50.0).collect()}
+    got = {(r.lid, r.rid, r['rank']) for r in nearest_join(left, right, 3, 'lid', ['rid'], 'llat', 'llon', 'rlat', 'rlon').collect()}
     w = Window.partitionBy('lid').orderBy('d', 'rid')
     bf = {(r.lid, r.rid, r.k) for r in left.crossJoin(right)
           .withColumn('d', great_circle_km('llat', 'llon', 'rlat', 'rlon'))
@@ -68,8 +68,7 @@ def test_knn_keyed(spark):
                                  'lid long, llat double, llon double, g int')
     right = spark.createDataFrame([(i, rnd.uniform(50, 55), rnd.uniform(-3, 1), i % 4) for i in range(40)],
                                   'rid long, rlat double, rlon double, rg int')
-    got = {(r.lid, r.rid) for r in nearest_join(left, right, 2, 'lid', ['rid'], 'llat', 'llon', 'rlat', 'rlon',
-                                                start_radius_km=5.0, keys=[('g', 'rg')]).collect()}
+    got = {(r.lid, r.rid) for r in nearest_join(left, right, 2, 'lid', ['rid'], 'llat', 'llon', 'rlat', 'rlon', keys=[('g', 'rg')]).collect()}
     w = Window.partitionBy('lid').orderBy('d', 'rid')
     bf = {(r.lid, r.rid) for r in left.join(right, left.g == right.rg)
           .withColumn('d', great_circle_km('llat', 'llon', 'rlat', 'rlon'))
@@ -150,6 +149,30 @@ def test_dbscan_equals_naive(spark):
     assert got == _naive_dbscan(pts, 1.5, 4)
 
 
+@pytest.mark.parametrize('gap_km', [0.95, 1.05])
+def test_dbscan_of_crowded_cells_equals_naive(spark, gap_km):
+    """Crowds on both sides of a gap near eps, a chain of lone points, and border points."""
+    rnd = random.Random(17)
+    deg = 1 / 111.195
+    rows = []
+    for side in (-1, 1):  # crowds whose facing borders are gap_km apart
+        rows += [(52 + rnd.uniform(-1, 1) * deg, side * (gap_km / 2 + abs(rnd.gauss(0, 0.3))) * deg / math.cos(math.radians(52))) for _ in range(90)]
+    rows += [(52 + 3 * deg + 0.9 * deg * i, 0.0) for i in range(6)] + [(52 + 1.8 * deg, 0.0), (40.0, 0.0), (52.0, 0.0005)]
+    pts = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(pts, 'id long, latitude double, longitude double')
+    got = {r.id: r.cluster for r in G.dbscan(df, 'id', eps_km=1.0, min_samples=4).collect()}
+    assert got == _naive_dbscan(pts, 1.0, 4)
+
+
+def test_points_within_one_eps_make_no_pairs(spark):
+    rnd = random.Random(19)
+    n = 5000
+    df = spark.createDataFrame([(i, 52 + rnd.uniform(0, 0.01), -1 + rnd.uniform(0, 0.01)) for i in range(n)], 'id long, latitude double, longitude double')
+    places = G._super_points(df, 'id', 2.0, 5, 'latitude', 'longitude')
+    assert places.where('not _dense').count() < 20  # what is compared with neighbours
+    assert G.dbscan(df, 'id', eps_km=2.0, min_samples=5).where('cluster = 0').count() == n
+
+
 def test_fuzzy_blocking_is_lossless(spark):
     reg = spark.createDataFrame([('Oak Hill School', 1, 'T1'), ('Hill Oak Schol', 2, 'T2'), ('Elm Primary', 3, 'T3'),
                                  ('Oak Hill Schools', 4, 'T4')], 'gias_name string, reg_ord long, trust_name string')
@@ -322,18 +345,30 @@ def test_head_rows_and_profile(spark):
     assert prof == {'k': (30, 30, 'bigint'), 'v': (30, 23, 'string')}
 
 
-def test_start_radius_follows_the_cluster_not_the_outlier(spark):
-    """2,000 clustered rows and one far away: pairs stay linear in rows, not all pairs."""
-    import numpy as np
-    from sitescope.operators.spatial import START_ROWS, _start_radius, radius_join
-    rng = np.random.default_rng(4)
-    rows = [(i, 51.5 + float(a), -0.1 + float(b)) for i, (a, b) in enumerate(rng.uniform(-0.05, 0.05, (2000, 2)))]
-    rows.append((2000, 58.0, -5.0))
-    pts = spark.createDataFrame(rows, 'id long, lat double, lon double')
-    other = pts.selectExpr('id as oid', 'lat as olat', 'lon as olon')
-    n, r = _start_radius(other, 'olat', 'olon', 2, None)
-    pairs = radius_join(pts, other, r, 'lat', 'lon', 'olat', 'olon').count()
-    assert n == 2001 and pairs < 3 * START_ROWS * 2 * n
+@pytest.mark.parametrize('k', [1, 3])
+def test_rows_far_from_a_dense_cluster_make_few_pairs(spark, k):
+    rnd = random.Random(11)
+    n, far = 20_000, 300
+    cluster = [(i, 52 + rnd.gauss(0, 0.05), -1 + rnd.gauss(0, 0.05)) for i in range(n)]
+    near = [(i, 52 + rnd.gauss(0, 0.05), -1 + rnd.gauss(0, 0.05)) for i in range(far)]
+    away = [(far + i, 47.5 + rnd.random(), -1 + rnd.random()) for i in range(far)]  # some 500 km off
+    left = spark.createDataFrame(near + away, 'lid long, llat double, llon double')
+    right = spark.createDataFrame(cluster, 'rid long, rlat double, rlon double')
+    pairs = candidates(left, right, k, ('llat', 'llon'), ('rlat', 'rlon'))
+    assert pairs.count() <= 2 * far * (FEW + FEW_PER_K * k)
+    got = {(r.lid, r.rid, r['rank']) for r in nearest_join(left, right, k, 'lid', ['rid'], 'llat', 'llon', 'rlat', 'rlon').collect()}
+    w = Window.partitionBy('lid').orderBy('d', 'rid')
+    want = {(r.lid, r.rid, r.n) for r in left.crossJoin(right).withColumn('d', great_circle_km('llat', 'llon', 'rlat', 'rlon'))
+            .withColumn('n', F.row_number().over(w)).where(F.col('n') <= k).select('lid', 'rid', 'n').collect()}
+    assert got == want
+
+
+def test_nearest_of_one_crowded_place(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 89.9, 10.0), (3, None, 1.0)], 'lid long, llat double, llon double')
+    right = spark.createDataFrame([(i, 0.0, 180.0) for i in range(5000, 0, -1)], 'rid long, rlat double, rlon double')
+    got = sorted((r.lid, r.rid, r['rank']) for r in nearest_join(left, right, 2, 'lid', ['rid'], 'llat', 'llon', 'rlat', 'rlon').collect())
+    assert got == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2)]
+    assert candidates(left, right.limit(2), 2, ('llat', 'llon'), ('rlat', 'rlon')).count() == 4
 
 
 def test_first_occurrence_breaks_ties_for_any_order_key(spark):
