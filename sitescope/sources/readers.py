@@ -1,4 +1,4 @@
-"""Readers and schema operators.
+"""Sheets and schema operators over raw cells.
 
 Raw sheets are handled as a cell table ``(sheet, row_idx, cells array<string>)``
 so row order is data, not partition order.
@@ -6,55 +6,14 @@ so row order is data, not partition order.
 
 from __future__ import annotations
 
-import csv
-import io
-import os
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from sitescope.functions.clean import strip
 
-RAW_SCHEMA = StructType([StructField('sheet', StringType()), StructField('row_idx', IntegerType()),
-                         StructField('cells', ArrayType(StringType()))])
-
-
-def _decode(data: bytes, encodings: Sequence[str]) -> tuple[str, str]:
-    for enc in encodings:
-        try:
-            return data.decode(enc), enc
-        except UnicodeDecodeError:
-            continue
-    return data.decode(encodings[-1], errors='replace'), encodings[-1]
-
-
-def _parse_files(it, encodings):
-    for pdf in it:
-        rows = []
-        for path, content in zip(pdf['path'], pdf['content']):
-            text, _ = _decode(bytes(content), encodings)
-            sheet = os.path.splitext(os.path.basename(path))[0]
-            for i, rec in enumerate(csv.reader(io.StringIO(text))):
-                rows.append((sheet, i, [c if c != '' else None for c in rec]))
-        yield pd.DataFrame(rows, columns=['sheet', 'row_idx', 'cells'])
-
-
-def read_raw_sheets(spark: SparkSession, path: str, encodings: Sequence[str] = ('utf-8', 'latin-1'),
-                    glob: str = '*.csv') -> DataFrame:
-    """S1 + S4: every CSV file under ``path`` as raw, header-less cells.
-
-    One file is one sheet (named after the file). Each file is decoded with the
-    first encoding that succeeds (UTF-8, else Latin-1), so a Latin-1 file is
-    read correctly instead of silently getting U+FFFD. Files are parsed in
-    parallel, one task per file batch; empty cells become null.
-    """
-    files = spark.read.format('binaryFile').option('pathGlobFilter', glob).load(path).select('path', 'content')
-    return files.mapInPandas(lambda it: _parse_files(it, encodings), RAW_SCHEMA)
-
-
 def sheet(raw: DataFrame, name: str) -> DataFrame:
     """One named sheet of the raw cell table."""
     return raw.filter(F.col('sheet') == name)
@@ -106,6 +65,7 @@ def find_col(columns: Sequence[str], patterns: Sequence[str]) -> str | None:
     return None
 
 
+#: Parts of the registry's column names, by the standard name they stand for.
 REGISTRY_PATTERNS = {
     'gias_urn': ['urn'],
     'gias_name': ['establishmentname', 'establishment name'],
@@ -154,19 +114,3 @@ def drop_null_in_first(df: DataFrame, pattern: str) -> DataFrame:
 def require_name(df: DataFrame, col: str) -> DataFrame:
     """Strip the name, then require non-null (an empty string survives)."""
     return df.withColumn(col, strip(col)).filter(F.col(col).isNotNull())
-
-
-def append_new(spark: SparkSession, new: DataFrame, path: str, key: str) -> DataFrame:
-    """Append rows whose key is not yet in the lookup table at ``path``
-    (misses are cached too: rows carry a ``found`` flag), one row per key even
-    where ``new`` repeats it. Returns the cached rows of all keys of ``new``."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(hpath):
-        existing = spark.read.parquet(path).select(key)
-        fresh = new.join(existing, key, 'left_anti')
-    else:
-        fresh = new
-    fresh.dropDuplicates([key]).write.mode('append').parquet(path)
-    return spark.read.parquet(path).join(new.select(key), key, 'left_semi')

@@ -2,23 +2,40 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from sitescope.sources.rawcells import BOM
 
 
 def write_csv(df: DataFrame, path: str, only_if_nonempty: bool = True) -> bool:
-    """CSV with a header (UTF-8), written only when the table has rows.
+    """CSV files (UTF-8) that each begin with a byte-order mark and the header.
 
-    Spark's CSV writer emits no byte-order mark; readers that need one can be
-    given ``encoding='utf-8-sig'``. Returns whether anything was written.
+    Rows are rendered by Spark and written by its text sink, whose commit keeps
+    files of failed tasks out. Quotes are doubled; null is empty. Returns
+    whether anything was written (nothing for a table without rows).
     """
     if only_if_nonempty and df.isEmpty():
         return False
-    df.write.mode('overwrite').option('header', True).option('encoding', 'UTF-8').csv(path)
+    names = io.StringIO()
+    csv.writer(names, lineterminator='').writerow(df.columns)
+    header = BOM + names.getvalue()
+
+    def headed(batches):
+        first = True
+        for pdf in batches:
+            if len(pdf):
+                yield pd.concat([pd.DataFrame({'value': [header]}), pdf]) if first else pdf
+                first = False
+
+    lines = df.select(F.to_csv(F.struct(*[F.col(f'`{c}`') for c in df.columns]), {'escape': '"'}).alias('value'))
+    lines.mapInPandas(headed, 'value string').write.mode('overwrite').text(path)
     return True
 
 
@@ -43,26 +60,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(*cols).write.mode('overwrite').json(path)
 
 
-def report_lines(sections: Sequence[tuple[str, DataFrame, Column]], spark=None) -> DataFrame:
-    """A numbered report from (heading, table, line expression) sections.
-
-    Each section's rows are rendered by its line expression and numbered
-    within the section; the result is (section_no, line_no, line). Sections
-    are bounded summary tables (metrics, rules), never raw data.
-    """
-    parts = []
-    for i, (heading, df, line) in enumerate(sections):
-        head = df.sparkSession.createDataFrame([(i, 0, heading)], 'section_no int, line_no long, line string')
-        body = (df.select(line.alias('line'), F.monotonically_increasing_id().alias('_o'))
-                  .select(F.lit(i).alias('section_no'),
-                          F.row_number().over(Window.orderBy('_o')).cast('long').alias('line_no'), 'line'))
-        parts.append(head.unionByName(body))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def write_report(lines: DataFrame, path: str) -> None:
     """S10 sink: one small text file, lines in (section, line) order.
 

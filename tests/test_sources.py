@@ -7,6 +7,8 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from sitescope.sources import lookup as LK
+from sitescope.sources import rawcells as RC
 from sitescope.sources import readers as RD
 from sitescope.sources import reshape as RS
 from sitescope.sources import sinks as K
@@ -23,7 +25,7 @@ def test_raw_sheets_encoding_fallback_and_header(spark, tmpdir_path):
         f.write('1,École Saint-Étienne,1,Trust A\n2,Oak School,2,\n'.encode('latin-1'))
     with open(os.path.join(tmpdir_path, 'bookings.csv'), 'w', encoding='utf-8') as f:
         f.write('Report title\nSubmission Date,School Name,Answer\n2024-01-02,Élan Academy,Repeat Booking\n')
-    raw = RD.read_raw_sheets(spark, tmpdir_path)
+    raw = RC.read_raw_sheets(spark, tmpdir_path)
     assert {r.sheet for r in raw.select('sheet').distinct().collect()} == {'registry', 'bookings'}
     reg = RD.promote_header(RD.sheet(raw, 'registry'), 0)
     names = [r.EstablishmentName for r in reg.orderBy('row_idx').collect()]
@@ -99,20 +101,73 @@ def test_sinks(spark, tmpdir_path):
     feats = K.geojson_features(df, 'lat', 'lon', ['id', 'name'])
     f = json.loads(feats.first().feature)
     assert f['geometry']['coordinates'] == [-1.0, 51.0] and f['properties']['name'] == 'a'
-    lines = K.report_lines([('Summary', df, F.concat(F.lit('rows: '), F.col('name')))])
+    lines = spark.createDataFrame([(1, 1, 'rows: a'), (0, 0, 'Summary')], 'section_no int, line_no int, line string')
     K.write_report(lines, os.path.join(tmpdir_path, 'report'))
     txt = spark.read.text(os.path.join(tmpdir_path, 'report')).collect()
     assert [r.value for r in txt] == ['Summary', 'rows: a']
 
 
+def test_raw_sheets_split_at_every_byte_range(spark, tmpdir_path):
+    """Ranges of 40 bytes cut lines, quoted line breaks and characters; rows equal the csv module's."""
+    import csv
+    import random
+    rnd = random.Random(5)
+    cell = lambda: ''.join(rnd.choices(['a', 'é', '"', '\n', ',', ' ', 'word', '\r\n', ''], k=rnd.randint(0, 6)))
+    for name, encoding, mark in (('one', 'utf-8', ''), ('two', 'latin-1', ''), ('marked', 'utf-8', '\ufeff')):
+        with open(os.path.join(tmpdir_path, f'{name}.csv'), 'w', encoding=encoding, newline='') as f:
+            f.write(mark)
+            csv.writer(f, lineterminator='\r\n' if name == 'two' else '\n').writerows([[name, *(cell() for _ in range(4))] for _ in range(80)] + [[], ['end']])
+    old = spark.conf.get('spark.sql.files.maxPartitionBytes')
+    spark.conf.set('spark.sql.files.maxPartitionBytes', '40b')
+    try:
+        assert spark.read.text(tmpdir_path).rdd.getNumPartitions() > 30
+        got = {(r.sheet, r.row_idx): r.cells for r in RC.read_raw_sheets(spark, tmpdir_path).collect()}
+    finally:
+        spark.conf.set('spark.sql.files.maxPartitionBytes', old)
+    want = {}
+    for name, encoding in (('one', 'utf-8'), ('two', 'latin-1'), ('marked', 'utf-8-sig')):
+        with open(os.path.join(tmpdir_path, f'{name}.csv'), encoding=encoding, newline='') as f:
+            want |= {(name, i): [c or None for c in rec] for i, rec in enumerate(csv.reader(f))}
+    assert got == want
+
+
+def test_csv_files_begin_with_a_mark_and_failed_writes_leave_nothing(spark, tmpdir_path):
+    import glob
+    path = os.path.join(tmpdir_path, 'marked')
+    rows = [(1, 'a "b", c', None), (2, 'two\nlines', 1.5), (3, 'é', None)]
+    df = spark.createDataFrame(rows, '`id, no` long, name string, x double').repartition(2)
+    assert K.write_csv(df, path)
+    files = glob.glob(path + '/part-*')
+    assert files and all(open(f, 'rb').read().startswith('\ufeff"id, no",name,x\n'.encode()) for f in files)
+    back = RC.read_raw_sheets(spark, path, 'part-*').where('row_idx > 0')
+    assert sorted(tuple(r.cells) for r in back.collect()) == sorted((str(a), b, None if c is None else str(c)) for a, b, c in rows)
+    broken = df.withColumn('name', F.raise_error(F.lit('no')).cast('string'))
+    with pytest.raises(Exception):
+        K.write_csv(broken, os.path.join(tmpdir_path, 'broken'), only_if_nonempty=False)
+    assert not glob.glob(os.path.join(tmpdir_path, 'broken', 'part-*'))
+
+
+def test_two_writers_add_each_key_once(spark, tmpdir_path):
+    """A writer that has not seen the other's commit loses the number, looks again and adds only what is missing."""
+    from concurrent.futures import ThreadPoolExecutor
+    path = os.path.join(tmpdir_path, 'shared')
+    parts = [spark.range(a, a + 60).selectExpr('id as k', f'{a} as writer') for a in (0, 30, 50, 30)]
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda p: LK.append_new(spark, p, path, 'k').count(), parts))
+    assert got == [60] * 4
+    rows = LK.read_lookup(spark, path)
+    assert rows.count() == rows.select('k').distinct().count() == 110
+    assert LK.append_new(spark, parts[0], path, 'k').count() == 60 and LK.read_lookup(spark, path).count() == 110
+
+
 def test_append_new_lookup(spark, tmpdir_path):
     path = os.path.join(tmpdir_path, 'cache')
     a = spark.createDataFrame([('x', 1.0, True), ('y', None, False)], 'k string, v double, found boolean')
-    RD.append_new(spark, a, path, 'k')
+    LK.append_new(spark, a, path, 'k')
     b = spark.createDataFrame([('y', 9.0, True), ('z', 2.0, True)], 'k string, v double, found boolean')
-    out = {r.k: r.v for r in RD.append_new(spark, b, path, 'k').collect()}
+    out = {r.k: r.v for r in LK.append_new(spark, b, path, 'k').collect()}
     assert out == {'y': None, 'z': 2.0}          # cached miss is kept, not re-looked-up
-    assert spark.read.parquet(path).count() == 3
+    assert LK.read_lookup(spark, path).count() == 3
 
 
 def test_json_values_are_strings_at_any_depth(spark, tmpdir_path):
@@ -134,5 +189,5 @@ def test_lookup_keeps_one_row_per_key(spark, tmpdir_path):
     from sitescope.sources import readers as RD
     path = os.path.join(tmpdir_path, 'lookup_once')
     new = spark.createDataFrame([('a', 1), ('a', 2), ('b', 3)], 'k string, v int')
-    assert RD.append_new(spark, new, path, 'k').count() == 2
-    assert RD.append_new(spark, new, path, 'k').count() == 2
+    assert LK.append_new(spark, new, path, 'k').count() == 2
+    assert LK.append_new(spark, new, path, 'k').count() == 2
