@@ -44,4 +44,4 @@ def register(key: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import the query modules (each registers its queries on import)."""
-    from sitescope.plans import q_leads, q_survey, q_text, q_geo, q_match, q_misc, q_reports  # noqa: F401
+    from sitescope.plans import q_leads, q_survey, q_text, q_geo, q_match, q_misc, q_reports, q_sheets  # noqa: F401

@@ -109,11 +109,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     :func:`drop_tables` is called, at the latest when the driver ends.
     """
     spark = df.sparkSession
-    folder = _tables_folder(spark)
-    if folder not in _CLEANED:
-        _CLEANED.add(folder)
-        atexit.register(_drop_quietly, spark)
-    path = f'{folder}/{uuid.uuid4().hex}'
+    path = scratch_path(spark)
     df.write.mode('overwrite').parquet(path)
     return spark.read.parquet(path)
 
@@ -125,6 +121,15 @@ def drop_tables(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder, gone with the application's tables."""
+    folder = _tables_folder(spark)
+    if folder not in _CLEANED:
+        _CLEANED.add(folder)
+        atexit.register(_drop_quietly, spark)
+    return f'{folder}/{uuid.uuid4().hex}'
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete one table of :func:`cut_lineage`, once every result of it is written."""
     spark, folder = df.sparkSession, _tables_folder(df.sparkSession)
