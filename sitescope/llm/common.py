@@ -29,6 +29,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted column names, lengthened until no column of ``taken`` has them in any case of letters."""
+    used = {c.lower() for c in taken}
+    found = []
+    for name in wanted:
+        while name.lower() in used:
+            name += '_'
+        used.add(name.lower())
+        found.append(name)
+    return found
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str]]]:
     """Regroup (id, text) batches into blocks of about ``chars`` characters.
 

@@ -417,7 +417,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = 'doc_id', text_col: str = 't
     named = docs.select(F.struct(*[F.col(f'`{f.name}`') for f in kept]).alias('row'), F.coalesce(F.col(f'`{id_col}`').cast('long'), F.lit(NO_ID)).alias('id'),
                         F.col(f'`{text_col}`').alias('text'))
     named = named.withColumn('own', F.xxhash64(F.coalesce('text', F.lit(''))))
-    joined = _on(named, found, 'left').select('text', 'whole', 'spans', *[F.col('row')[f.name].alias(f.name) for f in kept])
+    joined = _on(named, found, 'left').select('text', 'whole', 'spans', *[F.col('row')[f.name].alias(f'c{i}') for i, f in enumerate(kept)])
     return joined.mapInArrow(run, StructType(fields))
 
 

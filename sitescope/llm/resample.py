@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sitescope.llm.common import BLOCK_CHARS, materialise, number_words
+from sitescope.llm.common import BLOCK_CHARS, free_names, materialise, number_words
 from sitescope.llm.terms import split_terms
 
 BUCKETS = 10_000
@@ -149,11 +149,10 @@ def weigh(docs: DataFrame, gains: np.ndarray, text_col: str = 'text', keep: Sequ
                 n = sum(np.maximum(sizes - k, 0) for k in range(RUN))
                 measured.append((sizes, n, weight.astype(np.int64)))
             columns = [np.concatenate(c) for c in zip(*measured)] if measured else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, columns)],
-                                             [*batch.schema.names[1:], *RESULTS[:3]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, columns)], [f.name for f in fields])
 
-    columns = [F.col(f'`{f.name}`') for f in kept]
-    return docs.select(F.col(f'`{text_col}`').alias('the text'), *columns).mapInArrow(run, StructType(fields))
+    columns = [F.col(f'`{f.name}`').alias(f'c{i}') for i, f in enumerate(kept)]  # any names pass, the schema gives them back
+    return docs.select(F.col(f'`{text_col}`').alias('text'), *columns).mapInArrow(run, StructType(fields))
 
 
 def _median(score: np.ndarray, key: np.ndarray) -> tuple[int, int]:
@@ -208,18 +207,18 @@ def cutoff(keys: DataFrame, k: int, last: int = LAST_KEYS) -> tuple[int, int]:
 
 def numbered(rows: DataFrame, order: Sequence[str | Column], name: str = 'rank') -> DataFrame:
     """``rows`` with their place (from 1) in the order: sorted over ranges, numbered by partition."""
+    place, part, start = free_names([*rows.columns, name], 'place', 'part', 'start')
     mid = F.monotonically_increasing_id()
-    ranged = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn('the place', mid))
-    part = F.shiftright('the place', 33)
-    sizes = ranged.groupBy(part.alias('the part')).agg(F.count('*').alias('n')).collect()  # one row a partition
+    ranged = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, mid))
+    sizes = ranged.groupBy(F.shiftright(place, 33).alias(part)).agg(F.count('*').alias('n')).collect()  # one row a partition
     before, total = [], 0
-    for r in sorted(sizes, key=lambda r: r['the part']):
-        before.append((r['the part'], total))
+    for r in sorted(sizes, key=lambda r: r[part]):
+        before.append((r[part], total))
         total += r['n']
-    first = rows.sparkSession.createDataFrame(before, '`the part` long, `the start` long')
-    place = F.col('the start') + F.col('the place').bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    joined = ranged.withColumn('the part', part).join(F.broadcast(first), 'the part')
-    return joined.select(*[F.col(f'`{c}`') for c in rows.columns], place.alias(name))
+    first = rows.sparkSession.createDataFrame(before, f'{part} long, {start} long')
+    number = F.col(start) + F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    joined = ranged.withColumn(part, F.shiftright(place, 33)).join(F.broadcast(first), part)
+    return joined.select(*[F.col(f'`{c}`') for c in rows.columns], number.alias(name))
 
 
 def resample(docs: DataFrame, target: DataFrame, percent: int = 5, min_words: int = 20, seed: int = 42,
