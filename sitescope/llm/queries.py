@@ -97,6 +97,7 @@ ORACLE: dict[str, str] = {
     'op3_chat_format': chat.ORACLE,
     'op5_suffix_dedup': suffix_dedup.ORACLE,
     'op7_quality_rules': quality.ORACLE,
+    'op11_importance_resampling': resample.ORACLE,
     'op12_debruijn_dedup': debruijn.ORACLE,
     'op13_lexical_search': search.ORACLE,
 }

@@ -249,3 +249,47 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, min_words: in
     drawn = numbered(scored.where(enough & ahead), [F.desc('score'), key, F.col('weight'), F.col('n_features')])
     drawn = drawn.withColumn('rank', F.when(F.col('rank') <= k, F.col('rank')))
     return drawn.unionByName(scored.where(~(enough & ahead)).select(*columns, F.lit(None).cast('long').alias('rank')))
+
+
+# A crc32 is the xor of what every byte contributes by its distance from the end, and of a term for the length.
+ORACLE = r"""
+with recursive bits(b, k, v) as (
+  select range, 0, range from range(256) union all
+  select b, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+tab as (select b, v from bits where k = 8),
+words as (
+  select 'd' as side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents
+  union all
+  select 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+runs as (
+  select side, doc_id, unnest(ws) as f from words union all
+  select side, doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) from words union all
+  select side, doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) from words),
+distinct_runs as (select f, hex(encode(f)) as h, octet_length(encode(f)) as n from (select distinct f from runs)),
+most as (select max(n) as n from distinct_runs),
+moved(d, b, v) as (
+  select 0, b, v from tab union all
+  select d + 1, m.b, xor(t.v, m.v >> 8) from moved m join tab t on t.b = m.v & 255 where d < (select n from most)),
+empty(n, v) as (
+  select 0, 4294967295 union all
+  select n + 1, xor(t.v, e.v >> 8) from empty e join tab t on t.b = e.v & 255 where n < (select n from most)),
+bytes as (select f, n, n - 1 - i as d, ('0x' || substr(h, 2 * i + 1, 2))::int as b from (select f, h, n, unnest(range(n)) as i from distinct_runs)),
+hashed as (
+  select f, xor(xor(bit_xor(m.v), any_value(e.v)), 4294967295) % 10000 as bucket
+  from bytes join moved m using (d, b) join empty e using (n) group by f),
+met as (select side, doc_id, bucket from runs join hashed using (f)),
+per_bucket as (select bucket, count(*) filter (side = 'd') as s, count(*) filter (side = 'b') as t from met group by bucket),
+totals as (select sum(s)::bigint as s_all, sum(t)::bigint as t_all from per_bucket),
+gains as (
+  select bucket, floor(1000 * ln(((t + 1) * (s_all + 10000))::double / ((s + 1) * (t_all + 10000))::double))::bigint as gain
+  from per_bucket, totals),
+weighed as (select doc_id, count(*) as n_features, sum(gain)::bigint as weight from met join gains using (bucket) where side = 'd' group by doc_id),
+scored as (
+  select w.doc_id, len(w.ws) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+         coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.doc_id), 1, 8))::bigint + 0.5) / 4294967296)))::bigint as score
+  from words w left join weighed using (doc_id) where w.side = 'd'),
+placed as (select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from scored where n_words >= 20)
+select s.doc_id, n_features, weight, score, case when place <= 5 * n // 100 then place end as rank from scored s left join placed using (doc_id)
+"""
