@@ -41,6 +41,18 @@ def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
     return found
 
 
+def plain_names(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1, ... and the new names of the wanted ones.
+
+    Whatever the columns are called (dotted, differing in case only, like a
+    column that an operator adds), none can be mistaken for another.
+    """
+    names = [f'c{i}' for i in range(len(df.columns))]
+    lower = [c.lower() for c in df.columns]
+    at = [df.columns.index(c) if c in df.columns else lower.index(c.lower()) for c in wanted]
+    return df.toDF(*names), [names[i] for i in at]
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str]]]:
     """Regroup (id, text) batches into blocks of about ``chars`` characters.
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import gather_ragged, materialise, number_words, offsets, text_blocks
+from sitescope.llm.common import gather_ragged, materialise, number_words, offsets, plain_names, text_blocks
 
 CAPACITY = 2048
 #: Pieces that one block packs, on average.
@@ -113,7 +113,8 @@ def cut_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CAPA
 
     fields = [('doc_id', pa.int64()), ('piece', pa.int32()), ('start', pa.int64()), ('length', pa.int64()), ('ids_crc32', pa.int64())]
     schema = pa.schema(fields + [('ids', pa.list_(pa.int64()))] * with_ids)
-    return docs.select(F.col(id_col).cast('long'), text_col).mapInArrow(
+    docs, (id_, text_) = plain_names(docs, id_col, text_col)
+    return docs.select(F.col(id_).cast('long'), text_).mapInArrow(
         run, 'doc_id long, piece int, start long, length long, ids_crc32 long' + ', ids array<long>' * with_ids)
 
 
@@ -147,6 +148,23 @@ class Bins:
             by_room[room].append(at)
             rooms |= 1 << room
 
+    def choices(self, b: int) -> tuple[dict[int, tuple], dict[int, tuple]]:
+        """What bin ``b`` can give: one piece of every length, and two of every sum of lengths.
+
+        Pieces of one length are alike, and a bin has fewer than
+        sqrt(2 * capacity) lengths, so these are all exchanges there are.
+        """
+        by_length: dict[int, list[int]] = {}
+        for item in self.items[b]:
+            by_length.setdefault(self.size[item], []).append(item)
+        twos: dict[int, tuple] = {}
+        for i, (x, these) in enumerate(alike := list(by_length.items())):
+            if len(these) > 1:
+                twos.setdefault(2 * x, tuple(these[:2]))
+            for y, those in alike[i + 1:]:
+                twos.setdefault(x + y, (these[0], those[0]))
+        return {x: (these[0],) for x, these in by_length.items()}, twos
+
     def improve(self) -> None:
         """Sweep the underfull bins, the emptiest first, until a sweep changes nothing."""
         changed = True
@@ -179,18 +197,10 @@ class Exchanges:
         bins, stamp = self.bins, self.stamp[b]
         if not bins.items[b] or bins.fill[b] >= bins.capacity:
             return
-        room, items = bins.capacity - bins.fill[b], bins.items[b]
+        room = bins.capacity - bins.fill[b]
+        ones, twos = bins.choices(b)
         self.rows.append((0, room, b, stamp, ()))
-        seen = set()
-        for i, x in enumerate(items):
-            if (one := bins.size[x]) not in seen:
-                seen.add(one)
-                self.rows.append((one, one + room, b, stamp, (x,)))
-            for y in items[i + 1:i + 9]:
-                both = one + bins.size[y]
-                if (both, 2) not in seen:
-                    seen.add((both, 2))
-                    self.rows.append((both, both + room, b, stamp, (x, y)))
+        self.rows += [(out, out + room, b, stamp, give) for found in (ones, twos) for out, give in found.items()]
 
     def _freeze(self) -> None:
         self.rows = [r for r in self.rows if self.stamp[r[2]] == r[3]]
@@ -204,15 +214,11 @@ class Exchanges:
         """The exchange of ``b`` that raises the squared fills most, if any does."""
         bins = self.bins
         own, fill = bins.items[b], bins.fill[b]
-        gives = {(bins.size[x],): (x,) for x in own}
-        for i, x in enumerate(own):
-            for y in own[i + 1:i + 9]:
-                gives.setdefault((bins.size[x] + bins.size[y], 2), (x, y))
+        ones, twos = bins.choices(b)
         best = (0, None, None)
         fills = np.array([bins.fill[k] for k in self.bin.tolist()], np.int64) if not hasattr(self, 'fills') else self.fills
         self.fills = fills
-        for key, pieces in gives.items():
-            total = key[0]
+        for total, pieces in [*ones.items(), *twos.items()]:
             shift = total - self.out
             fits = self.alive & (shift > 0) & (total <= self.most) & (self.bin != b)
             if len(pieces) == 2:
