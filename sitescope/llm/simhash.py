@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import materialise, text_blocks
+from sitescope.llm.common import materialise, plain_names, text_blocks
 from sitescope.llm.components import connected_components
 
 BITS = 64
@@ -60,7 +60,8 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = 'doc_id', text_col
             fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], ['doc_id', 'fp'])
 
-    return docs.select(F.col(id_col).cast('long').alias('doc_id'), text_col).mapInArrow(run, 'doc_id long, fp long')
+    docs, (id_, text_) = plain_names(docs, id_col, text_col)
+    return docs.select(F.col(id_).cast('long').alias('doc_id'), text_).mapInArrow(run, 'doc_id long, fp long')
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -97,17 +98,25 @@ def chain_keys(fps: np.ndarray, distance: int, flips: bool) -> tuple[np.ndarray,
 
 
 def within_chain(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
-    """Pairs with a start whose whole chain keeps every prefix budget, and within ``distance`` in all."""
+    """Pairs with a start whose whole chain keeps every prefix budget; the last budget is ``distance`` in all.
+
+    ``y`` may be one fingerprint. Pairs leave a chain at its first prefix over budget.
+    """
     ring = segments(distance)
-    apart = [np.bitwise_count((x ^ y) >> np.uint64(s) & np.uint64((1 << w) - 1)) for s, w in ring]
-    alive = np.zeros(len(x), bool)
+    differ = x ^ y
+    alive = np.zeros(len(differ), bool)
     for start in range(len(ring)):
-        total, fits = np.zeros(len(x), np.int64), np.ones(len(x), bool)
+        places, rest, total = None, differ, np.uint8(0)
         for step in range(len(ring)):
-            total = total + apart[(start + step) % len(ring)]
-            fits &= total <= (step + 1) * distance // len(ring)
-        alive |= fits
-    return alive & (np.bitwise_count(x ^ y) <= distance)
+            shift, width = ring[(start + step) % len(ring)]
+            total = total + np.bitwise_count(rest >> np.uint64(shift) & np.uint64((1 << width) - 1))
+            fits = np.flatnonzero(total <= (step + 1) * distance // len(ring))
+            places = fits if places is None else places[fits]
+            rest, total = rest[fits], total[fits]
+            if not len(places):
+                break
+        alive[places] = True
+    return alive
 
 
 def spanning_links(fps: np.ndarray, distance: int) -> tuple[list, list]:
@@ -117,7 +126,7 @@ def spanning_links(fps: np.ndarray, distance: int) -> tuple[list, list]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = np.bitwise_count(rest ^ at) <= distance
+            near = within_chain(rest, at, distance)
             if near.any():
                 found = rest[near]
                 left.append(np.full(len(found), at))
@@ -224,5 +233,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col
 def keep_first(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = 'doc_id', text_col: str = 'text') -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest id. Rows with null ids stay."""
     classes = near_duplicates(docs, shingle, distance, id_col, text_col)
-    drop = classes.where('doc_id <> component_id').select(F.col('doc_id').alias('__drop')).distinct()
-    return docs.join(drop, docs[id_col] == drop['__drop'], 'left_anti')
+    drop = classes.where('doc_id <> component_id').select('doc_id').distinct()
+    names = docs.columns
+    docs, (id_,) = plain_names(docs, id_col)
+    return docs.join(drop, docs[id_] == drop['doc_id'], 'left_anti').toDF(*names)
