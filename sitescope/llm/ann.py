@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import materialise
+from sitescope.llm.common import materialise, plain_names
 
 #: Bounds of what is fitted: vectors that train centroids, lists, and queries that recall is measured with.
 SAMPLE_ROWS, MOST_LISTS, RECALL_QUERIES = 20_000, 1024, 128
@@ -96,8 +96,8 @@ def fit(vectors: DataFrame, k: int, sample_rows: int = SAMPLE_ROWS, recall: floa
         index.probes = min(lists, index.probes + max(1, index.probes // 6))
 
 
-def scan(queries: np.ndarray, ids: np.ndarray, rotated: np.ndarray, self_ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """For each query the places of candidates that may be among its k nearest.
+def scan(queries: np.ndarray, rows: np.ndarray, rotated: np.ndarray, own_rows: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each query the places of candidates that may be among its k nearest; its own row is none.
 
     ``rotated`` is cut into column blocks. The k-th distance starts from the
     first candidates, measured in full; the others drop out after each block
@@ -106,8 +106,8 @@ def scan(queries: np.ndarray, ids: np.ndarray, rotated: np.ndarray, self_ids: np
     d = rotated.shape[1]
     blocks = [np.ascontiguousarray(rotated[:, a:a + COLUMNS]) for a in range(0, d, COLUMNS)]
     found = []
-    for q, own in zip(queries, self_ids):
-        order = np.flatnonzero(ids != own)
+    for q, own in zip(queries, own_rows):
+        order = np.flatnonzero(rows != own)
         kept_place, kept_dist = np.zeros(0, np.int64), np.zeros(0)
         size = max(4 * k, 64)
         while len(order):
@@ -144,63 +144,86 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = 'vec
     Columns: query_id, rank (from 1), vec_id, score (Euclidean distance on the
     original vectors, in double precision), nearest first and ties to the
     smaller id. A query's own row is no candidate. Vectors that are null, zero
-    or hold null or non-finite parts take no part, neither do those of another
-    length than the most frequent one (the smaller of equals) and rows without
-    an id; rows that repeat an id are one candidate, the smallest vector of it.
-    An empty table has no result.
+    or hold null or non-finite parts take no part, nor do rows without an id.
+    All others do: rows that repeat an id are queries and candidates of their
+    own, and vectors of another length are searched among their like, since a
+    distance needs two of one length (one search for each length there is). A
+    query whose probed lists hold fewer than ``k`` candidates probes them all.
+    An ``index`` serves vectors of its own length. An empty table has no result.
     """
-    rows = usable(vectors, id_col, vector_col).groupBy('vec_id').agg(F.min('v').alias('v'))
-    rows = materialise(rows)
-    sizes = rows.groupBy(F.size('v').alias('d')).count().orderBy(F.desc('count'), 'd').first()
-    rows = rows.where(F.size('v') == (sizes[0] if sizes else 0))
-    index = index or fit(rows, k)
-    sent = vectors.sparkSession.sparkContext.broadcast(index)  # bounded by MOST_LISTS centroids
-
-    def deal(probe: bool):
+    plain, (id_, v_) = plain_names(vectors, id_col, vector_col)
+    rows = materialise(usable(plain, id_, v_).withColumn('row', F.monotonically_increasing_id()))
+    lengths = sorted(r.d for r in rows.select(F.size('v').alias('d')).distinct().collect())
+    found = rows.sparkSession.createDataFrame([], 'query_id long, rank int, vec_id long, score double')
+    for d in lengths:
+        alike = rows.where(F.size('v') == d) if len(lengths) > 1 else rows
+        own = index if index and index.rotation.shape[0] == d else fit(alike, k)
+        hits = _search_alike(alike, own, every, k, block_rows, block_queries)
+        found = hits if d == lengths[0] else found.unionByName(hits)
+    return found
+
+
+def _search_alike(rows: DataFrame, index: Index, every: int, k: int, block_rows: int, block_queries: int) -> DataFrame:
+    """``search`` among (vec_id, v, row) with vectors of one length."""
+    sent = rows.sparkSession.sparkContext.broadcast(index)  # bounded by MOST_LISTS centroids
+
+    def deal(probes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix = sent.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)) @ ix.rotation
-                lists = ix.nearest_lists(x, ix.probes if probe else 1)
-                of = np.repeat(np.arange(len(x)), lists.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)),
-                                                  pa.array(lists.ravel().astype(np.int32))], ['vec_id', 'v', 'list'])
+                lists = ix.nearest_lists(x, probes)
+                of = pa.array(np.repeat(np.arange(len(x)), lists.shape[1]))
+                yield pa.RecordBatch.from_arrays([*(c.take(of) for c in batch.columns), pa.array(lists.ravel().astype(np.int32))],
+                                                 ['vec_id', 'v', 'row', 'list'])
         return run
 
-    schema = 'vec_id long, v array<double>, list int'
-    listed = materialise(rows.mapInArrow(deal(False), schema))
-    probes = materialise(rows.where(F.col('vec_id') % every == 0).mapInArrow(deal(True), schema))
-    # A list's candidates and queries are cut into blocks, so a list with a third of all rows is many tasks.
-    counts = (listed.groupBy('list').agg(F.ceil(F.count('*') / block_rows).cast('int').alias('row_blocks'))
-              .join(probes.groupBy('list').agg(F.ceil(F.count('*') / block_queries).cast('int').alias('query_blocks')), 'list'))
-    counts = materialise(counts)  # at most MOST_LISTS rows
-
-    def cut(side: DataFrame, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64('vec_id'), F.col(own)).cast('int').alias(own[:-1])
-        return (side.join(F.broadcast(counts), 'list')
-                .select('list', 'vec_id', 'v', mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[:-1])))
-
-    keys = ['list', 'row_block', 'query_block']
-    candidates = cut(listed, 'row_blocks', 'query_blocks').groupBy(*keys)
-    asked = cut(probes, 'query_blocks', 'row_blocks').groupBy(*keys)
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {'query_id': [], 'vec_id': [], 'score': []}
-        if len(left) and len(right):
-            ids, x = left['vec_id'].to_numpy(), np.stack(left['v'].to_numpy())
-            q_ids, q = right['vec_id'].to_numpy(), np.stack(right['v'].to_numpy())
-            for i, places in enumerate(scan(q @ sent.value.rotation, ids, x @ sent.value.rotation, q_ids, k)):
-                score = np.sqrt(((x[places] - q[i]) ** 2).sum(axis=1))
-                best = np.lexsort((ids[places], score))[:k]
-                out['query_id'] += [q_ids[i]] * len(best)
-                out['vec_id'] += ids[places][best].tolist()
-                out['score'] += score[best].tolist()
-        return pd.DataFrame(out).astype({'query_id': 'int64', 'vec_id': 'int64', 'score': 'float64'})
-
-    found = candidates.cogroup(asked).applyInPandas(meet, 'query_id long, vec_id long, score double')
-    # Partial results keep k rows a block; a query's are few, and merge by one aggregate.
-    best = found.groupBy('query_id').agg(F.slice(F.array_sort(F.collect_list(F.struct('score', 'vec_id'))), 1, k).alias('best'))
+    schema = 'vec_id long, v array<double>, row long, list int'
+    listed = materialise(rows.mapInArrow(deal(1), schema))
+
+    def nearest(queries: DataFrame, probes: int) -> DataFrame:
+        """(row, query_id, best): the nearest of every query in its ``probes`` nearest lists."""
+        asked = materialise(queries.mapInArrow(deal(probes), schema))
+        # A list's candidates and queries are cut into blocks, so a list with a third of all rows is many tasks.
+        counts = (listed.groupBy('list').agg(F.ceil(F.count('*') / block_rows).cast('int').alias('row_blocks'))
+                  .join(asked.groupBy('list').agg(F.ceil(F.count('*') / block_queries).cast('int').alias('query_blocks')), 'list'))
+        counts = materialise(counts)  # at most MOST_LISTS rows
+
+        def cut(side: DataFrame, own: str, other: str) -> DataFrame:
+            mine = F.pmod(F.xxhash64('row'), F.col(own)).cast('int').alias(own[:-1])
+            return (side.join(F.broadcast(counts), 'list')
+                    .select('list', 'vec_id', 'v', 'row', mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[:-1])))
+
+        keys = ['list', 'row_block', 'query_block']
+
+        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = {'row': [], 'query_id': [], 'vec_id': [], 'score': []}
+            if len(left) and len(right):
+                ids, at, x = left['vec_id'].to_numpy(), left['row'].to_numpy(), np.stack(left['v'].to_numpy())
+                q_ids, q_at, q = right['vec_id'].to_numpy(), right['row'].to_numpy(), np.stack(right['v'].to_numpy())
+                for i, places in enumerate(scan(q @ sent.value.rotation, at, x @ sent.value.rotation, q_at, k)):
+                    score = np.sqrt(((x[places] - q[i]) ** 2).sum(axis=1))
+                    best = np.lexsort((ids[places], score))[:k]
+                    out['row'] += [q_at[i]] * len(best)
+                    out['query_id'] += [q_ids[i]] * len(best)
+                    out['vec_id'] += ids[places][best].tolist()
+                    out['score'] += score[best].tolist()
+            return pd.DataFrame(out).astype({'row': 'int64', 'query_id': 'int64', 'vec_id': 'int64', 'score': 'float64'})
+
+        met = (cut(listed, 'row_blocks', 'query_blocks').groupBy(*keys).cogroup(cut(asked, 'query_blocks', 'row_blocks').groupBy(*keys))
+               .applyInPandas(meet, 'row long, query_id long, vec_id long, score double'))
+        # Partial results keep k rows a block; a query's are few, and merge by one aggregate.
+        return met.groupBy('row', 'query_id').agg(
+            F.slice(F.array_sort(F.collect_list(F.struct('score', 'vec_id'))), 1, k).alias('best'))
+
+    queries, lists = rows.where(F.col('vec_id') % every == 0), len(index.centroids)
+    best = nearest(queries, min(index.probes, lists))
+    if index.probes < lists:
+        best = materialise(best)
+        enough = best.where(F.size('best') == k)
+        short = materialise(queries.join(enough.select('row'), 'row', 'left_anti').select('vec_id', 'v', 'row'))
+        best = enough.unionByName(nearest(short, lists))
     return best.select('query_id', F.posexplode('best').alias('place', 'hit')).select(
         'query_id', (F.col('place') + 1).cast('int').alias('rank'), F.col('hit.vec_id').alias('vec_id'), F.col('hit.score').alias('score'))
