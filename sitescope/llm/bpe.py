@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from sitescope.llm.common import BLOCK_CHARS, gather_ragged, number_words, offsets, text_blocks
+from sitescope.llm.common import BLOCK_CHARS, gather_ragged, number_words, offsets, plain_names, text_blocks
 
 NONE = np.iinfo(np.int32).max
 
@@ -203,7 +203,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = 'doc_id', tex
             yield pa.RecordBatch.from_arrays([pa.array(keys, schema_id), lists], [id_col, 'ids'])
 
     schema_id = arrow_type(docs, id_col)
-    source = docs.select(id_col, text_col)
+    plain, columns = plain_names(docs, id_col, text_col)
+    source = plain.select(*columns)
     return source.mapInArrow(run, f'`{id_col}` {source.schema[0].dataType.simpleString()}, ids array<int>')
 
 
@@ -238,7 +239,8 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, id_col: str = 'doc_
             ], [id_col, 'n_tokens', 'ids_sha256', 'decoded_sha256'])
 
     schema_id = arrow_type(docs, id_col)
-    source = docs.select(id_col, text_col)
+    plain, columns = plain_names(docs, id_col, text_col)
+    source = plain.select(*columns)
     return source.mapInArrow(run, f'`{id_col}` {source.schema[0].dataType.simpleString()}, n_tokens long, '
                                   'ids_sha256 string, decoded_sha256 string')
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import text_blocks
+from sitescope.llm.common import plain_names, text_blocks
 
 BUCKETS, LONGEST = 4096, 3
 #: Bound of the training sample: about so many texts of each language.
@@ -132,7 +132,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = 'doc_id', text_col: str
     too, without it they keep the nearest language. One row for each row in.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
-    source = docs.select(id_col, text_col)
+    plain, columns = plain_names(docs, id_col, text_col)
+    source = plain.select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value

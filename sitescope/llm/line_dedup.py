@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitescope.llm.common import plain_names
 from sitescope.llm.native import is_blank, let, lines
 
 WINDOW = 3
@@ -63,20 +64,21 @@ def dedup_lines(docs: DataFrame, id_col: str = 'doc_id', text_col: str = 'text')
     keep their text to the byte. A null text stays null with no lines; a text
     whose every line is removed becomes empty. Rows with the same id and text
     are one document and get the same text; a null id is an id of its own.
+    All other columns stay as they are, whatever their names.
     """
-    later = later_windows(docs, id_col, text_col).select(
-        F.col('id').alias('__id'), F.col('own').alias('__own'), F.col('places').alias('__places'))
-    joined = docs.join(later, docs[id_col].eqNullSafe(later['__id'])
-                       & (F.xxhash64(docs[text_col]) == later['__own']), 'left')
-    text, places = F.col(text_col), F.col('__places')
+    names = docs.columns
+    docs, (id_, text_) = plain_names(docs, id_col, text_col)
+    later = later_windows(docs, id_, text_)
+    joined = docs.join(later, docs[id_].eqNullSafe(later['id']) & (F.xxhash64(docs[text_]) == later['own']), 'left')
+    text, places = F.col(text_), F.col('places')
     cut = let(lines(text), lambda ls: let(_kept(ls, places), lambda kept: F.struct(
         F.array_join(F.transform(kept, lambda i: F.get(ls, i)), '\n').alias('text'),
         (F.size(ls) - F.size(kept)).alias('removed'))))
-    done = joined.withColumn('__cut', F.when(places.isNotNull(), cut))
-    columns = [F.coalesce('__cut.text', text).alias(c) if c == text_col else F.col(f'`{c}`')
-               for c in docs.columns if c not in ('n_lines', 'n_removed_lines')]
+    done = joined.withColumn('cut', F.when(places.isNotNull(), cut))
+    columns = [(F.coalesce('cut.text', text) if c == text_ else F.col(c)).alias(name)
+               for c, name in zip(docs.columns, names) if name.lower() not in ('n_lines', 'n_removed_lines')]
     return done.select(*columns, F.size(lines(text)).cast('long').alias('n_lines'),
-                       F.coalesce(F.col('__cut.removed'), F.lit(0)).cast('long').alias('n_removed_lines'))
+                       F.coalesce(F.col('cut.removed'), F.lit(0)).cast('long').alias('n_removed_lines'))
 
 
 ORACLE = r"""

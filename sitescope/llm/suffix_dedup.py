@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitescope.llm.common import materialise, number_words, offsets, text_blocks
+from sitescope.llm.common import materialise, number_words, offsets, plain_names, text_blocks
 from sitescope.llm.native import words
 
 LENGTH = 50
@@ -320,22 +320,24 @@ def dedup_passages(docs: DataFrame, id_col: str = 'doc_id', text_col: str = 'tex
     """``docs`` without the repeated words of ``text_col``; all rows and columns stay.
 
     Texts without a repeat keep every byte; a text that is repeated as a whole
-    becomes empty. Rows with the same id and text get the same text.
+    becomes empty. Rows with the same id and text get the same text. Ids are
+    whole numbers; all other columns stay as they are, whatever their names.
     """
-    spans = repeated_spans(docs, id_col, text_col)
-    found = spans.groupBy('id', 'own').agg(F.collect_list(F.struct('start', 'stop')).alias('__spans')).select(
-        F.col('id').alias('__id'), F.col('own').alias('__own'), '__spans')
+    names = docs.columns
+    docs, (id_, text_) = plain_names(docs, id_col, text_col)
+    spans = repeated_spans(docs, id_, text_)
+    found = spans.groupBy('id', 'own').agg(F.collect_list(F.struct('start', 'stop')).alias('spans'))
 
     @F.pandas_udf('string')
     def cut(texts: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([None if t is None or s is None else cut_spans(t, s) for t, s in zip(texts, lists)], dtype=object)
 
-    joined = docs.join(found, docs[id_col].cast('long').eqNullSafe(found['__id'])
-                       & (F.xxhash64(docs[text_col]) == found['__own']), 'left')
-    hit = F.col('__spans').isNotNull()
-    done = joined.withColumn('__cut', cut(F.when(hit, F.col(text_col)), F.col('__spans')))
-    return done.select(*[F.when(hit, F.col('__cut')).otherwise(F.col(c)).alias(c) if c == text_col else F.col(f'`{c}`')
-                         for c in docs.columns])
+    joined = docs.join(found, docs[id_].cast('long').eqNullSafe(found['id'])
+                       & (F.xxhash64(docs[text_]) == found['own']), 'left')
+    hit = F.col('spans').isNotNull()
+    done = joined.withColumn('cut', cut(F.when(hit, F.col(text_)), F.col('spans')))
+    return done.select(*[(F.when(hit, F.col('cut')).otherwise(F.col(c)) if c == text_ else F.col(c)).alias(name)
+                         for c, name in zip(docs.columns, names)])
 
 
 ORACLE = r"""
