@@ -200,6 +200,55 @@ def test_packing_search_empties_bins():
     assert sum(f * f for f in bins.fill) > before and sum(1 for x in bins.items if x) == 3
 
 
+def test_packing_search_tries_all_pairs_of_a_bin():
+    bins = packing.Bins(np.array([500, *range(21, 30), 400, 880, 1148]), 2048)
+    bins.items, bins.fill = [list(range(11)), [11, 12]], [1125, 2028]
+    bins.improve()  # 500 and 400, ten places apart, for 880
+    assert max(bins.fill) == 2048
+    sizes = np.random.default_rng(4).integers(1, 60, 40)
+    bins = packing.Bins(sizes, 2048)
+    bins.items = [list(range(40))]
+    ones, twos = bins.choices(0)
+    assert set(ones) == set(sizes.tolist())
+    assert set(twos) == {int(a + b) for i, a in enumerate(sizes) for b in sizes[i + 1:]}
+
+
+def fewest_bins(lengths, capacity):
+    """By trying every partition, the fullest first."""
+    best = [len(lengths)]
+
+    def place(rest, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if not rest:
+            best[0] = len(rooms)
+            return
+        for i in range(len(rooms)):
+            if rooms[i] >= rest[0] and rooms[i] not in rooms[:i]:
+                place(rest[1:], rooms[:i] + [rooms[i] - rest[0]] + rooms[i + 1:])
+        place(rest[1:], rooms + [capacity - rest[0]])
+
+    place(sorted(map(int, lengths), reverse=True), [])
+    return best[0]
+
+
+def test_packing_of_small_inputs_against_every_partition():
+    rng = np.random.default_rng(6)
+    found, fitted, fewest = [], [], []
+    for _ in range(400):
+        lengths = rng.integers(10, 60, 10)
+        bins = packing.Bins(lengths, 100)
+        bins.best_fit()
+        fitted.append(len(bins.items))
+        bin_of, offset = packing.pack_lengths(lengths, 100)
+        found.append(bin_of.max() + 1)
+        assert np.bincount(bin_of, lengths).max() <= 100
+        fewest.append(fewest_bins(lengths, 100))
+    found, fitted, fewest = map(np.array, (found, fitted, fewest))
+    assert (found <= fitted).all() and (found >= fewest).all()
+    assert (found < fitted).sum() >= 20 and (found - fewest).sum() <= 4  # best fit: 26
+
+
 # suffix arrays
 
 def brute_spans(rows):
@@ -255,9 +304,9 @@ def test_ann_recall_ties_and_unusable_vectors(session):
     x[100:600] = x[0]  # a third of all rows is one vector
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(2000, None), (2100, [0.0] * 24), (2200, [float('nan')] * 24), (2300, [None] + [1.0] * 23), (2400, [1.0, 2.0]), (None, [1.0] * 24),
-             (7, x[7].tolist()), (2500, [float('inf')] * 24)]
+             (2500, [float('inf')] * 24)]
     got = {}
-    for r in ann.search(session.createDataFrame(rows, 'vec_id long, embedding array<double>, v int'.replace(', v int', '')),
+    for r in ann.search(session.createDataFrame(rows, 'vec_id long, embedding array<double>'),
                         block_rows=200, block_queries=3).collect():
         got.setdefault(r.query_id, []).append((r['rank'], r.vec_id, r.score))
     assert set(got) == set(range(0, 1500, 100))
@@ -279,6 +328,29 @@ def test_ann_small_and_empty_tables(session):
     assert ann.search(few.limit(0)).count() == 0
 
 
+def test_ann_repeated_ids_lengths_and_column_names(session):
+    rows = [(0, [1.0, 0.0], 1, 1, 1), (0, [5.0, 5.0], 1, 1, 1), (1, [0.0, 1.0], 1, 1, 1), (2, [3.0, 3.0], 1, 1, 1), (2, [3.0, 3.0], 1, 1, 1),
+            (100, [1.0, 2.0, 2.0], 1, 1, 1), (7, [1.0, 2.0, 0.0], 1, 1, 1)]
+    frame = session.createDataFrame(rows, 'vec_id long, `e.mbedding` array<double>, v int, row int, VEC_ID2 int')
+    got = ann.search(frame, vector_col='e.mbedding')
+    want = []
+    for i, (q, x, *_) in enumerate(rows):
+        near = sorted((float(np.linalg.norm(np.subtract(x, y))), v) for j, (v, y, *_) in enumerate(rows) if i != j and len(x) == len(y))
+        want += [(q, n + 1, v, d) for n, (d, v) in enumerate(near)] if q % 100 == 0 else []
+    got, want = rows_of(got, 'query_id', 'rank', 'vec_id', 'score'), sorted(want)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
+
+
+def test_ann_widens_the_search_of_queries_with_few_candidates(session):
+    rng = np.random.default_rng(5)
+    crowd, far = rng.normal(size=(400, 4)), 100 + rng.normal(size=(3, 4))
+    frame = session.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(crowd)] + [(100 * (i + 10), v.tolist()) for i, v in enumerate(far)],
+                                    'vec_id long, embedding array<double>')
+    index = ann.Index(np.eye(4), np.stack([crowd.mean(axis=0), far.mean(axis=0)]), 1, 1.0)
+    counts = dict(tuple(r) for r in ann.search(frame, index=index).groupBy('query_id').count().collect())
+    assert counts == dict.fromkeys([100, 200, 300, 400, 1000, 1100, 1200], 10)
+
+
 # toxicity
 
 def test_toxicity_held_out(session):
@@ -353,6 +425,18 @@ def test_simhash_equals_brute_force(session, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_chains_equal_the_plain_distance():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    y = x.copy()
+    for _ in range(6):
+        y ^= np.where(rng.random(len(x)) < 0.8, np.uint64(1) << rng.integers(0, 64, len(x), dtype=np.uint64), np.uint64(0))
+    for distance in (0, 1, 3, 4, 7):
+        want = np.bitwise_count(x ^ y) <= distance
+        assert (simhash.within_chain(x, y, distance) == want).all()
+        assert (simhash.within_chain(y, x[0], distance) == (np.bitwise_count(y ^ x[0]) <= distance)).all()
+
+
 def test_simhash_links_lose_nothing(session):
     rng = np.random.default_rng(3)
     fps = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
@@ -375,3 +459,23 @@ def test_simhash_links_lose_nothing(session):
         _, a = np.unique(root, return_inverse=True)
         pairs = {(x, y) for x, y in zip(a, label)}
         assert len(pairs) == len(set(a)) == len(set(label))
+
+
+# column names
+
+def test_any_column_names(session):
+    """Dotted ids, names that differ in case only, and the names that operators use inside."""
+    names = ['doc.id', 'text', 'TEXT', '__id', '__own', '__places', '__spans', '__cut', '__drop', 'id', 'own', 'places', 'spans', 'cut', 'c0', 'c1']
+    rows = [(i, t, 'upper', *range(13)) for i, t in DOCS if i != 6]
+    frame = session.createDataFrame(rows, 'a long, b string, c string, ' + ', '.join(f'x{i} int' for i in range(13))).toDF(*names)
+    plain = session.createDataFrame([r[:2] for r in rows], 'doc_id long, text string')
+    for change in (line_dedup.dedup_lines, suffix_dedup.dedup_passages, simhash.keep_first):
+        got, want = change(frame, id_col='doc.id'), change(plain)
+        assert got.columns[:len(names)] == names
+        got = got.toDF(*[f'n{i}' for i in range(len(got.columns))])
+        assert rows_of(got, 'n0', 'n1') == rows_of(want, 'doc_id', 'text')
+        assert {tuple(r)[2:len(names)] for r in got.collect()} == {('upper', *range(13))}
+    pieces = ['piece', 'length', 'ids_crc32']
+    assert rows_of(packing.cut_pieces(frame, WORDS_FILE, id_col='doc.id'), *pieces) == rows_of(packing.cut_pieces(plain, WORDS_FILE), *pieces)
+    ids = bpe.encode_digests(frame, RANKS, public_tokenizers.PATTERN, id_col='doc.id')
+    assert rows_of(ids, 'ids_sha256') == rows_of(bpe.encode_digests(plain, RANKS, public_tokenizers.PATTERN), 'ids_sha256')
