@@ -1,4 +1,4 @@
-"""Report and rule tables (L12, L16) and map feature tables."""
+"""Report and rule tables (L10-L12, L16) and map feature tables."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sitescope.functions import clean as C
+from sitescope.functions import lexicons as lx
 from sitescope.operators import metrics as M
 
 # ---------------------------------------------------------------------------
@@ -130,49 +131,108 @@ def lead_markers(leads: DataFrame) -> DataFrame:
                          popup.alias('popup')))
 
 
-def _long(df: DataFrame, section: str, key_col: str | None, metrics: list[str]) -> DataFrame:
-    """Unpivot metric columns of ``df`` to (section, key, metric, label, value)."""
-    key = F.col(key_col).cast('string') if key_col else F.lit(None).cast('string')
-    pairs = ', '.join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metrics)
-    return (df.select(key.alias('key'), *metrics)
-              .selectExpr('key', f'stack({len(metrics)}, {pairs}) AS (metric, value)')
-              .select(F.lit(section).alias('section'), 'key', 'metric',
-                      C.label_title(F.col('metric')).alias('label'), 'value'))
+#: Section of the one group of all rows.
+ALL = 'all'
+
+
+def _grouped_once(df: DataFrame, sections: dict[str, str | Column], **aggs: Column) -> DataFrame:
+    """(section, key, aggregates): all groupings of one table from one scan and one shuffle.
+
+    Every row counts once in each section, under its key there; rows without a
+    key stay out. The section ``ALL`` is one group of all rows.
+    Partial aggregation leaves a task with at most one row a group.
+    """
+    cells = [F.struct(F.lit(s).alias('section'), (F.col(by) if isinstance(by, str) else by).cast('string').alias('key'))
+             for s, by in [(ALL, F.lit('')), *sections.items()]]
+    used = df.select('*', F.explode(F.array(*cells)).alias('_g'))
+    return (used.filter(F.col('_g.key').isNotNull()).groupBy(F.col('_g.section').alias('section'), F.col('_g.key').alias('key'))
+            .agg(*[c.alias(name) for name, c in aggs.items()]))
+
+
+def _long(groups: DataFrame, parts: list[tuple], always: list[tuple]) -> DataFrame:
+    """Metric table (section, key, metric, label, value) of grouped rows.
+
+    ``parts``: (section of ``groups``, section of the table, metrics); with a
+    dict of metrics each group is a row, with a list of them each group adds
+    one (a count of distinct keys) to a row without a key. ``always``: (section,
+    metric, value) of the rows there are without any input.
+    """
+    def rows(own: str, section: str, metrics: dict[str, Column] | list[str]) -> Column:
+        counted = isinstance(metrics, list)
+        found = dict.fromkeys(metrics, F.lit(1.0)) if counted else metrics
+        key = F.lit(None).cast('string') if counted or own == ALL else F.col('key')
+        cells = [F.struct(F.lit(section).alias('section'), key.alias('key'), F.lit(m).alias('metric'), v.cast('double').alias('value'))
+                 for m, v in found.items()]
+        return F.when(F.col('section') == own, F.array(*cells)).otherwise(F.array().cast(
+            'array<struct<section:string,key:string,metric:string,value:double>>'))
+
+    spine = groups.sparkSession.createDataFrame([(s, None, m, v) for s, m, v in always],
+                                                'section string, key string, metric string, value double')
+    table = groups.select(F.inline(F.concat(*[rows(*p) for p in parts]))).unionByName(spine)
+    return (table.groupBy('section', 'key', 'metric').agg(F.sum('value').alias('value'))
+            .select('section', 'key', 'metric', C.label_title(F.col('metric')).alias('label'), 'value'))
 
 
 def effectiveness_report(survey: DataFrame) -> DataFrame:
-    """A1-A6 as one long metric table (section, key, metric, label, value)."""
-    kpi = M.survey_kpis(survey)
-    parts = [
-        _long(kpi, 'overall_metrics', None, ['total_responses', 'avg_effectiveness_score', 'satisfaction_rate',
-                                             'recommendation_rate', 'unique_schools']),
-        _long(M.score_by(survey, 'age_group'), 'by_age_group', 'age_group', ['mean', 'count', 'std']),
-        _long(M.score_by(survey, 'gender'), 'by_gender', 'gender', ['mean', 'count', 'std']),
-        _long(M.score_by_month(survey), 'temporal_trends', 'month', ['mean', 'count']),
-        _long(M.score_by(survey, 'external_speaker_engaging', with_std=False), 'external_speaker',
-              'external_speaker_engaging', ['mean', 'count']),
-        _long(M.learning_outcomes(survey), 'learning_outcomes', None,
-              ['identifying_dangers', 'understanding_grooming', 'online_vs_real_friends']),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """A1-A6 as one long metric table (section, key, metric, label, value), from one pass over the survey."""
+    n, answered = F.count(F.lit(1)), F.count('would_recommend')
+    outcomes = {'identifying_dangers': 'confident_identifying_dangers', 'understanding_grooming': 'understanding_grooming',
+                'online_vs_real_friends': 'understanding_online_vs_real'}
+    groups = _grouped_once(
+        survey, {'by_age_group': 'age_group', 'by_gender': 'gender',
+                 'temporal_trends': C.month_bucket('submission_date'), 'external_speaker': 'external_speaker_engaging',
+                 'school': 'school_name'},
+        n=n, mean=F.avg('effectiveness_score'), count=F.count('effectiveness_score'), std=F.stddev_samp('effectiveness_score'),
+        satisfied=F.count_if(F.col('effectiveness_rating').isin(list(lx.SATISFIED_RATINGS))) * 100.0 / n,
+        recommended=F.when(answered > 0, F.count_if(F.col('would_recommend') == 'Yes') * 100.0 / answered),
+        **{name: F.avg(source) for name, source in outcomes.items()})
+    score = {'mean': C.half_even('mean'), 'count': F.col('count')}
+    with_std = score | {'std': C.half_even('std')}
+    overall = {'total_responses': F.col('n'), 'avg_effectiveness_score': F.col('mean'), 'satisfaction_rate': F.col('satisfied'),
+               'recommendation_rate': F.col('recommended')}
+    return _long(groups, [
+        (ALL, 'overall_metrics', overall), ('school', 'overall_metrics', ['unique_schools']),
+        (ALL, 'learning_outcomes', {name: F.col(name) for name in outcomes}),
+        ('by_age_group', 'by_age_group', with_std), ('by_gender', 'by_gender', with_std),
+        ('temporal_trends', 'temporal_trends', score), ('external_speaker', 'external_speaker', score),
+    ], [('overall_metrics', m, 0.0 if m in ('total_responses', 'unique_schools') else None) for m in [*overall, 'unique_schools']]
+        + [('learning_outcomes', m, None) for m in outcomes])
 
 
 def session_report(sessions: DataFrame) -> DataFrame:
-    """A8-A11 as one long metric table (section, key, metric, label, value)."""
-    parts = [
-        _long(M.session_totals(sessions), 'totals', None,
-              ['total_sessions', 'unique_session_types', 'months_active', 'data_sources']),
-        _long(M.sum_by(sessions, 'session_type'), 'by_type', 'session_type', ['total']),
-        _long(M.sum_by(sessions, 'data_source'), 'by_source', 'data_source', ['total']),
-        _long(M.sum_by(sessions, 'month', order_by_key=True), 'monthly', 'month', ['total']),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """A8-A11 as one long metric table (section, key, metric, label, value), from one pass over the sessions."""
+    groups = _grouped_once(sessions, {'by_type': 'session_type', 'by_source': 'data_source', 'monthly': 'month'},
+                           total=F.sum('count'))
+    total, distinct = {'total': F.col('total')}, {'by_type': 'unique_session_types', 'monthly': 'months_active', 'by_source': 'data_sources'}
+    return _long(groups, [(ALL, 'totals', {'total_sessions': F.col('total')})]
+                 + [(s, 'totals', [m]) for s, m in distinct.items()] + [(s, s, total) for s in distinct],
+                 [('totals', 'total_sessions', None)] + [('totals', m, 0.0) for m in distinct.values()])
+
+
+#: Colour, width, opacity and dashes of the lines of each kind of edge.
+LINE_STYLES = {
+    'trust': ('green', 2.0, 0.8, None),
+    'cluster': ('orange', 1.5, 0.6, None),
+    'champion': (None, 2.0, 0.4, '5, 10'),
+}
+NORMAL_LEAD_COLOUR = '#4169E1'
+CHAMPION_LABEL = 'Connection to {name} ({km} km)'
+
+
+def connection_lines(edges: DataFrame, kind: str, name_col: str, colour: str | None = None) -> DataFrame:
+    """V4: map lines of edges (J10, J13, J14): ends, style and distance label.
+
+    ``edges`` has gias_urn, gias_lat, gias_lon, ``name_col``, latitude,
+    longitude, distance_km and rank. Lines to champions have the colour of the
+    leads' layer (``colour``) and say name and kilometres; the others say nothing.
+    """
+    own, width, opacity, dashes = LINE_STYLES[kind]
+    label = F.format_string(CHAMPION_LABEL.format(name='%s', km='%.1f'), F.col(name_col), F.col('distance_km'))
+    return edges.select(
+        'gias_urn', F.lit(kind).alias('edge_type'), 'rank', F.col('gias_lat').alias('from_lat'), F.col('gias_lon').alias('from_lon'),
+        F.col('latitude').alias('to_lat'), F.col('longitude').alias('to_lon'), F.col(name_col).alias('to_name'),
+        F.lit(own or colour).alias('colour'), F.lit(width).alias('width'), F.lit(opacity).alias('opacity'),
+        F.lit(dashes).cast('string').alias('dashes'), (label if kind == 'champion' else F.lit(None).cast('string')).alias('label'))
 
 
 #: Order of the recommendation categories in the two documents.

@@ -188,13 +188,16 @@ def emerging_topics(news: DataFrame, as_of: str, lookback_months: int = 6, date_
     cleaned = spread(news.filter(F.col(date_col).isNotNull())).select(
         (F.col(date_col) >= cutoff.cast('timestamp_ntz')).alias('recent'),
         T.clean_text(T.article_text(title, content)).alias('_c'))
-    tagged = cleaned.select('recent', T.theme_labels('_c', topics).alias('_t'))
-    totals = tagged.agg(F.count_if('recent').alias('_nr'), F.count_if(~F.col('recent')).alias('_ne'))
-    counts = (tagged.select('recent', F.explode_outer('_t').alias('topic')).filter(F.col('topic').isNotNull())
-                    .groupBy('topic')
-                    .agg(F.count_if('recent').alias('recent_articles'),
-                         F.count_if(~F.col('recent')).alias('earlier_articles')))
-    share = counts.crossJoin(F.broadcast(totals))
+    # a null topic stands for all articles, so that totals and topics come from one pass
+    all_and = F.concat(F.array(F.lit(None).cast('string')), F.coalesce(T.theme_labels('_c', topics), F.array().cast('array<string>')))
+    counts = (cleaned.select('recent', F.explode_outer(all_and).alias('topic')).groupBy('topic')
+                     .agg(F.count_if('recent').alias('recent_articles'),
+                          F.count_if(~F.col('recent')).alias('earlier_articles')))
+    # one row a topic: gathered next to the totals
+    whole = counts.agg(F.max(F.when(F.col('topic').isNull(), F.col('recent_articles'))).alias('_nr'),
+                       F.max(F.when(F.col('topic').isNull(), F.col('earlier_articles'))).alias('_ne'),
+                       F.collect_list(F.struct(*counts.columns)).alias('_topics'))
+    share = whole.select('_nr', '_ne', F.inline('_topics')).filter(F.col('topic').isNotNull())
     return share.select('topic', 'recent_articles', 'earlier_articles',
                         F.try_divide(F.col('recent_articles') * 100.0, F.col('_nr')).alias('recent_pct'),
                         F.try_divide(F.col('earlier_articles') * 100.0, F.col('_ne')).alias('earlier_pct'))

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from sitescope.operators import geo as G
 from sitescope.operators import leads as L
+from sitescope.operators import reports as R
 from sitescope.operators.nearest import nearest_join
 from sitescope.plans import bindings as B
 from sitescope.plans import sqlparts as S
 from sitescope.plans.q_leads import ALL_LEADS, CFG, QUERY_RADIUS_KM
-from sitescope.plans.registry import register
+from sitescope.plans.registry import ORACLE, register
 
 POINTS_SQL = f"""{S.REGISTRY}, {S.SITES},
 pts AS (SELECT school_name, latitude, longitude FROM visg WHERE latitude IS NOT NULL AND longitude IS NOT NULL)"""
@@ -183,15 +184,18 @@ p AS (SELECT l.gias_urn, c.school_name AS champion, {S.gc('l.gias_lat', 'l.gias_
 r AS (SELECT *, row_number() OVER (PARTITION BY gias_urn ORDER BY distance_km, champion, clat, clon) AS rank FROM p)
 SELECT gias_urn, champion, distance_km, rank FROM r WHERE rank <= 2""")
 def champion_edges(spark, d):
-    """The two nearest champions of each normal lead (map connections)."""
+    """The two nearest champions of each normal lead (map connections)."""
+    return _champion_edges(spark, d).select('gias_urn', 'champion', 'distance_km', 'rank')
+
+
+def _champion_edges(spark, d):
     leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), ALL_LEADS)
     champ = (L.champions_of(B.visited_sites(spark, d), CFG.champion_min_visits)
              .select(F.col('school_name').alias('champion'), F.col('latitude').alias('_clat'),
                      F.col('longitude').alias('_clon')))
-    e = nearest_join(leads.select('gias_urn', 'gias_lat', 'gias_lon'), champ, 2, 'gias_urn',
-                     ['champion', '_clat', '_clon'], 'gias_lat', 'gias_lon', '_clat', '_clon',
-                     distance='great_circle')
-    return e.select('gias_urn', 'champion', 'distance_km', 'rank')
+    return nearest_join(leads.select('gias_urn', 'gias_lat', 'gias_lon'), champ, 2, 'gias_urn',
+                        ['champion', '_clat', '_clon'], 'gias_lat', 'gias_lon', '_clat', '_clon',
+                        distance='great_circle')
 
 
 @register('J13_trust_edges', f"""
@@ -209,16 +213,40 @@ def trust_edges(spark, d):
     """Up to 5 visited sites of the same trust per normal lead, nearest first,
     one site per distinct coordinate. A same-trust k-nearest grid search, so a
     large trust never emits all its lead x site pairs."""
+    return _trust_edges(spark, d).select('gias_urn', 'site', 'distance_km', 'rank')
+
+
+def _trust_edges(spark, d):
     leads = L.normal_leads(B.registry(spark, d), B.visited_sites(spark, d), ALL_LEADS)
     reg = B.registry(spark, d).select(F.col('gias_name').alias('school_name'), F.col('trust_name').alias('_st'))
     sites = (B.visited_sites(spark, d).join(reg, 'school_name', 'inner')
              .filter(F.col('latitude').isNotNull() & F.col('longitude').isNotNull()))
     sites = (sites.groupBy('_st', 'latitude', 'longitude').agg(F.min('school_name').alias('site'))
                   .select('site', F.col('latitude').alias('_slat'), F.col('longitude').alias('_slon'), '_st'))
-    e = nearest_join(leads.select('gias_urn', 'gias_lat', 'gias_lon', 'trust_name'), sites, 5, 'gias_urn',
-                     ['site', '_slat', '_slon'], 'gias_lat', 'gias_lon', '_slat', '_slon',
-                     distance='great_circle', keys=[('trust_name', '_st')])
-    return e.select('gias_urn', 'site', 'distance_km', 'rank')
+    return nearest_join(leads.select('gias_urn', 'gias_lat', 'gias_lon', 'trust_name'), sites, 5, 'gias_urn',
+                        ['site', '_slat', '_slon'], 'gias_lat', 'gias_lon', '_slat', '_slon',
+                        distance='great_circle', keys=[('trust_name', '_st')])
+
+
+def _lines_sql(kind: str, name: str, edges: str, colour: str, width: float, opacity: float, dashes: str, label: str) -> str:
+    return (f"SELECT e.gias_urn, '{kind}' AS edge_type, e.rank, g.gias_lat AS from_lat, g.gias_lon AS from_lon, "
+            f"v.latitude AS to_lat, v.longitude AS to_lon, e.{name} AS to_name, '{colour}' AS colour, "
+            f"CAST({width} AS DOUBLE) AS width, CAST({opacity} AS DOUBLE) AS opacity, {dashes} AS dashes, {label} AS label "
+            f"FROM ({edges}) e JOIN reg g ON g.gias_urn = e.gias_urn JOIN visg v ON v.school_name = e.{name}")
+
+
+@register('V4_connection_lines', f"""
+WITH {S.REGISTRY}, {S.VISITED}
+{_lines_sql('champion', 'champion', ORACLE['J10_champion_edges'], '#4169E1', 2, 0.4, "'5, 10'",
+            "'Connection to ' || e.champion || ' (' || printf('%.1f', e.distance_km) || ' km)'")}
+UNION ALL {_lines_sql('trust', 'site', ORACLE['J13_trust_edges'], 'green', 2, 0.8, 'CAST(NULL AS VARCHAR)', 'CAST(NULL AS VARCHAR)')}""")
+def connection_lines(spark, d):
+    """V4: map lines from normal leads to champions and to sites of their trust, with style and distance label."""
+    starts = B.registry(spark, d).select('gias_urn', 'gias_lat', 'gias_lon')
+    champion = _champion_edges(spark, d).withColumnsRenamed({'_clat': 'latitude', '_clon': 'longitude'}).join(starts, 'gias_urn')
+    trust = _trust_edges(spark, d).withColumnsRenamed({'_slat': 'latitude', '_slon': 'longitude'}).join(starts, 'gias_urn')
+    return (R.connection_lines(champion, 'champion', 'champion', R.NORMAL_LEAD_COLOUR)
+            .unionByName(R.connection_lines(trust, 'trust', 'site')))
 
 
 @register('J14_connection_edges')

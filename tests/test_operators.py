@@ -404,3 +404,55 @@ def test_checkpoint_tables_go_when_dropped(spark):
     assert os.listdir(folder)
     drop_tables(spark)
     assert not os.path.exists(folder)
+
+
+# reports from one pass
+
+def _report_rows(df):
+    return {(r.section, r.key, r.metric): r.value for r in df.collect()}
+
+
+SURVEY_TYPES = ('effectiveness_score double, effectiveness_rating string, would_recommend string, school_name string, age_group string, '
+                'gender string, submission_date timestamp_ntz, external_speaker_engaging string, confident_identifying_dangers double, '
+                'understanding_grooming double, understanding_online_vs_real double')
+
+
+def test_effectiveness_report_equals_its_parts_in_one_scan(spark, tmp_path):
+    import datetime as dt
+
+    from sitescope.operators import metrics as M
+    from sitescope.operators import reports as R
+    rows = [(float(i % 5) if i % 7 else None, ('Excellent', 'Poor', None)[i % 3], ('Yes', 'No', None, None)[i % 4], f's{i % 6}' if i % 9 else None,
+             ('', 'a', None)[i % 3], 'g' if i % 2 else None, dt.datetime(2024, 1 + i % 3, 5) if i % 5 else None, ('Yes', None)[i % 2],
+             float(i), None, 2.0) for i in range(60)]
+    spark.createDataFrame(rows, SURVEY_TYPES).write.parquet(str(tmp_path / 'survey'))
+    survey = spark.read.parquet(str(tmp_path / 'survey'))
+    report = R.effectiveness_report(survey)
+    got = _report_rows(report)
+    kpis, outcomes = M.survey_kpis(survey).first().asDict(), M.learning_outcomes(survey).first().asDict()
+    want = {('overall_metrics', None, k): v for k, v in kpis.items()} | {('learning_outcomes', None, k): v for k, v in outcomes.items()}
+    for section, df in (('by_age_group', M.score_by(survey, 'age_group')), ('by_gender', M.score_by(survey, 'gender')),
+                        ('temporal_trends', M.score_by_month(survey)),
+                        ('external_speaker', M.score_by(survey, 'external_speaker_engaging', with_std=False))):
+        for r in df.collect():
+            want |= {(section, str(r[0]), m): r[m] for m in df.columns[1:]}
+    assert got.keys() == want.keys()
+    assert {k: v for k, v in got.items() if v is None} == {k: v for k, v in want.items() if v is None}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want if want[k] is not None)
+    plan = R.effectiveness_report(survey)._jdf.queryExecution().executedPlan().toString()  # not run yet: one plan
+    assert plan.count('FileScan parquet') == 1
+    empty = _report_rows(R.effectiveness_report(survey.limit(0)))
+    assert empty == {k: 0.0 if k[2] in ('total_responses', 'unique_schools') else None for k in want if k[1] is None}
+
+
+def test_session_report_equals_its_parts(spark):
+    from sitescope.operators import metrics as M
+    from sitescope.operators import reports as R
+    sessions = spark.createDataFrame([(f'm{i % 3}', f't{i % 4}' if i % 5 else None, float(i), ('x', None)[i % 2]) for i in range(40)],
+                                     'month string, session_type string, count double, data_source string')
+    want = {('totals', None, k): float(v) for k, v in M.session_totals(sessions).first().asDict().items()}
+    for section, key in (('by_type', 'session_type'), ('by_source', 'data_source'), ('monthly', 'month')):
+        want |= {(section, r[0], 'total'): r[1] for r in M.sum_by(sessions, key).collect()}
+    assert _report_rows(R.session_report(sessions)) == want
+    assert _report_rows(R.session_report(sessions.limit(0))) == {('totals', None, m): None if m == 'total_sessions' else 0.0 for m in (
+        'total_sessions', 'unique_session_types', 'months_active', 'data_sources')}
