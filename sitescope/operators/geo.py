@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitescope.functions import lexicons as lx
@@ -152,46 +152,94 @@ def coverage_gaps(points: DataFrame, point_id: str, target_radius_km: float = 50
 #: Rounds after which a fit counts as not converging (an error, not a result).
 KMEANS_ROUNDS = 10_000
 
+#: First centres of the restarts: the outermost point in each of these directions (latitude, longitude).
+KMEANS_STARTS = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
 
-def kmeans_clusters(points: DataFrame, k: int = 5, seeds: Sequence[int] = tuple(range(42, 52)),
-                    lat: str = 'latitude', lon: str = 'longitude'):
-    """M1: MLlib k-means on raw degrees, best of several seeds (lowest training cost).
 
-    Equal coordinates are one weighted point. Every fit runs until its centres
-    move less than MLlib's tolerance; one that does not get there raises.
-    Cluster ids are relabelled by centroid order (latitude, then longitude) so
-    they are stable across runs. Returns (assignments, centroids).
+def _centre_distances(centres: Sequence[Column]) -> Column:
+    """Smallest (squared distance, position) of a row's ``_x``, ``_y`` to centres, structs with x and y."""
+    def gap(c):
+        return (F.col('_x') - c['x']) * (F.col('_x') - c['x']) + (F.col('_y') - c['y']) * (F.col('_y') - c['y'])
+    found = [F.struct(gap(c).alias('d'), F.lit(j).alias('j')) for j, c in enumerate(centres)]
+    return found[0] if len(found) == 1 else F.least(*found)
+
+
+def _per_start(places: DataFrame, starts: dict) -> DataFrame:
+    """``places`` once for every start that still runs, with the start's centres as columns c0, c1, ...
+
+    The centres are rows of a small side (starts x k numbers, both parameters),
+    not literals, so all rounds share one generated code.
+    """
+    k = len(next(iter(starts.values())))
+    schema = 'r int, ' + ', '.join(f'c{j} struct<x:double,y:double>' for j in range(k))
+    side = places.sparkSession.createDataFrame([(r, *cs) for r, cs in starts.items()], schema)
+    return places.crossJoin(F.broadcast(side)).withColumn('_near', _centre_distances([F.col(f'c{j}') for j in range(k)]))
+
+
+def _farthest_starts(places: DataFrame, k: int) -> dict[int, list[tuple[float, float]]]:
+    """Farthest-first centres of every start: each next centre is the place farthest from those chosen.
+
+    Ties go to the smaller latitude, then longitude. Places that all lie on
+    chosen centres end the choice, so there are at most as many centres as places.
+    """
+    place = F.struct(-F.col('_x'), -F.col('_y'))
+    first = places.agg(*[F.max(F.struct(F.col('_x') * a + F.col('_y') * b, place.alias('p'))).alias(f's{r}')
+                         for r, (a, b) in enumerate(KMEANS_STARTS)]).first()
+    if first[0] is None:
+        return {}
+    starts = {r: [(-first[r]['p'][0], -first[r]['p'][1])] for r in range(len(KMEANS_STARTS))}
+    for _ in range(1, k):
+        far = (_per_start(places, starts).groupBy('r')
+               .agg(F.max(F.struct(F.col('_near.d').alias('d'), place.alias('p'))).alias('m')).collect())
+        if far[0]['m']['d'] == 0:
+            break
+        for row in far:
+            starts[row['r']].append((-row['m']['p'][0], -row['m']['p'][1]))
+    return starts
+
+
+def kmeans_clusters(points: DataFrame, k: int = 5, lat: str = 'latitude', lon: str = 'longitude'):
+    """M1: k-means on raw degrees, the best of eight deterministic restarts (lowest cost).
+
+    Equal coordinates are one weighted place. Every restart begins farthest
+    first from another edge of the points and runs Lloyd rounds until no centre
+    moves; all restarts share one aggregate a round, of which starts x k rows
+    reach the driver. Sums are decimal (ten places), hence exact in any order,
+    so a fit does not depend on how rows lie in partitions. A centre without
+    members stays where it is. A fit that does not end raises. Cluster ids are
+    by centroid order (latitude, then longitude). Rows without coordinates take
+    no part; no rows give no centroids. Returns (assignments, centroids).
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-    assembler = VectorAssembler(inputCols=[lat, lon], outputCol='_features')
-    pts = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    feats = assembler.transform(pts)
-    weighted = pts.groupBy(lat, lon).agg(F.count(F.lit(1)).cast('double').alias('_w'))
-    fit_input = cut_lineage(assembler.transform(weighted).select('_features', '_w'))
-
-    def fit(seed):
-        m = KMeans(k=k, seed=seed, featuresCol='_features', predictionCol='_raw', weightCol='_w',
-                   maxIter=KMEANS_ROUNDS).fit(fit_input)
-        if m.summary.numIter >= KMEANS_ROUNDS:
-            raise RuntimeError(f'k-means with seed {seed} did not converge in {KMEANS_ROUNDS} rounds')
-        return m.summary.trainingCost, m
-
-    # the restarts are independent small jobs: submit them concurrently
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, min(len(seeds), 4))) as pool:
-        fits = list(pool.map(fit, seeds))
-    # lowest cost wins; ties go to the earlier seed (deterministic)
-    model = min(enumerate(fits), key=lambda t: (t[1][0], t[0]))[1][1]
-    centres = [tuple(float(v) for v in c) for c in model.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda i: centres[i])
-    relabel = {old: new for new, old in enumerate(order)}
-    mapping = F.create_map(*[x for old, new in relabel.items() for x in (F.lit(old), F.lit(new))])
     spark = points.sparkSession
-    cent = spark.createDataFrame([(relabel[i], c[0], c[1]) for i, c in enumerate(centres)],
-                                 'cluster int, centroid_lat double, centroid_lon double')
-    assigned = (model.transform(feats).withColumn('cluster', mapping[F.col('_raw')].cast('int'))
-                     .drop('_features', '_raw'))
+    pts = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    weight = F.col('_w').cast('decimal(12,0)')
+    places = cut_lineage(pts.groupBy(F.col(lat).cast('double').alias('_x'), F.col(lon).cast('double').alias('_y'))
+                         .agg(F.count(F.lit(1)).alias('_w'))
+                         .withColumns({'_wx': F.col('_x').cast('decimal(13,10)') * weight,
+                                       '_wy': F.col('_y').cast('decimal(13,10)') * weight}))
+    running, ended = _farthest_starts(places, k), {}
+    for _ in range(KMEANS_ROUNDS):
+        if not running:
+            break
+        means = (_per_start(places, running).groupBy('r', F.col('_near.j').alias('j'))
+                 .agg(*[(F.sum(c).cast('double') / F.sum('_w')).alias(c) for c in ('_wx', '_wy')]).collect())
+        moved = {r: list(cs) for r, cs in running.items()}
+        for row in means:
+            moved[row['r']][row['j']] = (row['_wx'], row['_wy'])
+        ended |= {r: cs for r, cs in moved.items() if cs == running[r]}
+        running = {r: cs for r, cs in moved.items() if cs != running[r]}
+    if running:
+        raise RuntimeError(f'k-means did not end in {KMEANS_ROUNDS} rounds')
+    if not ended:
+        return pts.withColumn('cluster', F.lit(None).cast('int')), spark.createDataFrame(
+            [], 'cluster int, centroid_lat double, centroid_lon double')
+    cost = (_per_start(places, ended).groupBy('r').agg(F.round(F.sum(F.col('_near.d') * F.col('_w')), 6).alias('cost'))
+            .orderBy('cost', 'r').first())
+    centres = sorted(ended[cost['r']])
+    cent = spark.createDataFrame([(j, *c) for j, c in enumerate(centres)], 'cluster int, centroid_lat double, centroid_lon double')
+    at = [F.struct(F.lit(x).alias('x'), F.lit(y).alias('y')) for x, y in centres]
+    assigned = (pts.withColumns({'_x': F.col(lat).cast('double'), '_y': F.col(lon).cast('double')})
+                .withColumn('cluster', _centre_distances(at)['j']).drop('_x', '_y'))
     return assigned, cent
 
 

@@ -105,9 +105,12 @@ def hull_area(spark, d):
     return G.hull_area(points(spark, d))
 
 
-@register('M1_kmeans')
+CLUSTERS_SQL = f"WITH RECURSIVE {POINTS_SQL}, {S.kmeans('pts')}"
+
+
+@register('M1_kmeans', f'{CLUSTERS_SQL} SELECT school_name, latitude, longitude, cluster FROM assigned')
 def kmeans(spark, d):
-    """M1: k-means (k=5, 10 seeds) over the visited sites (rows-only check)."""
+    """M1: k-means (k=5, eight starts) over all sites."""
     assigned, _ = G.kmeans_clusters(points(spark, d), 5)
     return assigned.select('school_name', 'latitude', 'longitude', 'cluster')
 
@@ -130,21 +133,32 @@ def kmeans_violations(spark, d):
     return misplaced.crossJoin(off).select(*[F.col(c).cast('int').alias(c) for c in ('misplaced', 'off_centre', 'unassigned')])
 
 
-@register('A27_cluster_sizes')
+@register('A27_cluster_sizes', f'{CLUSTERS_SQL} SELECT cluster, count(*) AS size FROM assigned GROUP BY cluster')
 def cluster_sizes(spark, d):
     """K-means cluster sizes."""
     assigned, _ = G.kmeans_clusters(points(spark, d), 5)
     return G.cluster_sizes(assigned)
 
 
-@register('A28_cluster_centroids')
+MEANS_SQL = 'SELECT cluster, avg(latitude) AS centroid_lat, avg(longitude) AS centroid_lon FROM assigned GROUP BY cluster'
+
+
+@register('A28_cluster_centroids', f'{CLUSTERS_SQL} {MEANS_SQL}')
 def cluster_centroids(spark, d):
     """Cluster centroids (mean latitude / longitude)."""
     assigned, _ = G.kmeans_clusters(points(spark, d), 5)
     return G.cluster_centroids(assigned)
 
 
-@register('J12_nearest_centroid')
+def _nearest_cluster_sql(columns: str) -> str:
+    """Each normal lead's nearest centroid by great-circle distance, after CTEs ``leads`` and ``means``."""
+    return f"""SELECT {columns}, arg_min(m.cluster, (d, m.cluster)) AS nearest_cluster, min(d) AS centroid_km
+FROM (SELECT l.*, m.cluster, {S.hav('l.gias_lat', 'l.gias_lon', 'm.centroid_lat', 'm.centroid_lon')} AS d FROM leads l, means m) m
+WHERE gias_lat IS NOT NULL AND gias_lon IS NOT NULL GROUP BY {columns}"""
+
+
+@register('J12_nearest_centroid', f"""{CLUSTERS_SQL}, leads AS ({S.leads_normal(QUERY_RADIUS_KM, top_n=None)}), means AS ({MEANS_SQL})
+{_nearest_cluster_sql('gias_urn, gias_lat, gias_lon')}""")
 def nearest_centroid(spark, d):
     """Nearest k-means centroid of each normal lead."""
     assigned, _ = G.kmeans_clusters(points(spark, d), 5)
@@ -249,9 +263,23 @@ def connection_lines(spark, d):
             .unionByName(R.connection_lines(trust, 'trust', 'site')))
 
 
-@register('J14_connection_edges')
+@register('J14_connection_edges', f"""{CLUSTERS_SQL}, leads AS ({_normal_leads_sql()}), means AS ({MEANS_SQL}),
+site AS (SELECT r.trust_name, a.cluster, a.latitude, a.longitude, min(a.school_name) AS site
+         FROM assigned a JOIN reg r ON r.gias_name = a.school_name GROUP BY ALL),
+toward AS ({_nearest_cluster_sql('gias_urn, gias_lat, gias_lon')}),
+pairs AS (
+  SELECT l.gias_urn, s.site, s.latitude, s.longitude, 'trust' AS edge_type, {S.gc('l.gias_lat', 'l.gias_lon', 's.latitude', 's.longitude')} AS distance_km
+  FROM leads l JOIN site s ON s.trust_name = l.trust_name WHERE l.gias_lat IS NOT NULL AND l.gias_lon IS NOT NULL
+  UNION ALL
+  SELECT t.gias_urn, s.site, s.latitude, s.longitude, 'cluster', {S.gc('t.gias_lat', 't.gias_lon', 's.latitude', 's.longitude')}
+  FROM toward t JOIN site s ON s.cluster = t.nearest_cluster),
+first5 AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY gias_urn, edge_type ORDER BY distance_km, site, latitude, longitude) <= 5),
+edges AS (SELECT *, row_number() OVER (PARTITION BY gias_urn ORDER BY edge_type = 'cluster', distance_km, site) AS edge_rank
+          FROM first5 f WHERE edge_type = 'trust' OR NOT EXISTS (
+            SELECT 1 FROM first5 t WHERE t.edge_type = 'trust' AND t.gias_urn = f.gias_urn AND t.latitude = f.latitude AND t.longitude = f.longitude))
+SELECT gias_urn, site, distance_km, edge_type, edge_rank FROM edges WHERE edge_rank <= 5""")
 def connection_edges(spark, d):
-    """J13 + J14 + W5: trust then nearest-cluster connections per lead, 5 in all (rows-only)."""
+    """J13 + J14 + W5: trust then nearest-cluster connections per lead, 5 in all."""
     assigned, _ = G.kmeans_clusters(points(spark, d), 5)
     cent = G.cluster_centroids(assigned)
     reg = B.registry(spark, d).select(F.col('gias_name').alias('school_name'), F.col('trust_name').alias('_st'))

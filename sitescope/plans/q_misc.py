@@ -15,7 +15,7 @@ from sitescope.operators import textagg as X
 from sitescope.plans import bindings as B
 from sitescope.plans import sqlparts as S
 from sitescope.plans import sqlrules as SR
-from sitescope.plans.q_geo import GAPS_SQL, points
+from sitescope.plans.q_geo import CLUSTERS_SQL, GAPS_SQL, points
 from sitescope.plans.q_leads import ALL_LEADS, CFG
 from sitescope.plans.q_survey import SURVEY_SQL, _SURVEY_OUT, survey
 from sitescope.plans.q_text import CONVS, DOCS, NOT_SUBST, convs, themes_sql
@@ -170,9 +170,10 @@ def lead_markers(spark, d):
     return R.lead_markers(normal).unionByName(R.lead_markers(deprived))
 
 
-@register('V5_cluster_scatter')
+@register('V5_cluster_scatter', f"""{CLUSTERS_SQL}
+SELECT longitude, latitude, cluster, ({list(lx.CLUSTER_PALETTE)})[cluster % {len(lx.CLUSTER_PALETTE)} + 1] AS colour FROM assigned""")
 def cluster_scatter(spark, d):
-    """V5 + P19: scatter data (lon, lat, cluster colour) of k-means clusters (rows-only)."""
+    """V5 + P19: scatter data (lon, lat, cluster colour) of k-means clusters."""
     assigned, _ = G.kmeans_clusters(points(spark, d), 5)
     return assigned.select('longitude', 'latitude', 'cluster', C.cluster_colour('cluster').alias('colour'))
 

@@ -8,7 +8,7 @@ from sitescope.functions import lexicons as lx
 from sitescope.operators import composites as K
 from sitescope.plans import bindings as B
 from sitescope.operators import reports as R
-from sitescope.plans.q_geo import points
+from sitescope.plans.q_geo import CLUSTERS_SQL, points
 from sitescope.plans import q_misc  # noqa: F401 - registers the parts first
 from sitescope.plans.q_survey import survey  # noqa: F401 - registers the parts first
 from sitescope.plans.q_text import convs, docs
@@ -72,9 +72,11 @@ def booking_report(spark, d):
                             {'how_heard': 'answer', 'contact_person': 'contact'}, 'school_name')
 
 
-@register('V6_clustered_export')
+@register('V6_clustered_export', f"""{CLUSTERS_SQL}
+SELECT a.school_name, a.latitude, a.longitude, a.cluster, v.visit_count, c.x AS centroid_lat, c.y AS centroid_lon
+FROM assigned a JOIN centres c USING (cluster) JOIN visg v USING (school_name)""")
 def clustered_export(spark, d):
-    """V6: sites with cluster and centroid (rows-only: M1_kmeans_violations checks the fit)."""
+    """V6: sites with cluster and centroid."""
     return K.clustered_export(points(spark, d))
 
 

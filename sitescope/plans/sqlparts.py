@@ -148,3 +148,41 @@ fz_score AS (SELECT a, b, 200.0 * (length(a) - bit_count(v)) / (length(a) + leng
 fz_best AS (SELECT s.a, s.score, y.ord, row_number() OVER (PARTITION BY s.a ORDER BY s.score DESC, y.ord) AS n
             FROM fz_score s JOIN fz_b y ON y.k = s.b WHERE s.score >= {threshold} - 1e-9),
 fz AS (SELECT x.name, t.score, t.ord FROM fz_a x JOIN fz_best t ON t.a = x.k WHERE t.n = 1)"""
+
+
+def kmeans(points: str, k: int = 5) -> str:
+    """CTEs ``centres`` (cluster, x, y) and ``assigned`` (columns of ``points``, cluster) for WITH RECURSIVE.
+
+    ``points`` names a CTE with latitude and longitude. Eight starts, farthest
+    first from the outermost places; Lloyd rounds until no centre moves; the
+    lowest cost wins, clusters are numbered by centroid.
+    """
+    def gap(c: str) -> str:
+        return f'((p.x - {c}.x) * (p.x - {c}.x) + (p.y - {c}.y) * (p.y - {c}.y))'
+    gaps = f"list_transform(cs, lambda c: {gap('c')})"
+    place = "{'x': p.x, 'y': p.y}"
+    return f"""
+place AS (SELECT latitude AS x, longitude AS y, count(*) AS w,
+                 CAST(latitude AS DECIMAL(13, 10)) AS fx, CAST(longitude AS DECIMAL(13, 10)) AS fy
+          FROM {points} WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY latitude, longitude),
+side(r, a, b) AS (VALUES (0, 1, 0), (1, 1, 1), (2, 0, 1), (3, -1, 1), (4, -1, 0), (5, -1, -1), (6, 0, -1), (7, 1, -1)),
+far(r, cs) AS (
+  SELECT r, [arg_max({place}, (p.x * a + p.y * b, -p.x, -p.y))] FROM side, place p GROUP BY r
+  UNION ALL
+  SELECT r, list_append(cs, arg_max({place}, (list_min({gaps}), -p.x, -p.y)))
+  FROM far, place p WHERE len(cs) < {k} GROUP BY r, cs),
+near_of(r, step, cs, ended) AS (
+  SELECT r, 0, cs, false FROM far WHERE len(cs) = {k}
+  UNION ALL
+  SELECT r, step + 1, news, news = cs
+  FROM (SELECT r, step, cs, list_transform(range({k}), lambda i: coalesce(
+               list_extract(list_filter(list(m), lambda e: e.j = i + 1), 1).c, list_extract(cs, i + 1))) AS news
+        FROM (SELECT r, step, cs, {{'j': j, 'c': {{'x': CAST(sum(fx * w) AS DOUBLE) / sum(w), 'y': CAST(sum(fy * w) AS DOUBLE) / sum(w)}}}} AS m
+              FROM (SELECT r, step, cs, fx, fy, w, list_position({gaps}, list_min({gaps})) AS j
+                    FROM near_of, place p WHERE NOT ended) GROUP BY r, step, cs, j)
+        GROUP BY r, step, cs)),
+best AS (SELECT r, cs FROM near_of n, place p WHERE ended GROUP BY r, cs ORDER BY round(sum(list_min({gaps}) * w), 6), r LIMIT 1),
+centres AS (SELECT CAST(row_number() OVER (ORDER BY c.x, c.y) - 1 AS INTEGER) AS cluster, c.x AS x, c.y AS y
+            FROM (SELECT unnest(cs) AS c FROM best)),
+assigned AS (SELECT p.*, (SELECT arg_min(c.cluster, (pow(p.latitude - c.x, 2) + pow(p.longitude - c.y, 2), c.cluster)) FROM centres c) AS cluster
+             FROM {points} p)"""
