@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,8 +172,8 @@ def _per_start(places: DataFrame, starts: dict) -> DataFrame:
     not literals, so all rounds share one generated code.
     """
     k = len(next(iter(starts.values())))
-    schema = 'r int, ' + ', '.join(f'c{j} struct<x:double,y:double>' for j in range(k))
-    side = places.sparkSession.createDataFrame([(r, *cs) for r, cs in starts.items()], schema)
+    centre = [pa.array([{'x': cs[j][0], 'y': cs[j][1]} for cs in starts.values()]) for j in range(k)]
+    side = places.sparkSession.createDataFrame(pa.table([pa.array(list(starts), pa.int32()), *centre], ['r', *[f'c{j}' for j in range(k)]]))
     return places.crossJoin(F.broadcast(side)).withColumn('_near', _centre_distances([F.col(f'c{j}') for j in range(k)]))
 
 

@@ -329,7 +329,7 @@ def test_kmeans_separated_clusters(spark):
     rows = [(f'p{c}_{i}', cy + rnd.uniform(-0.05, 0.05), cx + rnd.uniform(-0.05, 0.05), c)
             for c, (cy, cx) in enumerate(centres) for i in range(40)]
     df = spark.createDataFrame(rows, 'school_name string, latitude double, longitude double, truth int')
-    assigned, cent = G.kmeans_clusters(df, 3, seeds=(42, 43))
+    assigned, cent = G.kmeans_clusters(df, 3)
     pairs = {(r.truth, r.cluster) for r in assigned.select('truth', 'cluster').distinct().collect()}
     assert pairs == {(0, 0), (1, 1), (2, 2)}          # ids follow centroid order (latitude first)
     sizes = {r.cluster: r.size for r in G.cluster_sizes(assigned).collect()}
@@ -338,6 +338,43 @@ def test_kmeans_separated_clusters(spark):
     assert got == [(50, -3), (52, 0), (54, -2)]
 
 
+def test_kmeans_equals_plain_lloyd_whatever_the_partitions(spark):
+    rnd = random.Random(5)
+    rows = [(f'p{i}', round(rnd.uniform(50, 52), 2), round(rnd.uniform(-2, 0), 2)) for i in range(150)] * 2 + [('n', None, 1.0)]
+    df = spark.createDataFrame(rows, 'school_name string, latitude double, longitude double')
+    best = None
+    pts = [(x, y) for _, x, y in rows if x is not None]
+    gap = lambda p, c: (p[0] - c[0]) ** 2 + (p[1] - c[1]) ** 2
+    for a, b in G.KMEANS_STARTS:
+        cs = [max(pts, key=lambda p: (p[0] * a + p[1] * b, -p[0], -p[1]))]
+        while len(cs) < 4:
+            cs.append(max(pts, key=lambda p: (min(gap(p, c) for c in cs), -p[0], -p[1])))
+        while True:
+            own = [min(range(4), key=lambda j: (gap(p, cs[j]), j)) for p in pts]
+            moved = [tuple(sum(p[i] for p, o in zip(pts, own) if o == j) / own.count(j) for i in (0, 1)) for j in range(4)]
+            if max(gap(m, c) for m, c in zip(moved, cs)) < 1e-20:
+                break
+            cs = moved
+        cost = round(sum(min(gap(p, c) for c in cs) for p in pts), 6)
+        if best is None or cost < best[0]:
+            best = cost, sorted(cs)
+    fits = []
+    for n in (1, 7):
+        assigned, cent = G.kmeans_clusters(df.repartition(n), 4)
+        fits.append(sorted(map(tuple, cent.collect())))
+        assert assigned.count() == 300
+    assert fits[0] == fits[1]
+    assert [(round(x, 9), round(y, 9)) for _, x, y in fits[0]] == [(round(x, 9), round(y, 9)) for x, y in best[1]]
+
+
+def test_kmeans_few_and_no_places(spark):
+    schema = 'school_name string, latitude double, longitude double'
+    assigned, cent = G.kmeans_clusters(spark.createDataFrame([('a', 1.0, 2.0), ('b', 1.0, 2.0), ('c', 3.0, 1.0)], schema), 5)
+    assert {r.school_name: r.cluster for r in assigned.collect()} == {'a': 0, 'b': 0, 'c': 1} and cent.count() == 2
+    assigned, cent = G.kmeans_clusters(spark.createDataFrame([('a', None, None)], schema), 5)
+    assert assigned.columns[-1] == 'cluster' and assigned.count() == cent.count() == 0
+
+
 def test_head_rows_and_profile(spark):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else f'v{i}') for i in range(30, 0, -1)], 'k long, v string')
     assert [r.k for r in M.head_rows(df, ['k'], 10).collect()] == list(range(1, 11))
