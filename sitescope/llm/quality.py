@@ -3,13 +3,15 @@
 Each rule is a condition on one document's text. Its cost and selectivity are
 measured on a bounded sample, and the rules are tried in order of rejection
 per cost: a document that an earlier rule rejects never reaches the later
-ones. The order changes the work, never the verdict.
+ones. The order changes the work, never the verdict. The base counts are part
+of every document's result, so they precede the cascade.
 """
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ from sitescope.llm.native import is_blank, let, lines, words
 #: Rows that the costs are measured on.
 SAMPLE_ROWS = 2000
 
+#: Timed passes over the sample, after one that warms up.
+REPEATS = 3
+
 SYMBOLS = '#*$%&|<>'
 REPEAT_WORDS = 5
 
@@ -72,16 +77,26 @@ def add_counts(docs: DataFrame, id_col: str = 'doc_id', text_col: str = 'text')
     return base.select(id_col, '__text', *[c.cast('long').alias(k) for k, c in counts.items()])
 
 
+def words_matching(pattern: str) -> Column:
+    """How many words contain ``pattern``, which must match at most once a word."""
+    return F.regexp_count(F.col('__text'), F.lit(pattern))
+
+
 #: Rejecting conditions, by name, over the columns of :func:`add_counts`.
 RULES: dict[str, Callable[[], Column]] = {
-    'symbols': lambda: 10 * F.col('n_symbols') > F.col('n_words'),
-    'exclamations': lambda: 10 * count_in(F.col('__text'), '!') > F.col('n_words'),
+    'decorated_words': lambda: 10 * words_matching(  # words that end in two or more marks
+        r'[^\p{L}\p{M}\p{N}\x20\x09-\x0D]{2}(?=[\x20\x09-\x0D]|\z)') > 3 * F.col('n_words'),
     'duplicate_lines': lambda: 2 * F.col('n_dup_lines') > F.size(
         F.filter(lines(F.col('__text')), lambda x: ~is_blank(x))),
-    'word_length': lambda: (F.col('word_chars') < 2 * F.col('n_words')) | (F.col('word_chars') > 14 * F.col('n_words')),
+    'exclamations': lambda: 10 * count_in(F.col('__text'), '!') > F.col('n_words'),
+    'letterless_words': lambda: 10 * words_matching(
+        r'(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++(?=[\x20\x09-\x0D]|\z)') > 4 * F.col('n_words'),
+    'letters': lambda: 4 * count_matching(F.col('__text'), r'[^\p{L}]+') < F.col('word_chars'),
+    'marks': lambda: 3 * count_matching(F.col('__text'), r'[^\p{L}\p{M}\p{N}]+') < 2 * F.col('word_chars'),
     'shouting': lambda: let(count_matching(F.col('__text'), r'[^\p{Lu}]+'), lambda upper: (upper >= 20) & (
         2 * upper > count_matching(F.col('__text'), r'[^\p{L}]+'))),
-    'letters': lambda: 4 * count_matching(F.col('__text'), r'[^\p{L}]+') < F.col('word_chars'),
+    'symbols': lambda: 10 * F.col('n_symbols') > F.col('n_words'),
+    'word_length': lambda: (F.col('word_chars') < 2 * F.col('n_words')) | (F.col('word_chars') > 14 * F.col('n_words')),
 }
 
 
@@ -89,39 +104,63 @@ def base_failed() -> Column:
     return (F.col('n_words') < 10) | (100 * F.col('n_repeat_words') > 20 * F.col('n_words'))
 
 
-def order_rules(docs: DataFrame, id_col: str = 'doc_id', text_col: str = 'text',
-                sample_rows: int = SAMPLE_ROWS) -> list[str]:
+def measure_rules(sample: DataFrame, rules: Mapping[str, Callable[[], Column]]) -> dict[str, tuple[float, float]]:
+    """(share rejected, cost) of each rule over ``sample``, rows of :func:`add_counts`.
+
+    A rule's cost is the time of a pass that reads every column and evaluates
+    the rule, less that of a pass that only reads, in units of the latter:
+    planning, scheduling and decoding cancel out. Of REPEATS passes after a
+    warm-up, taken in turns, the shortest counts. Costs below a twentieth of
+    the empty pass cannot be told apart and count as that.
+    """
+    read = F.sum(F.octet_length('__text') + F.col('n_words') + F.col('word_chars') + F.col('n_symbols') + F.col('n_dup_lines'))
+    passes = {None: F.lit(False)} | {name: rule() for name, rule in rules.items()}
+    times, shares = {name: [] for name in passes}, {}
+    for _ in range(REPEATS + 1):
+        for name, rejects in passes.items():
+            began = time.perf_counter()
+            rows, rejected, _ = sample.select(F.count('*'), F.count_if(rejects), read).first()
+            times[name].append(time.perf_counter() - began)
+            shares[name] = rejected / max(1, rows)
+    empty = min(times[None][1:])
+    return {name: (shares[name], max((min(times[name][1:]) - empty) / empty, 0.05)) for name in rules}
+
+
+def order_rules(docs: DataFrame, id_col: str = 'doc_id', text_col: str = 'text', sample_rows: int = SAMPLE_ROWS,
+                rules: Mapping[str, Callable[[], Column]] | None = None) -> list[str]:
     """Names of the rules by rejection per cost, measured on at most about ``sample_rows`` rows.
 
-    The sample is drawn once and written to the shared folder; each rule then
-    runs over it alone. Equal ratios keep the order of RULES, and an empty
-    table leaves that order as it is.
+    The sample is drawn once and written to the shared folder. Ratios within a
+    factor of four are taken as equal, since times vary from run to run; equal
+    ones, rules that reject nothing (last) and an empty table keep the order
+    of ``rules``.
     """
+    rules = RULES if rules is None else rules
     total = docs.count()
     if not total:
-        return list(RULES)
+        return list(rules)
     drawn = docs.select(id_col, text_col).sample(fraction=min(1.0, sample_rows / total), seed=7)
-    sample = materialise(add_counts(drawn, id_col, text_col).where(~base_failed()))
-    ratio = {}
-    for name, rule in RULES.items():
-        began = time.perf_counter()
-        rows, rejected = sample.select(F.count('*'), F.sum(rule().cast('int'))).first()
-        cost = time.perf_counter() - began
-        ratio[name] = (rejected or 0) / max(1, rows) / max(cost, 1e-6)
-    return sorted(RULES, key=lambda name: -ratio[name])
+    sample = materialise(add_counts(drawn, id_col, text_col).where(~base_failed()).repartition(4))
+    measured = measure_rules(sample, rules)
+    rank = {name: round(math.log(share / cost, 4)) if share else -math.inf for name, (share, cost) in measured.items()}
+    return sorted(rules, key=lambda name: -rank[name])
 
 
-def judge(docs: DataFrame, id_col: str = 'doc_id', text_col: str = 'text', order: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = 'doc_id', text_col: str = 'text', order: list[str] | None = None,
+          rules: Mapping[str, Callable[[], Column]] | None = None) -> DataFrame:
     """Counts and verdict of every document.
 
     Columns: ``id_col``, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words (long), base_failed, kept. Null and empty texts have no
-    words and fail the base; repeated rows and null ids stay row by row.
+    words and fail the base; repeated rows and null ids stay row by row; other
+    columns, whatever their names, take no part and are not returned. ``rules``
+    (name to condition over the columns of :func:`add_counts`) default to RULES.
     """
-    order = order_rules(docs, id_col, text_col) if order is None else order
+    rules = RULES if rules is None else rules
+    order = order_rules(docs, id_col, text_col, rules=rules) if order is None else order
     kept = F.when(F.col('base_failed'), False)
     for name in order:
-        kept = kept.when(RULES[name](), False)
+        kept = kept.when(rules[name](), False)
     counted = add_counts(docs, id_col, text_col).withColumn('base_failed', base_failed())
     return counted.withColumn('kept', kept.otherwise(True)).drop('__text')
 
@@ -141,13 +180,17 @@ c as (
          coalesce(cov.n, 0)::bigint as n_repeat_words,
          length(regexp_replace(x, '[^!]+', '', 'g')) as bangs,
          length(regexp_replace(x, '[^\p{Lu}]+', '', 'g')) as upper_letters,
-         length(regexp_replace(x, '[^\p{L}]+', '', 'g')) as letters
+         length(regexp_replace(x, '[^\p{L}]+', '', 'g')) as letters,
+         length(regexp_replace(x, '[^\p{L}\p{M}\p{N}]+', '', 'g')) as spoken,
+         len(list_filter(ws, lambda w: regexp_matches(w, '[^\p{L}\p{M}\p{N}]{2}$'))) as decorated,
+         len(list_filter(ws, lambda w: not regexp_matches(w, '\p{L}'))) as letterless
   from w left join cov on cov.doc_id = w.doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
        not (n_words < 10 or 100 * n_repeat_words > 20 * n_words
             or 10 * n_symbols > n_words or 10 * bangs > n_words or 2 * n_dup_lines > nl
-            or word_chars < 2 * n_words or word_chars > 14 * n_words
+            or word_chars < 2 * n_words or word_chars > 14 * n_words or 3 * spoken < 2 * word_chars
+            or 10 * decorated > 3 * n_words or 10 * letterless > 4 * n_words
             or (upper_letters >= 20 and 2 * upper_letters > letters) or 4 * letters < word_chars) as kept
 from c
 """
