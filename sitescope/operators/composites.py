@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitescope.operators import geo as G
 from sitescope.operators import metrics as M
 from sitescope.operators import textagg as X
-from sitescope.operators.reports import _long
+from sitescope.operators.reports import metric_rows
 from sitescope.sources.sinks import write_csv
 
 
@@ -46,11 +46,11 @@ def geo_report(points: DataFrame, point_id: str, target_radius_km: float = 50.0)
     Clusters (A27, A28) are tables of their own: their numbers are of the fit.
     """
     _, gaps = G.coverage_gaps(points, point_id, target_radius_km)
-    return (_long(G.extent_metrics(points), 'geographic_metrics', None,
-                  ['total_points', 'lat_min', 'lat_max', 'lat_span', 'lon_min', 'lon_max', 'lon_span', 'centroid_lat', 'centroid_lon'])
-            .unionByName(_long(G.hull_area(points), 'coverage', None, ['hull_vertices', 'coverage_area_km2']))
-            .unionByName(_long(gaps, 'coverage_gaps', None,
-                               ['avg_nearest_distance_km', 'max_nearest_distance_km', 'schools_beyond_target'])))
+    return (metric_rows(G.extent_metrics(points), 'geographic_metrics',
+                        ['total_points', 'lat_min', 'lat_max', 'lat_span', 'lon_min', 'lon_max', 'lon_span', 'centroid_lat', 'centroid_lon'])
+            .unionByName(metric_rows(G.hull_area(points), 'coverage', ['hull_vertices', 'coverage_area_km2']))
+            .unionByName(metric_rows(gaps, 'coverage_gaps',
+                                    ['avg_nearest_distance_km', 'max_nearest_distance_km', 'schools_beyond_target'])))
 
 
 def booking_report(bookings: DataFrame, geocodes: DataFrame, site: str, date_col: str, order_col: str, latest: Mapping[str, str],

@@ -493,3 +493,19 @@ def test_session_report_equals_its_parts(spark):
     assert _report_rows(R.session_report(sessions)) == want
     assert _report_rows(R.session_report(sessions.limit(0))) == {('totals', None, m): None if m == 'total_sessions' else 0.0 for m in (
         'total_sessions', 'unique_session_types', 'months_active', 'data_sources')}
+
+
+def test_geo_report_equals_its_parts(spark):
+    from sitescope.operators import composites as K
+    pts = spark.createDataFrame([('a', 50.0, 0.0), ('b', 51.0, 0.5), ('c', 50.2, 1.5), ('d', 50.1, 0.2), ('far', 58.0, -3.0)],
+                                'id string, latitude double, longitude double')
+    want = {}
+    for section, df in (('geographic_metrics', G.extent_metrics(pts)), ('coverage', G.hull_area(pts).drop('total_points', 'hull_area_deg2')),
+                        ('coverage_gaps', G.coverage_gaps(pts, 'id', 50.0)[1])):
+        want |= {(section, None, m): float(v) for m, v in df.first().asDict().items()}
+    report = K.geo_report(pts, 'id', 50.0)
+    assert report.columns == ['section', 'key', 'metric', 'label', 'value']
+    got = _report_rows(report)
+    assert got.keys() == want.keys() and len(got) == 14
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert got[('coverage_gaps', None, 'schools_beyond_target')] == 3.0
