@@ -70,6 +70,27 @@ def test_common_pieces_make_few_pairs(spark):
     assert N.candidate_pairs(names.limit(1), index, sizes).groupBy('ls', 'rs').count().where('count > 1').isEmpty()
 
 
+def test_names_one_edit_away_meet_only_such_keys(spark):
+    """Pairs of the first round are those within one edit, each once, however many names share their characters."""
+    keys = ['Customer#%06d' % i for i in range(0, 3000, 7)] + ['', 'a', 'ab', 'ba', 'aab', 'école']
+    typed = ['Customer#%05d' % i for i in range(0, 300)] + ['', 'a', 'b', 'aa', 'ab', 'cole', 'écolee', keys[5]]
+    reg = spark.createDataFrame([(k, i, len(k)) for i, k in enumerate(keys)], 'rs string, ro long, lb int')
+    left = spark.createDataFrame([(t, len(t), limit) for t in typed for limit in (0, 1)], 'ls string, la int, limit int')
+    got = [(r.ls, r.limit, r.rs, r.d) for r in N.pairs_one_edit_apart(left, reg).collect()]
+    gap = {(t, k): len(t) + len(k) - 2 * Z.lcs_length(t, k) for t in typed for k in keys}
+    want = [(t, limit, k, gap[t, k]) for t in typed for k in keys for limit in (0, 1) if gap[t, k] <= limit]
+    assert sorted(got) == sorted(want)
+
+
+def test_settled_in_the_first_round_without_pieces(spark, monkeypatch):
+    """A lost character in names of one dense range of numbers: no piece is looked up, so pairs stay linear."""
+    monkeypatch.setattr(N, 'piece_index', None)
+    reg = spark.createDataFrame([('Customer#%09d' % i, i) for i in range(500)], 'name string, ord long')
+    typed = spark.createDataFrame([('Customer#%08d' % i,) for i in range(0, 50)], 'n string')
+    got = {r.n: r.ord for r in N.fuzzy_best_match(typed, 'n', 'n', reg, 'name', 'ord', ['ord'], 85.0).collect()}
+    assert got == {'Customer#%08d' % i: i for i in range(50)}
+
+
 def test_array_distances_equal_the_plain_ones():
     rng = random.Random(4)
     strings = [''.join(rng.choices('abcde é', k=rng.choice([0, 1, 5, 20, 61, 62, 63, 80]))) for _ in range(120)]
