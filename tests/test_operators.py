@@ -164,6 +164,33 @@ def test_dbscan_of_crowded_cells_equals_naive(spark, gap_km):
     assert got == _naive_dbscan(pts, 1.0, 4)
 
 
+def test_dbscan_of_facing_crowds_equals_naive(spark):
+    """Pairs of crowds at gaps near eps, turned in every direction, some of them closest away from their ends."""
+    rnd = random.Random(23)
+    deg = 1 / 111.195
+    rows = []
+    for g in range(24):
+        turn, gap = rnd.uniform(0, 2 * math.pi), rnd.uniform(0.7, 1.1)
+        for side in (-1, 1):
+            for _ in range(14):
+                u, v = rnd.uniform(-0.2, 0.2), side * (gap / 2 + abs(rnd.gauss(0, 0.1)))
+                y, x = u * math.cos(turn) + v * math.sin(turn), v * math.cos(turn) - u * math.sin(turn)
+                rows.append((50 + g * 0.2 + y * deg, x * deg / math.cos(math.radians(50 + g * 0.2))))
+    pts = [(i, *r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(pts, 'id long, latitude double, longitude double')
+    got = {r.id: r.cluster for r in G.dbscan(df, 'id', eps_km=1.0, min_samples=4).collect()}
+    assert got == _naive_dbscan(pts, 1.0, 4)
+
+
+def test_cells_of_one_crowd_compare_no_points(spark, monkeypatch):
+    """Dense cells in one cluster by their outermost points: what is joined grows with cells, not with points."""
+    rnd = random.Random(29)
+    monkeypatch.setattr(G, 'nearest_join', None)
+    n = 4000
+    df = spark.createDataFrame([(i, 52 + rnd.uniform(0, 0.05), -1 + rnd.uniform(0, 0.05)) for i in range(n)], 'id long, latitude double, longitude double')
+    assert G.dbscan(df, 'id', eps_km=2.0, min_samples=3).where('cluster = 0').count() == n
+
+
 def test_points_within_one_eps_make_no_pairs(spark):
     rnd = random.Random(19)
     n = 5000
