@@ -82,12 +82,17 @@ def fuzzy_match(spark, d):
 
 
 def _typed_sites(spark, d, sites):
-    """Site names as typed by hand: of every third customer a character is lost, others differ in case and blanks."""
-    c = B.table(spark, d, 'customer').select(F.col('c_name').alias('school_name'), 'c_custkey')
+    """Distinct site names as typed by hand: of every third customer a character is lost, others differ in case and blanks.
+
+    Each name is joined once with each way it is typed: a name of n customers has n * n rows in ``sites``
+    (their coordinates), which must not meet its n customers again.
+    """
+    names = sites.select('school_name').distinct()
+    kinds = B.table(spark, d, 'customer').select(F.col('c_name').alias('school_name'), F.pmod('c_custkey', F.lit(3)).alias('kind')).distinct()
     lost = F.concat(F.substring('school_name', 1, 12), F.expr('substring(school_name, 14)'))
-    kind = F.pmod('c_custkey', F.lit(3))
+    kind = F.col('kind')
     typed = F.when(kind == 0, lost).when(kind == 1, F.concat(F.lit(' '), F.upper('school_name'))).otherwise(F.col('school_name'))
-    return sites.join(c, 'school_name').select(typed.alias('school_name'), *[x for x in sites.columns if x != 'school_name'])
+    return names.join(kinds, 'school_name').select(typed.alias('school_name')).distinct()
 
 
 TYPED_SITE = """CASE WHEN c_custkey % 3 = 0 THEN substr(school_name, 1, 12) || substr(school_name, 14)

@@ -59,3 +59,24 @@ def test_runner_records_status(spark, tmp_path):
     assert st['A1_survey_kpis'].status == 'ok' and st['A1_survey_kpis'].rows == 1
     assert st['A9_sessions_by_type'].rows == 5
     assert (tmp_path / '_status').exists()
+
+
+def test_a_name_of_many_customers_is_typed_once_each_way(spark, tmp_path):
+    """Rows of a repeated name are no product of its customers, their coordinates and the ways to type it."""
+    import __spark_entry__ as E
+    from sitescope.plans import q_match as Q
+    n, d = 60, str(tmp_path)
+    customers = [(k, 'Customer#%09d' % (123456000 + k // n), k // n % 2, 10.0) for k in range(3 * n)]
+    customers += [(181, 'Customer#987654321', 1, 10.0), (182, 'Customer#555555555', 0, 10.0), (183, None, 0, 10.0)]
+    orders = [(k, '1-URGENT', 'F', None) for k, *_ in customers for _ in range(1 if k == 182 else 2)] + [(182, '5-LOW', 'F', None)]
+    spark.createDataFrame(customers, 'c_custkey long, c_name string, c_nationkey int, c_acctbal double').write.parquet(f'{d}/customer.parquet')
+    spark.createDataFrame(orders, 'o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate timestamp').write.parquet(f'{d}/orders.parquet')
+    spark.createDataFrame([(0, 'EAST'), (1, 'WEST')], 'n_nationkey int, n_name string').write.parquet(f'{d}/nation.parquet')
+    names = ['Customer#%09d' % (123456000 + i) for i in range(3)]
+    typed = sorted([*names, *(' ' + x.upper() for x in names), *(x[:12] + x[13:] for x in names), ' CUSTOMER#987654321'])
+    champions = Q.L.champions_of(Q.vis(spark, d), 2)
+    assert sorted(r.school_name for r in Q._typed_sites(spark, d, champions).select('school_name').limit(1000).collect()) == typed
+    got = {tuple(r) for r in E.queries()['J18_typed_champion_trusts'](spark, d).collect()}
+    assert got == {('EAST', 6, 2), ('WEST', 4, 1)}
+    found = {r.school_name: (r.match_type, r.trust_name) for r in E.queries()['J15_trust_enrichment'](spark, d).collect()}
+    assert set(typed) < set(found) and found['Customer#12356001'] == ('fuzzy', 'WEST') and found[names[2]] == ('exact', 'EAST')
