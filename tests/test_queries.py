@@ -1,5 +1,6 @@
 """Driver contract: entry() runs; selected registered queries equal their DuckDB oracle at sf0.001."""
 
+import math
 import os
 import sys
 
@@ -80,3 +81,43 @@ def test_a_name_of_many_customers_is_typed_once_each_way(spark, tmp_path):
     assert got == {('EAST', 6, 2), ('WEST', 4, 1)}
     found = {r.school_name: (r.match_type, r.trust_name) for r in E.queries()['J15_trust_enrichment'](spark, d).collect()}
     assert set(typed) < set(found) and found['Customer#12356001'] == ('fuzzy', 'WEST') and found[names[2]] == ('exact', 'EAST')
+
+
+def test_lines_of_both_lead_layers_and_of_the_nearest_cluster(spark, tmp_path):
+    """V4: champions of normal and of deprived leads; trust sites, then members of the nearest cluster, five in all."""
+    import __spark_entry__ as E
+    from collections import Counter
+    from oracle_check import digest
+    d, con = str(tmp_path), duckdb.connect()
+    customers = [(k, 'Site %02d' % k, (k > 10) + (k > 25), 5000.0 if k % 3 == 0 else 100.0) for k in range(1, 41)]
+    orders = [(k, '1-URGENT', 'F', None) for k in (1, 2, 11) for _ in range(2)] + [(k, '5-LOW', 'O', None) for k in range(12, 31)]
+    spark.createDataFrame(customers, 'c_custkey long, c_name string, c_nationkey int, c_acctbal double').write.parquet(f'{d}/customer.parquet')
+    spark.createDataFrame(orders, 'o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate timestamp').write.parquet(f'{d}/orders.parquet')
+    spark.createDataFrame([(0, 'EAST'), (1, 'WEST'), (2, 'NORTH')], 'n_nationkey int, n_name string').write.parquet(f'{d}/nation.parquet')
+    for t in ('customer', 'orders', 'nation'):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{d}/{t}.parquet/*.parquet')")
+    sql = E.oracle_sql()
+    lines = E.queries()['V4_connection_lines'](spark, d).toPandas()
+    assert digest(lines)[:2] == digest(con.execute(sql['V4_connection_lines']).df())[:2]
+
+    deprived = lines[lines.colour == '#DC143C']
+    assert Counter(deprived.gias_urn) == {k: 2 for k in range(1, 41) if k % 3 == 0}
+    assert set(deprived.to_name) <= {'Site 01', 'Site 02', 'Site 11'} and deprived.label.str.startswith('Connection to Site').all()
+
+    def apart(a, b, x, y):
+        a, b, x, y = map(math.radians, (a, b, x, y))
+        return math.sin((x - a) / 2) ** 2 + math.cos(a) * math.cos(x) * math.sin((y - b) / 2) ** 2
+
+    sites = con.execute(sql['M1_kmeans']).fetchall()
+    leads = con.execute(sql['J12_nearest_centroid']).fetchall()
+    assert len(sites) == 22 and {3, 10, 25} < {urn for urn, *_ in leads}
+    for urn, lat, lon, nearest, _ in leads:
+        own = lines[lines.gias_urn == urn].sort_values('rank')
+        trust = list(own[own.edge_type == 'trust'].to_name)
+        assert len(trust) == (2 if urn <= 10 else 1 if urn <= 25 else 0)
+        near = sorted((apart(lat, lon, x, y), name) for name, x, y, c in sites if c == nearest and name not in trust)[:5 - len(trust)]
+        cluster = own[own.edge_type == 'cluster']
+        assert list(cluster.to_name) == [name for _, name in near]
+        assert list(cluster['rank']) == [len(trust) + i for i in range(1, len(near) + 1)]
+    cluster = lines[lines.edge_type == 'cluster']
+    assert len(cluster) > 20 and set(cluster.colour) == {'orange'} and cluster.label.isna().all()
