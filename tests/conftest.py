@@ -2,6 +2,7 @@ import os
 import sys
 import tempfile
 
+import duckdb
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -24,3 +25,9 @@ def spark():
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix='sitescope-test-ckpt-'))
     yield s
+
+
+@pytest.fixture(scope='session', autouse=True)
+def benchmark_view():
+    """The SQL of op11 and op13 reads ``benchmark`` beside the tables that the tests of the operators name."""
+    duckdb.sql(f"create or replace view benchmark as select * from '{SF_ORACLE}/benchmark.parquet'")
